@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import bpe, sharding, tokenfiles
+from folioscope.llm import bpe, neardup, sharding, tokenfiles
 from folioscope.llm.common import table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -19,6 +19,10 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"), percent=85)
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents", "doc_id", "text"), tokenizer_path())
 
@@ -38,6 +42,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_neardup": op1_neardup,
     "op2_bpe": op2_bpe,
     "op4_token_files": op4_token_files,
     "op10_sharding": op10_sharding,
