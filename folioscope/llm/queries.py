@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import bpe, neardup, sharding, tokenfiles
+from folioscope.llm import bpe, decontaminate, neardup, sharding, tokenfiles
 from folioscope.llm.common import table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -33,6 +33,11 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfiles.read(spark, folder, manifest)
 
 
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, benchmark = table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text")
+    return decontaminate.decontaminate(docs, benchmark)
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     crc = F.coalesce(F.crc32(F.col("text").cast("binary")), F.lit(0))
@@ -45,6 +50,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_neardup": op1_neardup,
     "op2_bpe": op2_bpe,
     "op4_token_files": op4_token_files,
+    "op8_decontaminate": op8_decontaminate,
     "op10_sharding": op10_sharding,
 }
 
