@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import bpe, decontaminate, neardup, sharding, tokenfiles
+from folioscope.llm import bpe, decontaminate, neardup, quality, sharding, tokenfiles, toxicity
 from folioscope.llm.common import table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -33,6 +33,16 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfiles.read(spark, folder, manifest)
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "labels", "doc_id", "toxic")
+    return toxicity.score(docs, labels)
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "labels", "doc_id", "quality")
+    return quality.classify(docs, labels)
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, benchmark = table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text")
     return decontaminate.decontaminate(docs, benchmark)
@@ -50,6 +60,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_neardup": op1_neardup,
     "op2_bpe": op2_bpe,
     "op4_token_files": op4_token_files,
+    "op5_toxicity": op5_toxicity,
+    "op7_quality": op7_quality,
     "op8_decontaminate": op8_decontaminate,
     "op10_sharding": op10_sharding,
 }

@@ -89,11 +89,37 @@ def _pieces(offsets: np.ndarray, data: np.ndarray, member: np.ndarray) -> Iterat
         row = end
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray, member: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+#: The byte that stands for each byte in a word's shape: one letter for all of its kind.
+SHAPE = np.arange(256, dtype=np.uint8)
+SHAPE[65:91], SHAPE[97:123], SHAPE[0x80:], SHAPE[48:58] = 65, 97, 97, 48
+
+
+def _folded(raw: np.ndarray) -> np.ndarray:
+    """Bytes with A-Z and the capital letters from U+00C0 to U+00DE as small ones."""
+    out = LOWER[raw]
+    second = np.flatnonzero(raw[:-1] == 0xC3) + 1
+    second = second[(raw[second] >= 0x80) & (raw[second] <= 0x9E) & (raw[second] != 0x97)]
+    out[second] += 0x20
+    return out
+
+
+def _shape(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The kinds of each word's bytes, runs of one kind as one: bytes, starts, ends."""
+    kind = SHAPE[raw]
+    keep = np.ones(len(raw), bool)
+    keep[1:] = kind[1:] != kind[:-1]
+    keep[starts] = True
+    place = np.zeros(len(raw) + 1, np.int64)
+    np.cumsum(keep, out=place[1:])
+    return kind[keep], place[starts], place[ends]
+
+
+def word_hashes(data: np.ndarray, offsets: np.ndarray, member: np.ndarray, spelling: str = "lower") -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """For runs of whole rows: (first row, one past the last, word hashes, offset of each row's words).
 
-    A-Z count as a-z. ``member`` says which bytes belong to words. A row longer than a piece
-    comes alone.
+    ``member`` says which bytes belong to words, once A-Z are a-z. A row longer than a piece comes
+    alone. Spellings: lower (A-Z as a-z), folded (Latin-1 capitals too), shape (kinds of
+    characters, runs as one).
     """
     kept: list[np.ndarray] = []
     for first, last, start, stop in _pieces(offsets, data, member):
@@ -114,7 +140,11 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, member: np.ndarray) -> It
         else:
             step = np.diff(inside)
             starts, ends = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
-        hashes = span_hashes(_BYTES[raw], starts, ends)
+        if spelling == "shape":
+            kind, begins, stops = _shape(data[start:stop], starts, ends)
+            hashes = span_hashes(_BYTES[kind], begins, stops)
+        else:
+            hashes = span_hashes(_BYTES[_folded(data[start:stop]) if spelling == "folded" else raw], starts, ends)
         if last == first + 1 and offsets[first + 1] - offsets[first] > PIECE:
             kept.append(hashes)
             if stop < offsets[first + 1]:
