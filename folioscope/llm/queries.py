@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import bpe, decontaminate, neardup, quality, sharding, tokenfiles, toxicity
+from folioscope.llm import bpe, decontaminate, imatch, neardup, quality, sharding, tokenfiles, toxicity
 from folioscope.llm.common import table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -38,6 +38,10 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, labels)
 
 
+def op6_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return imatch.compare(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "labels", "doc_id", "quality")
     return quality.classify(docs, labels)
@@ -61,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe": op2_bpe,
     "op4_token_files": op4_token_files,
     "op5_toxicity": op5_toxicity,
+    "op6_imatch": op6_imatch,
     "op7_quality": op7_quality,
     "op8_decontaminate": op8_decontaminate,
     "op10_sharding": op10_sharding,
