@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import bpe, decontaminate, imatch, neardup, quality, sharding, tokenfiles, toxicity
+from folioscope.llm import bpe, decontaminate, imatch, neardup, pii, quality, sharding, tokenfiles, toxicity
 from folioscope.llm.common import table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -52,6 +52,10 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.decontaminate(docs, benchmark)
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.detect(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     crc = F.coalesce(F.crc32(F.col("text").cast("binary")), F.lit(0))
@@ -68,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_imatch": op6_imatch,
     "op7_quality": op7_quality,
     "op8_decontaminate": op8_decontaminate,
+    "op9_pii": op9_pii,
     "op10_sharding": op10_sharding,
 }
 
