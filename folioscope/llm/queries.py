@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import bpe, decontaminate, imatch, neardup, pii, quality, sharding, tokenfiles, toxicity
+from folioscope.llm import bpe, decontaminate, imatch, neardup, pii, quality, sharding, tokenfiles, toxicity, urls
 from folioscope.llm.common import table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -27,6 +27,15 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents", "doc_id", "text"), tokenizer_path())
 
 
+URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
+
+
+def op3_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = table(spark, sf_dir, "labels", "doc_id", "quality", "toxic")
+    bad = labels.select(F.col("doc_id").alias("page_id"), ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad"))
+    return urls.judge(table(spark, sf_dir, "pages", "page_id", "url"), bad, URL_RULES)
+
+
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = tokenfiles.new_folder(spark)
     manifest = tokenfiles.write(table(spark, sf_dir, "documents", "doc_id", "text"), tokenizer_path(), folder, end_id=0)
@@ -64,9 +73,16 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_neardup": op1_neardup,
     "op2_bpe": op2_bpe,
+    "op3_urls": op3_urls,
     "op4_token_files": op4_token_files,
     "op5_toxicity": op5_toxicity,
     "op6_imatch": op6_imatch,
@@ -74,6 +90,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontaminate": op8_decontaminate,
     "op9_pii": op9_pii,
     "op10_sharding": op10_sharding,
+    "pipeline": pipeline,
 }
 
 ORACLE_SQL: dict[str, str] = {}
