@@ -16,29 +16,23 @@ from folioscope.llm.common import Workspace, table
 from folioscope.llm.queries import tokenizer_path
 
 
-def _keeping(docs: DataFrame, decided: DataFrame, keep: str) -> DataFrame:
-    """The rows of ``docs`` whose id is decided to stay; of rows that repeat an id, one."""
-    stay = decided.where(keep).select(F.col("doc_id").alias("_stay")).distinct()
-    packed = docs.select(F.struct(*docs.columns).alias("_row"), F.col("doc_id").alias("_id"))
-    joined = packed.join(stay, F.col("_id").eqNullSafe(F.col("_stay")), "left_semi")
-    first = F.row_number().over(Window.partitionBy("_id").orderBy("_id"))
-    return joined.withColumn("_n", first).where("_n = 1 or _id is null").select("_row.*")
-
-
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier rejects go."""
-    return _keeping(docs, quality.classify(docs, table(spark, sf_dir, "labels", "doc_id", "quality")), "selected")
+    return quality.select(docs, table(spark, sf_dir, "labels", "doc_id", "quality"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document of the least id stays."""
-    return _keeping(docs, neardup.near_duplicates(docs), "kept")
+    """Of each group of near duplicates the document of the least id stays; of rows that repeat an id, one."""
+    stay = neardup.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_stay")).distinct()
+    packed = docs.select(F.struct(*docs.columns).alias("_row"), F.col("doc_id").alias("_id"))
+    joined = packed.join(stay, F.col("_id").eqNullSafe(F.col("_stay")), "left_semi")
+    first = F.row_number().over(Window.partitionBy("_id").orderBy("_id"))
+    return joined.withColumn("_n", first).where("_n = 1 or _id is null").select("_row.*")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a window of a benchmark item go."""
-    found = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark", "item_id", "text"))
-    return _keeping(docs, found, "not contaminated")
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark", "item_id", "text"))
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

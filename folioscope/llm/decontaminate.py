@@ -124,35 +124,50 @@ def grams_at(words: np.ndarray, start: np.ndarray, size: int) -> np.ndarray:
     return grams(words[start[:, None] + np.arange(size)].ravel(), size)[::size]
 
 
-def _scan(names: list[str], texts: list[str | None], whole: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    index = _index(tuple(names), tuple(texts))
+def _shared(index: Index, column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, list[list[str]], list[np.ndarray]]]:
+    """For runs of texts: numbers of words and of hit words, the items of each, and spans of hit words."""
+    data, offsets = utf8(column)
+    for first, last, hashes, at in word_hashes(data, offsets, ALNUM):
+        row = np.repeat(np.arange(last - first), np.diff(at))
+        hit, found = hits(index, hashes, row)
+        own: dict[int, set[int]] = {}
+        for size, (start, window) in found.items():
+            of = row[start]
+            for r in np.unique(of):
+                own.setdefault(int(r), set()).update(index.items_of(size, np.unique(window[of == r])).tolist())
+        total = np.append(0, np.cumsum(hit))
+        items = [sorted(set(index.names[list(own[r])])) if r in own else [] for r in range(last - first)]
+        edge = lambda r: np.flatnonzero(np.diff(np.concatenate([[False], hit[at[r] : at[r + 1]], [False]]).astype(np.int8)))
+        yield np.diff(at), total[at[1:]] - total[at[:-1]], items, [edge(r).reshape(-1, 2) if r in own else np.zeros((0, 2), int) for r in range(last - first)]
+
+
+FOUND = "struct<n_words:long,n_hit:long,n_items:long,items_sha256:string>"
+
+
+def _found(names: list[str], texts: list[str | None]):
+    def find(column: pa.Array) -> pa.Array:
+        n_words, n_hit, n_items, digest = [], [], [], []
+        for words, hit, items, _ in _shared(_index(tuple(names), tuple(texts)), column):
+            n_words += words.tolist()
+            n_hit += hit.tolist()
+            n_items += map(len, items)
+            digest += [hashlib.sha256(",".join(m).encode()).hexdigest() for m in items]
+        columns = [pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(n_items, pa.int64()), pa.array(digest, pa.string())]
+        return pa.StructArray.from_arrays(columns, ["n_words", "n_hit", "n_items", "items_sha256"])
+
+    return F.arrow_udf(find, FOUND)
+
+
+def _scan(names: list[str], texts: list[str | None], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of (row, text): the row, its number of words, its items and its spans."""
     for batch in batches:
-        data, offsets = utf8(batch.column(1))
-        n_words, n_hit, items, spans = [], [], [], []
-        for first, last, hashes, at in word_hashes(data, offsets, ALNUM):
-            row = np.repeat(np.arange(last - first), np.diff(at))
-            hit, found = hits(index, hashes, row)
-            own: dict[int, set[int]] = {}
-            for size, (start, window) in found.items():
-                of = row[start]
-                for r in np.unique(of):
-                    own.setdefault(int(r), set()).update(index.items_of(size, np.unique(window[of == r])).tolist())
-            total = np.append(0, np.cumsum(hit))
-            n_words += np.diff(at).tolist()
-            n_hit += (total[at[1:]] - total[at[:-1]]).tolist()
-            for r in range(last - first):
-                mine = sorted(set(index.names[list(own[r])])) if r in own else []
-                items.append(mine)
-                if not whole:
-                    edge = np.flatnonzero(np.diff(np.concatenate([[False], hit[at[r] : at[r + 1]], [False]]).astype(np.int8)))
-                    spans.append([{"start": int(a), "end": int(b)} for a, b in edge.reshape(-1, 2)])
-        if whole:
-            digest = [hashlib.sha256(",".join(m).encode()).hexdigest() for m in items]
-            columns = [pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(list(map(len, items)), pa.int64()), pa.array(digest, pa.string())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", "n_words", "n_hit", "n_items", "items_sha256"])
-        else:
-            columns = [pa.array(n_words, pa.int64()), pa.array(items, pa.list_(pa.string())), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["row", "n_words", "items", "spans"])
+        n_words, items, spans = [], [], []
+        for words, _, own, edges in _shared(_index(tuple(names), tuple(texts)), batch.column(1)):
+            n_words += words.tolist()
+            items += own
+            spans += [[{"start": int(a), "end": int(b)} for a, b in e] for e in edges]
+        columns = [pa.array(n_words, pa.int64()), pa.array(items, pa.list_(pa.string())), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))]
+        yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["row", "n_words", "items", "spans"])
 
 
 @functools.lru_cache(2)
@@ -186,16 +201,22 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     null item id counts as an empty string. Rows that repeat an id are judged alone.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    schema = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string"
     parts = blocks(benchmark, item_col, item_text_col)
     first, second = next(parts), next(parts, None)
     if second is None:
-        out = rows.mapInArrow(functools.partial(_scan, *_split(first), True), schema)
+        out = rows.select("doc_id", _found(*_split(first))("text").alias("found")).select("doc_id", "found.*")
     else:
         out = _merged(rows, [first, second], parts)
     return out.withColumn("contaminated", F.col("n_hit") > 0).withColumnRenamed("doc_id", id_col)
 
 
+def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, whole, that hold no window of an item: one filter for each block of items."""
+    for block in blocks(benchmark, item_col, item_text_col):
+        docs = docs.where(_found(*_split(block))(F.col(text_col))["n_hit"] == 0)
+    return docs
+
+
 def _split(block: list[tuple[str, str | None]]) -> tuple[list[str], list[str | None]]:
     return [n for n, _ in block], [t for _, t in block]
 
@@ -207,7 +228,7 @@ def _merged(rows: DataFrame, begun: list, parts: Iterator[list]) -> DataFrame:
     schema = "row long, n_words long, items array<string>, spans array<struct<start:long,end:long>>"
     passes, sizes = [], None
     for k, block in enumerate(itertools.chain(begun, parts)):
-        got = numbered.select("row", "text").mapInArrow(functools.partial(_scan, *_split(block), False), schema)
+        got = numbered.select("row", "text").mapInArrow(functools.partial(_scan, *_split(block)), schema)
         got = space.stash(got if k == 0 else got.where("size(spans) > 0"), f"pass-{k}")
         sizes = got.select("row", "n_words") if k == 0 else sizes
         passes.append(got.where("size(spans) > 0").select("row", "items", "spans"))

@@ -14,7 +14,6 @@ labelled rows, those of the least hash of their id.
 
 from __future__ import annotations
 
-import functools
 import math
 from collections.abc import Iterator
 
@@ -91,12 +90,6 @@ def weights(ratio: np.ndarray, column: pa.Array) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0)
 
 
-def _weighed(shared, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        w = weights(shared.value, batch.column(1))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(w, pa.float64(), mask=np.isnan(w))], ["doc_id", "weight"])
-
-
 def gumbel(seed: int, *columns: str) -> Column:
     """Gumbel noise by a hash, the same for the same values and seed."""
     unit = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), *columns), 12) + F.lit(0.5)) / F.lit(float(1 << 52))
@@ -136,6 +129,51 @@ def cut(good: np.ndarray, bad: np.ndarray, leniency: float = 0.005) -> float:
     return float(edges[np.flatnonzero(right / 2 >= right.max() / 2 - leniency)[0]])
 
 
+class Classifier:
+    """The log ratio of each bucket, and the key from which texts are kept."""
+
+    def __init__(self, shared, edge: float, seed: int):
+        self.shared, self.edge, self.seed = shared, edge, seed
+
+    def weight(self, text: Column) -> Column:
+        """The weight of a text; null where it has no words."""
+        shared = self.shared
+
+        def weigh(column: pa.Array) -> pa.Array:
+            w = weights(shared.value, column)
+            return pa.array(w, pa.float64(), mask=np.isnan(w))
+
+        return F.arrow_udf(weigh, "double")(text)
+
+    def key(self, weight: Column, id_col: str) -> Column:
+        return weight * SHARPNESS + gumbel(self.seed, id_col)
+
+    def selected(self, key: Column) -> Column:
+        """Whether a key is one of the k largest, k being the number that reach the cut."""
+        return key.isNotNull() & (key >= F.lit(self.edge))
+
+    @classmethod
+    def fit(cls, docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, sample: int, seed: int) -> Classifier:
+        spark = docs.sparkSession
+        rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+        known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label")).dropna()
+        known = known.groupBy("doc_id").agg(F.min("label").alias("label")).orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(sample)
+        held = F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id"), F.lit(5)) == 0
+        known = Workspace(spark, "quality").stash(known.withColumn("held", held), "known")
+        good = F.broadcast(known.where("label = 1 and not held").select("doc_id", F.lit(True).alias("chosen")))  # at most `sample` rows
+        counted = rows.join(good, "doc_id", "left").select("text", F.coalesce("chosen", F.lit(False)).alias("chosen"))
+        counts = counted.mapInArrow(_counted, "bucket int, total long, target long").groupBy("bucket").agg(F.sum("total"), F.sum("target")).collect()
+        total, target = np.zeros(_BUCKETS, np.int64), np.zeros(_BUCKETS, np.int64)
+        for bucket, t, g in counts:  # one row for each bucket at most
+            total[bucket], target[bucket] = t, g
+        own = cls(spark.sparkContext.broadcast(log_ratios(total, target)), -math.inf, seed)  # one number for each bucket
+        told = rows.join(F.broadcast(known.where("held")), "doc_id")  # at most `sample` rows
+        told = told.select(own.key(own.weight(F.col("text")), "doc_id").alias("key"), "label").collect()
+        keys = {y: np.array(sorted(r["key"] for r in told if r["key"] is not None and (r["label"] == 1) == y)) for y in (True, False)}
+        own.edge = cut(keys[True], keys[False])
+        return own
+
+
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE, seed: int = 7) -> DataFrame:
     """One row for each row of ``docs``: its id, ``log_weight``, ``gumbel_key``, ``selected``.
 
@@ -144,25 +182,13 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     no text has, teach nothing; an id labelled twice counts as its least label. A null id takes
     part with the noise of its seed.
     """
-    spark = docs.sparkSession
-    space = Workspace(spark, "quality")
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label")).dropna()
-    known = known.groupBy("doc_id").agg(F.min("label").alias("label")).orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(sample)
-    held = F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id"), F.lit(5)) == 0
-    known = space.stash(known.withColumn("held", held), "known")
-    good = F.broadcast(known.where("label = 1 and not held").select("doc_id", F.lit(True).alias("chosen")))  # at most `sample` rows
-    counted = rows.join(good, "doc_id", "left").select("text", F.coalesce("chosen", F.lit(False)).alias("chosen"))
-    counts = counted.mapInArrow(_counted, "bucket int, total long, target long").groupBy("bucket").agg(F.sum("total"), F.sum("target")).collect()
-    total, target = np.zeros(_BUCKETS, np.int64), np.zeros(_BUCKETS, np.int64)
-    for bucket, t, g in counts:  # one row for each bucket at most
-        total[bucket], target[bucket] = t, g
-    shared = spark.sparkContext.broadcast(log_ratios(total, target))  # one number for each bucket
-    weighed = rows.mapInArrow(functools.partial(_weighed, shared), "doc_id long, weight double")
-    key = F.col("weight") * SHARPNESS + gumbel(seed, "doc_id")
-    keyed = space.stash(weighed.withColumn("key", key), "keyed")
-    told = keyed.join(F.broadcast(known.where("held")), "doc_id").where("key is not null").select("key", "label").collect()  # at most `sample` rows
-    edge = cut(np.array([k for k, y in told if y == 1]), np.array([k for k, y in told if y == 0]))
-    # the rows that reach the cut are the top k by key, k being their number
-    selected = F.col("key").isNotNull() & (F.col("key") >= F.lit(edge))
-    return keyed.select(F.col("doc_id").alias(id_col), F.col("weight").alias("log_weight"), F.col("key").alias("gumbel_key"), selected.alias("selected"))
+    own = Classifier.fit(docs, labels, id_col, text_col, label_col, sample, seed)
+    rows = docs.select(F.col(id_col).cast("long").alias(id_col), own.weight(F.col(text_col)).alias("log_weight"))
+    rows = rows.withColumn("gumbel_key", own.key(F.col("log_weight"), id_col))
+    return rows.withColumn("selected", own.selected(F.col("gumbel_key")))
+
+
+def select(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE, seed: int = 7) -> DataFrame:
+    """The rows of ``docs``, whole, that ``classify`` selects; nothing is shuffled."""
+    own = Classifier.fit(docs, labels, id_col, text_col, label_col, sample, seed)
+    return docs.where(own.selected(own.key(own.weight(F.col(text_col)), id_col)))
