@@ -1,11 +1,13 @@
 """Near duplicates: universal hash minima, banding, signature verification, exact confirmation.
 
 A text's set is its distinct shingles of five words. Texts with equal sets become one node, so
-that a group of copies of any size costs one. A node's signature has ``BANDS * ROWS`` minima of
-universal hash functions; nodes that agree in all rows of a band share a bucket. Two sets with a
-similarity of 0.85 share none of the 24 buckets with a probability of 0.0000008.
+that a group of copies of any size costs one. ``HASHES`` minima of universal hash functions
+describe a node; nodes that agree in all rows of a band of the first ones share a bucket. Two sets
+with a similarity of 0.85 share none of the 24 buckets with a probability of 0.0000008. A node's
+signature is the low byte of each minimum.
 
-In each bucket every node is held against the bucket's least node only. Links join nodes into
+In each bucket every node is held against one only, the one that shares its buckets with the most
+others: in a group of edited copies that is the text they were made from. Links join nodes into
 components; where a bucket still holds several components, its nodes are held against each other
 in blocks of ``BLOCK``, by signature, inside a task: only pairs from different components, not
 tried before, whose signatures agree well enough leave the task. So a bucket of copies costs as
@@ -32,12 +34,13 @@ from folioscope.llm.words import NOT_SPACE, grams, mix, word_hashes
 
 WORDS = 5
 BANDS, ROWS = 24, 5
+HASHES = 512
 BLOCK = 128
-#: Of the minima, at least so many must agree before full sets are compared: 5 deviations below 0.85.
-LEAST_AGREEING = 0.68
+#: Of the minima, at least so many must agree before full sets are compared: 4.5 deviations below 0.85.
+LEAST_AGREEING = 0.78
 
-_rng = mix(np.arange(1, 2 * BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-FACTOR, ADD = _rng[: BANDS * ROWS] | np.uint64(1), _rng[BANDS * ROWS :]
+_rng = (mix(np.arange(1, 2 * HASHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.uint32)
+FACTOR, ADD = _rng[:HASHES] | np.uint32(1), _rng[HASHES:]
 
 
 def shingle_set(words: np.ndarray) -> np.ndarray:
@@ -54,50 +57,54 @@ def sets_of(column: pa.Array) -> Iterator[np.ndarray]:
             yield shingle_set(hashes[at[i] : at[i + 1]])
 
 
-def signature(items: np.ndarray) -> np.ndarray:
-    """The minima of all hash functions over a set, 32 bits of each."""
-    least = np.full(len(FACTOR), np.iinfo(np.uint64).max, np.uint64)
-    for k in range(0, len(items), 2048):
-        x = items[k : k + 2048]
-        for j in range(0, len(FACTOR), 20):
-            h = FACTOR[j : j + 20, None] * x
-            h += ADD[j : j + 20, None]
-            np.minimum(least[j : j + 20], h.min(axis=1), out=least[j : j + 20])
-    return (least >> np.uint64(32)).astype(np.uint32)
+def minima(items: np.ndarray) -> np.ndarray:
+    """The least value of each hash function over a set."""
+    least = np.full(HASHES, np.iinfo(np.uint32).max, np.uint32)
+    short = (items >> np.uint64(32)).astype(np.uint32)
+    for k in range(0, len(items), 4096):
+        x = short[k : k + 4096]
+        for j in range(0, HASHES, 32):
+            h = FACTOR[j : j + 32, None] * x
+            h += ADD[j : j + 32, None]
+            np.minimum(least[j : j + 32], h.min(axis=1), out=least[j : j + 32])
+    return least
 
 
-def band_keys(signatures: np.ndarray) -> np.ndarray:
-    """A 64-bit key for each signature (row) and band (column)."""
-    rows = signatures.reshape(len(signatures), BANDS, ROWS).astype(np.uint64)
-    key = np.repeat(np.arange(1, BANDS + 1, dtype=np.uint64)[None], len(rows), 0)
+def band_keys(least: np.ndarray) -> np.ndarray:
+    """A 64-bit key for each band of one node's minima."""
+    rows = least[: BANDS * ROWS].reshape(BANDS, ROWS).astype(np.uint64)
+    key = np.arange(1, BANDS + 1, dtype=np.uint64)
     for r in range(ROWS):
-        key = mix(key * np.uint64(0x9E3779B97F4A7C15) + rows[:, :, r])
+        key = mix(key * np.uint64(0x9E3779B97F4A7C15) + rows[:, r])
     return key.view(np.int64)
 
 
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        n, node, sig = [], [], []
+        n, node, sig, keys = [], [], [], []
         for items in sets_of(batch.column(2)):
             n.append(len(items))
             if len(items):
                 node.append(int.from_bytes(hashlib.blake2b(items.tobytes(), digest_size=8).digest(), "little", signed=True))
-                sig.append(signature(items).tobytes())
+                least = minima(items)
+                sig.append(least.astype(np.uint8).tobytes())
+                keys.append(band_keys(least).tobytes())
             else:
                 node.append(None)
                 sig.append(None)
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(sig, pa.binary())], ["doc_id", "text_hash", "n_shingles", "node", "sig"])
+                keys.append(None)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(sig, pa.binary()), pa.array(keys, pa.binary())], ["doc_id", "text_hash", "n_shingles", "node", "sig", "keys"])
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
+def _matrix(column: pa.Array, kind: type, width: int) -> np.ndarray:
     data, offsets = utf8(column)
-    return data[offsets[0] : offsets[-1]].view(np.uint32).reshape(-1, BANDS * ROWS)
+    return data[offsets[0] : offsets[-1]].view(kind).reshape(-1, width)
 
 
 def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if len(batch):
-            keys = band_keys(_matrix(batch.column(1)))
+            keys = _matrix(batch.column(1), np.int64, BANDS)
             node = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), BANDS)
             yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(node)], ["bucket", "node"])
 
@@ -106,7 +113,7 @@ def _agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of pairs (u, v, signatures), those whose signatures agree well enough."""
     for batch in batches:
         if len(batch):
-            same = (_matrix(batch.column(2)) == _matrix(batch.column(3))).mean(axis=1)
+            same = (_matrix(batch.column(2), np.uint8, HASHES) == _matrix(batch.column(3), np.uint8, HASHES)).mean(axis=1)
             yield batch.select([0, 1]).filter(pa.array(same >= LEAST_AGREEING))
 
 
@@ -133,8 +140,7 @@ def _within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group = pa.Table.from_batches(rows).combine_chunks().to_batches()[0]
         bucket, low, high = key
         node, label, block, pivot = (group.column(k).to_numpy(zero_copy_only=False) for k in (3, 4, 5, 6))
-        sig = _matrix(group.column(7))
-        keys = band_keys(sig)
+        sig, keys = _matrix(group.column(7), np.uint8, HASHES), _matrix(group.column(8), np.int64, BANDS)
         left, right = np.flatnonzero(block == low), np.flatnonzero(block == high)
         us, vs = [], []
         band = int(np.flatnonzero(keys[0] == bucket)[0])
@@ -186,17 +192,20 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     """
     space = Workspace(docs.sparkSession, "neardup")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
-    signed = space.stash(rows.mapInArrow(_signed, "doc_id long, text_hash long, n_shingles long, node long, sig binary"), "signed")
+    signed = space.stash(rows.mapInArrow(_signed, "doc_id long, text_hash long, n_shingles long, node long, sig binary, keys binary"), "signed")
     # one row for each distinct set
-    nodes = space.stash(signed.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"), F.min_by(F.struct("doc_id", "text_hash", "sig"), F.coalesce("doc_id", F.lit(1 << 62))).alias("one")), "nodes")
-    buckets = nodes.select("node", "one.sig").mapInArrow(_buckets, "bucket long, node long")
-    sizes = buckets.groupBy("bucket").agg(F.min("node").alias("pivot"), F.count("*").alias("size")).where("size > 1")
-    crowded = space.stash(buckets.join(sizes, "bucket"), "crowded")
+    nodes = space.stash(signed.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"), F.min_by(F.struct("doc_id", "text_hash", "sig", "keys"), F.coalesce("doc_id", F.lit(1 << 62))).alias("one")), "nodes")
+    buckets = nodes.select("node", "one.keys").mapInArrow(_buckets, "bucket long, node long")
+    sizes = buckets.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
+    shared = space.stash(buckets.join(sizes, "bucket"), "shared")
+    company = shared.groupBy("node").agg(F.sum("size").alias("company"))
+    ranked = shared.join(company, "node").groupBy("bucket").agg(F.max(F.struct("company", "node")).alias("top"))
+    crowded = space.stash(shared.join(ranked.select("bucket", F.col("top.node").alias("pivot")), "bucket"), "crowded")
     inside = crowded.select("node").distinct().join(nodes, "node").select("node", "one.*")
-    inside = inside.select("node", F.col("doc_id").alias("at"), F.col("text_hash").alias("hash"), "sig")
+    inside = inside.select("node", F.col("doc_id").alias("at"), F.col("text_hash").alias("hash"), "sig", "keys")
     texts = rows.join(inside, rows["doc_id"].eqNullSafe(inside["at"]) & (rows["text_hash"] == inside["hash"]))
-    texts = space.stash(texts.select("node", "text", "sig").dropDuplicates(["node"]), "texts")
-    sigs = texts.select("node", "sig")
+    texts = space.stash(texts.select("node", "text", "sig", "keys").dropDuplicates(["node"]), "texts")
+    sigs = texts.select("node", "sig", "keys")
 
     def verified(pairs: DataFrame) -> DataFrame:
         agreeing = _with(pairs, sigs, "sig").mapInArrow(_agreeing, "u long, v long")
@@ -211,7 +220,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     open_ = labelled.join(mixed, "bucket").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
     open_ = open_.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     spread = open_.join(sigs, "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    spread = spread.select("bucket", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "node", "label", "block", "pivot", "sig")
+    spread = spread.select("bucket", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "node", "label", "block", "pivot", "sig", "keys")
     key = ["bucket", "low", "high"]
     tried = spread.repartition(*key).sortWithinPartitions(*key).mapInArrow(_within, "u long, v long")
     more = space.stash(verified(tried.distinct()), "links-2")
