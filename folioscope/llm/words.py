@@ -80,7 +80,8 @@ def _pieces(offsets: np.ndarray, data: np.ndarray, member: np.ndarray) -> Iterat
                         cut += 1
                 yield row, row + 1, at, cut
                 at = cut
-            yield row, row + 1, at, stop
+            if at < stop:
+                yield row, row + 1, at, stop
             row += 1
             continue
         end = int(np.searchsorted(offsets, offsets[row] + PIECE, "right")) - 1
