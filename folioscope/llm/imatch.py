@@ -154,11 +154,11 @@ def compare(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     rows = rows.withColumns({"k": F.coalesce("doc_id", F.lit(-(1 << 63))), "h": F.xxhash64("text")})
     keys = space.stash(rows.select("k", "h", F.length("text").cast("long").alias("n")).distinct(), "keys")
     order = space.stash(following(keys), "order")
-    printed = rows.withColumn("print", fingerprint(F.col("text"), bits))
-    placed = printed.join(order, ["k", "h"])
-    start = placed.select(F.col("pk").alias("k"), F.col("ph").alias("h"), F.expr("left(text, cast(pn div 3 as int))").alias("start"), F.col("print").alias("next_print"))
+    # both sides of the join below read one exchange of the texts
+    printed = rows.select("k", "h", "text", fingerprint(F.col("text"), bits).alias("print"))
+    start = printed.join(order, ["k", "h"]).select(F.col("pk").alias("k"), F.col("ph").alias("h"), F.expr("left(text, cast(pn div 3 as int))").alias("start"), F.col("print").alias("next_print"))
     start = start.dropDuplicates(["k", "h"])
-    both = placed.select("doc_id", "k", "h", "text", "print").join(start, ["k", "h"])
+    both = printed.join(start, ["k", "h"]).withColumn("doc_id", F.nullif("k", F.lit(-(1 << 63))))
     n = F.length("text")
     edited = F.concat(F.expr("left(text, length(text) - cast(length(text) div 3 as int))"), F.col("start"))
     both = both.select("doc_id", n.cast("long").alias("n_chars"), "print", "next_print", edited.alias("edited"))
