@@ -7,7 +7,7 @@ after a plus or brackets as phones, dotted quads as ips. Boosted trees score eac
 format (digits, groups, checks) and context (neighbouring characters, words before it). The trees
 learn from the texts themselves: a candidate that is a base span is positive, one that is a base
 match that failed is negative; candidates inside longer dropped matches, which the trees are for,
-teach nothing. A threshold for each kind is set on texts that the trees haven't seen. Candidates
+teach nothing, and equal texts teach once. A threshold for each kind is set on texts that the trees haven't seen. Candidates
 over it that meet no base span are added; base spans always stay.
 
 Equal feature values are counted together before they reach the driver, so the trees see every
@@ -39,6 +39,8 @@ GENERATORS = {
     "card": [r"(?<![0-9])[0-9]{16,19}(?![0-9])", r"(?<![0-9])[0-9]{4}([\x20-])[0-9]{4}\1[0-9]{4}\1[0-9]{4}(?![0-9])"],
     "phone": [r"\+[0-9]{1,3}[\x20.-]?\(?[0-9]{2,4}\)?[\x20.-]?[0-9]{3,4}[\x20.-]?[0-9]{3,4}(?![0-9])", r"(?<![0-9+])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9])"],
 }
+SPAN = "struct<kind:string,start:int,end:int,s:string>"
+PART = 128
 ROUNDS, SHRINK, LEAST_PRECISION = 40, 0.3, 0.95
 FEATURES = ("kind", "digits", "groups", "luhn", "quad", "plus", "bracket", "before", "after", "word")
 _WORDS = "card|visa|master|credit|phone|call|tel|fax|mobile|mail|host|server|addr"
@@ -78,28 +80,49 @@ def valid(kind: str, s: Column) -> Column:
 def matches(text: Column, pattern: str, kind: str) -> Column:
     """Leftmost non-overlapping matches as (kind, start, end, s), in code points."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    none = F.array().cast("array<struct<kind:string,start:int,end:int,s:string>>")
+    none = F.array().cast(f"array<{SPAN}>")
 
     def placed(m: Column) -> Column:
         pieces = F.split(text, pattern, -1)
-        start = F.struct(none.alias("out"), F.lit(0).alias("at"))
+        start = F.struct(F.array().cast(f"array<array<{SPAN}>>").alias("out"), none.alias("part"), F.lit(0).alias("at"))
 
         def step(a: Column, x: Column) -> Column:
             begin = a["at"] + F.length(x["p"])
             end = begin + F.length(x["m"])
             one = F.struct(F.lit(kind).alias("kind"), begin.alias("start"), end.alias("end"), x["m"].alias("s"))
-            return F.struct(F.concat(a["out"], F.array(one)).alias("out"), end.alias("at"))
+            full = F.size(a["part"]) >= PART  # parts keep what is copied at each step short
+            out = F.when(full, F.concat(a["out"], F.array(a["part"]))).otherwise(a["out"])
+            return F.struct(out.alias("out"), F.when(full, F.array(one)).otherwise(F.concat(a["part"], F.array(one))).alias("part"), end.alias("at"))
 
         pairs = F.zip_with(m, F.slice(pieces, F.lit(1), F.size(m)), lambda x, p: F.struct(x.alias("m"), p.alias("p")))
-        return F.when(F.size(m) > 0, F.aggregate(pairs, start, step, lambda a: a["out"])).otherwise(none)
+        return F.when(F.size(m) > 0, F.aggregate(pairs, start, step, lambda a: F.concat(F.flatten(a["out"]), a["part"]))).otherwise(none)
 
     hint = F.contains(text, F.lit(HINTS[kind])) if kind in HINTS and pattern == PATTERNS[kind] else text.rlike("[0-9]{3}|[0-9][\\x20.-][0-9]") if kind != "card" or pattern != PATTERNS[kind] else text.rlike("[0-9][\\x20-]?[0-9]")
     return F.when(hint, _let(found, placed)).otherwise(none)
 
 
-def candidates(text: Column) -> Column:
-    """Spans of the generators, with the features of each."""
-    spans = F.array_distinct(F.concat(*(matches(text, p, k) for k, ps in GENERATORS.items() for p in ps)))
+def masked(text: Column, spans: Column) -> Column:
+    """The text with every code point in a span as a star; spans may overlap."""
+    ordered = F.sort_array(F.transform(spans, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"))))
+    none = F.array().cast("array<string>")
+    begin = F.struct(F.array().cast("array<array<string>>").alias("out"), none.alias("part"), F.lit(0).alias("at"))
+
+    def step(a: Column, x: Column) -> Column:
+        start = F.greatest(a["at"], x["start"])
+        new = F.array(F.substring(text, a["at"] + 1, start - a["at"]), F.repeat(F.lit("*"), F.greatest(F.lit(0), x["end"] - start)))
+        full = F.size(a["part"]) >= PART
+        out = F.when(full, F.concat(a["out"], F.array(a["part"]))).otherwise(a["out"])
+        return F.struct(out.alias("out"), F.when(full, new).otherwise(F.concat(a["part"], new)).alias("part"), F.greatest(a["at"], x["end"]).alias("at"))
+
+    def joined(a: Column) -> Column:
+        return F.array_join(F.concat(F.flatten(a["out"]), a["part"], F.array(F.substring(text, a["at"] + 1, F.length(text)))), "")
+
+    return F.when(F.size(ordered) > 0, F.aggregate(ordered, begin, step, joined)).otherwise(text)
+
+
+def candidates(text: Column, hidden: Column | None = None) -> Column:
+    """Spans of the generators, with the features of each; in ``hidden``, where that is given."""
+    spans = F.concat(*(matches(text if hidden is None else hidden, p, k) for k, ps in GENERATORS.items() for p in ps))
 
     def side(c: Column) -> Column:
         return F.when(c == "", 0).when(c.rlike("^\\p{L}"), 1).when(c.rlike("^[0-9]"), 2).when(c.rlike("^\\s"), 3).otherwise(4)
@@ -180,7 +203,11 @@ class Trees:
         return tree
 
     def score(self, x: tuple[int, ...]) -> float:
-        return self.start + SHRINK * sum(self._value(t, x) for t in self.trees)
+        """The same sum, in the same order, as ``column`` makes."""
+        total = self.start
+        for t in self.trees:
+            total += SHRINK * self._value(t, x)
+        return total
 
     def column(self, f: Column) -> Column:
         def sql(tree) -> Column:
@@ -225,24 +252,35 @@ class Detector:
         read = docs.select(text.alias("text")).where(F.col("text").rlike("[0-9]{3}|[0-9][\\x20.-][0-9]"))
         text = F.col("text")
         every = F.concat(*(matches(text, PATTERNS[k], k) for k in KINDS))
-        held = (F.pmod(F.xxhash64(F.lit(9), "text"), F.lit(4)) == 0).alias("held")
-        found = read.select(held, every.alias("every"), candidates(text).alias("found")).select("held", "every", F.explode("found").alias("c"))
-        same = F.filter("every", lambda x: (x["kind"] == F.col("c")["kind"]) & (x["start"] == F.col("c")["start"]) & (x["end"] == F.col("c")["end"]))
-        right = F.when(F.col("c")["kind"] == "ip", valid("ip", same[0]["s"])).when(F.col("c")["kind"] == "card", valid("card", same[0]["s"])).otherwise(valid("phone", same[0]["s"]))
-        told = found.where(F.size(same) > 0).select("held", "c.f.*", right.cast("int").alias("label"))
+        # equal texts count once; their candidates and base matches meet by text and place
+        read = read.select("text", F.xxhash64("text").alias("t"), F.xxhash64(F.reverse("text")).alias("u"))
+        place = ["t", "u", "kind", "start", "end"]
+        cut = lambda spans, *more: read.select("t", "u", F.explode(spans).alias("c")).select("t", "u", "c.kind", "c.start", "c.end", *more)
+        found = cut(candidates(text), "c.f").distinct()
+        every = F.concat(*(matches(text, PATTERNS[k], k) for k in KINDS[1:]))
+        s = F.col("c.s")
+        right = F.when(F.col("c.kind") == "ip", valid("ip", s)).when(F.col("c.kind") == "card", valid("card", s)).otherwise(valid("phone", s))
+        known = cut(every, right.cast("int").alias("label")).distinct()
+        held = (F.pmod(F.xxhash64(F.lit(9), "t"), F.lit(4)) == 0).alias("held")
+        told = found.join(known, place).select(held, "f.*", "label")
         counts = told.groupBy("held", *FEATURES).agg(F.count("*").alias("rows"), F.sum("label").alias("yes")).collect()
         table = {h: sorted((tuple(r[f] for f in FEATURES), r["rows"], r["yes"]) for r in counts if r["held"] is h) for h in (False, True)}
         trees = Trees().fit(table[False])
         return cls(trees, calibrated(trees, table[True] or table[False]))
 
-    def _added(self, found: Column, kept: Column) -> Column:
-        """Candidates that score enough and meet no base span; of those that overlap, the best."""
-        scored = F.transform(found, lambda c: F.struct(self.trees.column(c["f"]).alias("score"), (c["end"] - c["start"]).alias("size"), *(c[k].alias(k) for k in ("kind", "start", "end"))))
-        enough = lambda c: F.coalesce(*(F.when(c["kind"] == KINDS[k - 1], c["score"] >= s) for k, s in self.least.items()), F.lit(False))
-        good = F.filter(scored, enough)
-        free = _let(F.struct(good.alias("g"), kept.alias("k")), lambda s: F.filter(s["g"], lambda c: ~F.exists(s["k"], lambda b: _overlaps(b, c))))
-        ahead = lambda a, b: (a["score"] > b["score"]) | ((a["score"] == b["score"]) & ((a["size"] > b["size"]) | ((a["size"] == b["size"]) & (a["start"] < b["start"]))))
-        return _let(free, lambda g: F.filter(g, lambda c: ~F.exists(g, lambda d: _overlaps(c, d) & ahead(d, c))))
+    def _added(self, found: Column) -> Column:
+        """Candidates that score enough; where some overlap, the first, of those the best, then the longest."""
+        scored = F.transform(found, lambda c: F.struct(c["start"].alias("start"), (-self.trees.column(c["f"])).alias("score"), (-c["end"]).alias("back"), c["kind"].alias("kind")))
+        enough = lambda c: F.coalesce(*(F.when(c["kind"] == KINDS[k - 1], c["score"] <= -s) for k, s in self.least.items()), F.lit(False))
+        ordered = F.sort_array(F.filter(scored, enough))
+        begin = F.struct(F.array().cast("array<struct<kind:string,start:int,end:int>>").alias("out"), F.lit(0).alias("at"))
+
+        def step(a: Column, c: Column) -> Column:
+            one = F.struct(c["kind"].alias("kind"), c["start"].alias("start"), (-c["back"]).alias("end"))
+            free = c["start"] >= a["at"]
+            return F.struct(F.when(free, F.concat(a["out"], F.array(one))).otherwise(a["out"]).alias("out"), F.when(free, -c["back"]).otherwise(a["at"]).alias("at"))
+
+        return F.aggregate(ordered, begin, step, lambda a: a["out"])
 
     def spans(self, docs: DataFrame, text_col: str = "text") -> DataFrame:
         """``docs`` with ``_base`` and ``_added``: arrays of (kind, start, end), by kind and start."""
@@ -253,7 +291,9 @@ class Detector:
         out = docs.withColumn("_base", plain(F.concat(*kept)))
         if not self.least:
             return out.withColumn("_added", F.slice("_base", 1, 0))
-        added = _let(F.struct(candidates(text).alias("c"), F.col("_base").alias("b")), lambda s: F.when(F.size(s["c"]) > 0, plain(self._added(s["c"], s["b"]))).otherwise(F.slice(s["b"], 1, 0)))
+        # candidates are sought where no base span is: those that meet one can't come up
+        free = masked(text, F.col("_base"))
+        added = _let(F.struct(free.alias("h"), F.col("_base").alias("b")), lambda s: _let(F.struct(candidates(text, s["h"]).alias("c"), s["b"].alias("b")), lambda q: F.when(F.size(q["c"]) > 0, self._added(q["c"])).otherwise(F.slice(q["b"], 1, 0))))
         return out.withColumn("_added", added)
 
 
@@ -285,13 +325,19 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     found = Detector.train(packed, "_text").spans(packed, "_text")
     ordered = F.sort_array(F.transform(F.concat("_base", "_added"), lambda x: F.struct(x["start"].alias("start"), (-x["end"]).alias("back"), x["kind"].alias("kind"))))
     text = F.col("_text")
-    begin = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
+    begin = F.struct(F.array().cast("array<array<string>>").alias("out"), F.array().cast("array<string>").alias("part"), F.lit(0).alias("at"))
 
     def step(a: Column, x: Column) -> Column:
         end = -x["back"]
-        new = F.concat(a["out"], F.substring(text, a["at"] + 1, x["start"] - a["at"]), F.lit("["), F.upper(x["kind"]), F.lit("]"))
-        return F.struct(F.when(x["start"] >= a["at"], new).otherwise(a["out"]).alias("out"), F.greatest(a["at"], end).alias("at"))
+        new = F.array(F.substring(text, a["at"] + 1, x["start"] - a["at"]), F.concat(F.lit("["), F.upper(x["kind"]), F.lit("]")))
+        new = F.when(x["start"] >= a["at"], new).otherwise(F.slice(new, 1, 0))
+        full = F.size(a["part"]) >= PART
+        out = F.when(full, F.concat(a["out"], F.array(a["part"]))).otherwise(a["out"])
+        return F.struct(out.alias("out"), F.when(full, new).otherwise(F.concat(a["part"], new)).alias("part"), F.greatest(a["at"], end).alias("at"))
+
+    def joined(a: Column) -> Column:
+        return F.array_join(F.concat(F.flatten(a["out"]), a["part"], F.array(F.substring(text, a["at"] + 1, F.length(text)))), "")
 
-    clean = F.aggregate(ordered, begin, step, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
+    clean = F.aggregate(ordered, begin, step, joined)
     clean = F.when(text.isNull() | (F.size(ordered) == 0), text).otherwise(clean)
     return found.select(F.col("_kept").withField(text_col, clean).alias("_kept")).select("_kept.*")
