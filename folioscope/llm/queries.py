@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import bpe, decontaminate, imatch, neardup, pii, quality, sharding, tokenfiles, toxicity, urls
+from folioscope.llm import bpe, decontaminate, imatch, neardup, oracles, pii, quality, sharding, tokenfiles, toxicity, urls
 from folioscope.llm.common import table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -93,4 +93,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pipeline": pipeline,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op1_neardup": oracles.OP1_NEARDUP, "op8_decontaminate": oracles.OP8_DECONTAMINATE}
