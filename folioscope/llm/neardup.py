@@ -2,9 +2,10 @@
 
 A text's set is its distinct shingles of five words. Texts with equal sets become one node, so
 that a group of copies of any size costs one. ``HASHES`` minima of universal hash functions
-describe a node; nodes that agree in all rows of a band of the first ones share a bucket. Two sets
-with a similarity of 0.85 share none of the 24 buckets with a probability of 0.0000008. A node's
-signature is the low byte of each minimum.
+describe a node; nodes that agree in all rows of a band of the first ones share a bucket. The number
+of bands follows the asked similarity, so that two sets that just reach it share no bucket with a
+probability of at most ``MISSED`` (24 bands of 5 at 0.85, 35 at 0.80). A node's signature is the low
+byte of each minimum.
 
 In each bucket every node is held against one only, the one that shares its buckets with the most
 others: in a group of edited copies that is the text they were made from. Links join nodes into
@@ -21,7 +22,9 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import math
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -33,11 +36,34 @@ from folioscope.llm.components import components
 from folioscope.llm.words import NOT_SPACE, grams, mix, word_hashes
 
 WORDS = 5
-BANDS, ROWS = 24, 5
+MOST_ROWS = 5
 HASHES = 512
 BLOCK = 128
-#: Of the minima, at least so many must agree before full sets are compared: 4.5 deviations below 0.85.
-LEAST_AGREEING = 0.78
+#: Two sets that just reach the asked similarity share no bucket with this probability at most.
+MISSED = 1e-6
+#: Of the minima, so many deviations fewer than expected may agree before full sets are compared.
+DEVIATIONS = 4.5
+
+
+class Plan(NamedTuple):
+    """What follows from the asked similarity."""
+
+    percent: int
+    bands: int
+    rows: int
+    least_agreeing: float
+
+
+def plan_for(percent: int) -> Plan:
+    """The bands with the most rows that miss few enough pairs within ``HASHES``, and the least share of equal minima."""
+    alike = percent / 100
+    if not 0 < alike <= 1:
+        raise ValueError(f"percent must be over 0 and at most 100, not {percent}")
+    for rows in range(MOST_ROWS, 0, -1):
+        bands = math.ceil(math.log(MISSED) / math.log1p(-(alike**rows))) if alike < 1 else 1
+        if bands * rows <= HASHES:
+            return Plan(percent, bands, rows, alike - DEVIATIONS * math.sqrt(alike * (1 - alike) / HASHES))
+    raise ValueError(f"{HASHES} minima are too few for {percent} percent")
 
 _rng = (mix(np.arange(1, 2 * HASHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.uint32)
 FACTOR, ADD = _rng[:HASHES] | np.uint32(1), _rng[HASHES:]
@@ -70,16 +96,16 @@ def minima(items: np.ndarray) -> np.ndarray:
     return least
 
 
-def band_keys(least: np.ndarray) -> np.ndarray:
+def band_keys(least: np.ndarray, plan: Plan) -> np.ndarray:
     """A 64-bit key for each band of one node's minima."""
-    rows = least[: BANDS * ROWS].reshape(BANDS, ROWS).astype(np.uint64)
-    key = np.arange(1, BANDS + 1, dtype=np.uint64)
-    for r in range(ROWS):
+    rows = least[: plan.bands * plan.rows].reshape(plan.bands, plan.rows).astype(np.uint64)
+    key = np.arange(1, plan.bands + 1, dtype=np.uint64)
+    for r in range(plan.rows):
         key = mix(key * np.uint64(0x9E3779B97F4A7C15) + rows[:, r])
     return key.view(np.int64)
 
 
-def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _signed(plan: Plan, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         n, node, sig, keys = [], [], [], []
         for items in sets_of(batch.column(2)):
@@ -88,7 +114,7 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 node.append(int.from_bytes(hashlib.blake2b(items.tobytes(), digest_size=8).digest(), "little", signed=True))
                 least = minima(items)
                 sig.append(least.astype(np.uint8).tobytes())
-                keys.append(band_keys(least).tobytes())
+                keys.append(band_keys(least, plan).tobytes())
             else:
                 node.append(None)
                 sig.append(None)
@@ -101,23 +127,23 @@ def _matrix(column: pa.Array, kind: type, width: int) -> np.ndarray:
     return data[offsets[0] : offsets[-1]].view(kind).reshape(-1, width)
 
 
-def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _buckets(plan: Plan, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if len(batch):
-            keys = _matrix(batch.column(1), np.int64, BANDS)
-            node = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), BANDS)
+            keys = _matrix(batch.column(1), np.int64, plan.bands)
+            node = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), plan.bands)
             yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(node)], ["bucket", "node"])
 
 
-def _agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _agreeing(plan: Plan, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of pairs (u, v, signatures), those whose signatures agree well enough."""
     for batch in batches:
         if len(batch):
             same = (_matrix(batch.column(2), np.uint8, HASHES) == _matrix(batch.column(3), np.uint8, HASHES)).mean(axis=1)
-            yield batch.select([0, 1]).filter(pa.array(same >= LEAST_AGREEING))
+            yield batch.select([0, 1]).filter(pa.array(same >= plan.least_agreeing))
 
 
-def _confirmed(percent: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _confirmed(plan: Plan, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of pairs (u, v, texts), those with 100 * intersection >= percent * union."""
     kept: tuple[str | None, np.ndarray] = (None, np.zeros(0))
     for batch in batches:
@@ -128,11 +154,11 @@ def _confirmed(percent: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.R
                 kept = text, next(sets_of(pa.array([text])))
             a = kept[1]
             both = len(np.intersect1d(a, b, assume_unique=True))
-            ok.append(100 * both >= percent * (len(a) + len(b) - both))
+            ok.append(100 * both >= plan.percent * (len(a) + len(b) - both))
         yield batch.select([0, 1]).filter(pa.array(ok, pa.bool_()))
 
 
-def _within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _within(plan: Plan, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Candidates inside (bucket, low, high) groups that come sorted: pairs not tried before."""
     schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
@@ -140,7 +166,7 @@ def _within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group = pa.Table.from_batches(rows).combine_chunks().to_batches()[0]
         bucket, low, high = key
         node, label, block, pivot = (group.column(k).to_numpy(zero_copy_only=False) for k in (3, 4, 5, 6))
-        sig, keys = _matrix(group.column(7), np.uint8, HASHES), _matrix(group.column(8), np.int64, BANDS)
+        sig, keys = _matrix(group.column(7), np.uint8, HASHES), _matrix(group.column(8), np.int64, plan.bands)
         left, right = np.flatnonzero(block == low), np.flatnonzero(block == high)
         us, vs = [], []
         band = int(np.flatnonzero(keys[0] == bucket)[0])
@@ -153,7 +179,7 @@ def _within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 j = j[j > i]
             if band:  # a pair is tried in the first bucket that it shares
                 j = j[~(earlier[j] == earlier[i]).any(axis=1)]
-            j = j[(sig[j] == sig[i]).mean(axis=1) >= LEAST_AGREEING]
+            j = j[(sig[j] == sig[i]).mean(axis=1) >= plan.least_agreeing]
             us += [node[i]] * len(j)
             vs += node[j].tolist()
         return pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], schema=schema) if us else None
@@ -190,12 +216,12 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     alone. A null id is never the least; where all are null, so is the component, and the row is
     kept. Rows that repeat an id count as texts of their own.
     """
-    space = Workspace(docs.sparkSession, "neardup")
+    space, plan = Workspace(docs.sparkSession, "neardup"), plan_for(percent)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
-    signed = space.stash(rows.mapInArrow(_signed, "doc_id long, text_hash long, n_shingles long, node long, sig binary, keys binary"), "signed")
+    signed = space.stash(rows.mapInArrow(functools.partial(_signed, plan), "doc_id long, text_hash long, n_shingles long, node long, sig binary, keys binary"), "signed")
     # one row for each distinct set
     nodes = space.stash(signed.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"), F.min_by(F.struct("doc_id", "text_hash", "sig", "keys"), F.coalesce("doc_id", F.lit(1 << 62))).alias("one")), "nodes")
-    buckets = nodes.select("node", "one.keys").mapInArrow(_buckets, "bucket long, node long")
+    buckets = nodes.select("node", "one.keys").mapInArrow(functools.partial(_buckets, plan), "bucket long, node long")
     sizes = buckets.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
     shared = space.stash(buckets.join(sizes, "bucket"), "shared")
     company = shared.groupBy("node").agg(F.sum("size").alias("company"))
@@ -208,8 +234,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     sigs = texts.select("node", "sig", "keys")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        agreeing = _with(pairs, sigs, "sig").mapInArrow(_agreeing, "u long, v long")
-        return _with(agreeing, texts, "text").mapInArrow(functools.partial(_confirmed, percent), "u long, v long")
+        agreeing = _with(pairs, sigs, "sig").mapInArrow(functools.partial(_agreeing, plan), "u long, v long")
+        return _with(agreeing, texts, "text").mapInArrow(functools.partial(_confirmed, plan), "u long, v long")
 
     stars = crowded.where("node <> pivot").select(F.col("pivot").alias("u"), F.col("node").alias("v")).distinct()
     links = space.stash(verified(stars), "links-1")
@@ -222,7 +248,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     spread = open_.join(sigs, "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     spread = spread.select("bucket", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "node", "label", "block", "pivot", "sig", "keys")
     key = ["bucket", "low", "high"]
-    tried = spread.repartition(*key).sortWithinPartitions(*key).mapInArrow(_within, "u long, v long")
+    tried = spread.repartition(*key).sortWithinPartitions(*key).mapInArrow(functools.partial(_within, plan), "u long, v long")
     more = space.stash(verified(tried.distinct()), "links-2")
     joined = components(links.union(more), space, "all")
     least = nodes.select("node", "least").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))

@@ -46,6 +46,30 @@ def test_op1_against_all_pairs(spark):
     same(neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")), want)
 
 
+@pytest.mark.parametrize("percent", [80, 60])
+def test_op1_at_other_percents(spark, percent):
+    """Pairs of 60 shingles that share just enough of all: none is lost by signature or banding."""
+    r, rows = random.Random(percent), []
+    word = lambda: f"w{r.randrange(10**9)}"
+    own = round(60 * (100 / percent - 1))  # shared / (shared + own) is percent
+    for k in range(300):
+        start, shared = [word() for _ in range(own)], [word() for _ in range(64)]
+        rows += [(2 * k, " ".join(shared)), (2 * k + 1, " ".join(start + shared))]
+    got = {x["doc_id"]: x["component_id"] for x in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), percent).collect()}
+    want = [c for pair in range(0, 600, 2) for _, c in brute.components(rows[pair : pair + 2], percent)]
+    assert [got[k] for k in range(600)] == want == [k - k % 2 for k in range(600)]
+
+
+def test_op1_plan():
+    assert neardup.plan_for(85)[1:3] == (24, 5) and neardup.plan_for(80)[1:3] == (35, 5)
+    for percent in range(3, 101):
+        _, bands, per_band, _ = neardup.plan_for(percent)
+        assert bands * per_band <= neardup.HASHES and (1 - (percent / 100) ** per_band) ** bands <= neardup.MISSED
+    for percent in (-1, 0, 1, 101):
+        with pytest.raises(ValueError):
+            neardup.plan_for(percent)
+
+
 def test_op1_without_one_middle(spark, monkeypatch):
     """A chain in one bucket whose ends aren't linked: found inside blocks, however small they are."""
     monkeypatch.setattr(neardup, "BLOCK", 4)
