@@ -16,6 +16,10 @@ from folioscope.llm.common import Workspace, table
 from folioscope.llm.queries import tokenizer_path
 
 
+#: Documents whose shingle sets are at least so alike are near duplicates.
+PERCENT = 80
+
+
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier rejects go."""
     return quality.select(docs, table(spark, sf_dir, "labels", "doc_id", "quality"))
@@ -23,7 +27,7 @@ def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the document of the least id stays; of rows that repeat an id, one."""
-    stay = neardup.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_stay")).distinct()
+    stay = neardup.near_duplicates(docs, percent=PERCENT).where("kept").select(F.col("doc_id").alias("_stay")).distinct()
     packed = docs.select(F.struct(*docs.columns).alias("_row"), F.col("doc_id").alias("_id"))
     joined = packed.join(stay, F.col("_id").eqNullSafe(F.col("_stay")), "left_semi")
     first = F.row_number().over(Window.partitionBy("_id").orderBy("_id"))

@@ -43,3 +43,14 @@ def test_odd_rows(spark, odd, none, tmp_path):
 
 def test_run(spark):
     assert corpus_pipeline.run(spark, SF).count() > 0
+
+
+def test_near_duplicates_from_80(spark):
+    """The stage links what is 0.80 alike or more, as all pairs tell."""
+    rows = []
+    for k in range(40):
+        shared = [f"s{k}x{j}" for j in range(64)]
+        rows += [(2 * k, " ".join(shared)), (2 * k + 1, " ".join([f"o{k}x{j}" for j in range(14 + k % 4)] + shared))]  # 60 of 74 to 77
+    got = corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), SF)
+    want = {c for _, c in brute.components(rows, 80)}
+    assert {r["doc_id"] for r in got.collect()} == want and 40 < len(want) < len(rows)
