@@ -1,11 +1,11 @@
 """Document fingerprints by I-Match, with DataFrame operations only.
 
 A text's terms are its distinct words (runs of letters and digits, lower case), as 64-bit hashes.
-Document frequencies are counted over all texts, by 2**BITS hash buckets, so that counting and
-the lexicon have a fixed size whatever the vocabulary. The lexicon holds the buckets whose inverse
-document frequency lies in a band: neither in more than ``COMMON`` of all texts, nor in fewer than
-two or than ``RARE`` of them. A text keeps its terms in the lexicon (all terms, if none is; a text
-without words stands for itself).
+Document frequencies are counted over all texts, term by term. The lexicon holds the terms whose
+inverse document frequency lies in a band: neither in more than ``COMMON`` of all texts, nor in fewer
+than two or than ``RARE`` of them. It is a written table that texts' terms are joined with; only the
+common terms, whose number the mean length of a text bounds, are broadcast. A text keeps its terms in
+the lexicon (all terms, if none is; a text without words stands for itself).
 
 Randomised lexicon subsets: level j parts the lexicon by a hash into 2**j subsets, of which the
 first ``SUBSETS`` count. In each subset the text's terms, sorted, are hashed together. The level
@@ -17,12 +17,13 @@ hashes among the subsets where either has terms.
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioscope.llm.common import Workspace
 
-BITS = 18
 COMMON, RARE = 0.05, 1e-6
 SUBSETS = 32
 
@@ -33,30 +34,34 @@ def terms(text: Column) -> Column:
     return F.array_distinct(F.transform(words, lambda w: F.xxhash64(w)))
 
 
-def _bucket(term: Column) -> Column:
-    return term.bitwiseAND(F.lit((1 << BITS) - 1))
+class Lexicon(NamedTuple):
+    """Tables of one column, ``term``: those in the band, and those more common."""
+
+    inside: DataFrame
+    common: DataFrame
 
 
-def lexicon(docs: DataFrame, text_col: str = "text") -> Column:
-    """The buckets in the band as a literal array of 2**BITS bits, 64 in each element."""
+def lexicon(docs: DataFrame, space: Workspace, text_col: str = "text") -> Lexicon:
+    """The exact document frequency of each term, counted over all rows, decides."""
     every = docs.select(F.explode(terms(F.coalesce(F.col(text_col), F.lit("")))).alias("term"))
-    seen = every.groupBy(_bucket(F.col("term")).alias("bucket")).agg(F.count("*").alias("df"))
     n = docs.count()
-    inside = seen.where(F.col("df").between(max(2, int(n * RARE)), max(2, int(n * COMMON))))
-    bit = F.expr("shiftleft(1L, cast(bucket % 64 as int))")
-    found = inside.groupBy((F.col("bucket") / 64).cast("long").alias("word")).agg(F.bit_or(bit).alias("bits"))
-    bits = [0] * (1 << (BITS - 6))
-    for word, some in found.collect():  # a row for each element at most
-        bits[word] = some
-    return F.split(F.lit(",".join(map(str, bits))), ",").cast("array<bigint>")  # folded to a constant
-
-
-def fingerprint(text: Column, bits: Column) -> Column:
-    """The level and the hashes of its subsets (upper) and of the level below (lower)."""
-    every = terms(text)
-    kept = F.filter(every, lambda t: F.getbit(F.get(bits, (_bucket(t) / 64).cast("int")), t.bitwiseAND(F.lit(63)).cast("int")) == 1)
+    seen = every.groupBy("term").agg(F.count("*").alias("df")).where(F.col("df") >= max(2, int(n * RARE)))
+    seen, most = space.stash(seen, "lexicon"), max(2, int(n * COMMON))
+    return Lexicon(seen.where(F.col("df") <= most).select("term"), seen.where(F.col("df") > most).select("term"))
+
+
+def in_lexicon(asked: DataFrame, own: Lexicon, keys: list[str], name: str) -> DataFrame:
+    """For each key of ``asked`` (keys, ``terms``) those of its terms that are in the lexicon; keys without any have no row."""
+    pairs = asked.select(*keys, F.explode("terms").alias("term"))
+    # fewer than (mean distinct terms of a text) / COMMON terms, at any size
+    pairs = pairs.join(F.broadcast(own.common), "term", "left_anti")
+    return pairs.join(own.inside, "term", "left_semi").groupBy(*keys).agg(F.collect_set("term").alias(name))
+
+
+def fingerprint(text: Column, kept: Column) -> Column:
+    """Of a text and its terms in the lexicon (null: none): the level and the hashes of its subsets (upper) and of the level below (lower)."""
     # each step binds its input to a name, so that it is computed once
-    own = _let(F.struct(every.alias("every"), kept.alias("kept"), text.alias("text")), lambda s: F.when(F.size(s["kept"]) > 0, s["kept"]).when(F.size(s["every"]) > 0, s["every"]).otherwise(F.array(F.xxhash64(s["text"]))))
+    own = _let(F.struct(terms(text).alias("every"), F.coalesce(kept, F.array().cast("array<bigint>")).alias("kept"), text.alias("text")), lambda s: F.when(F.size(s["kept"]) > 0, s["kept"]).when(F.size(s["every"]) > 0, s["every"]).otherwise(F.array(F.xxhash64(s["text"]))))
 
     def near(terms_: Column, level: Column) -> Column:
         mask = F.call_function("shiftleft", F.lit(1).cast("long"), level) - 1
@@ -116,9 +121,11 @@ def likeness(a: Column, b: Column) -> Column:
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The id and ``fingerprint`` (a string) of each row; equal texts have equal ones, null is empty."""
-    bits = lexicon(docs, text_col)
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(id_col, rendered(fingerprint(text, bits)).alias("fingerprint"))
+    space = Workspace(docs.sparkSession, "imatch")
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
+    kept = in_lexicon(rows.select("h", terms(F.col("text")).alias("terms")), lexicon(rows, space), ["h"], "kept")
+    printed = rows.join(kept, "h", "left")
+    return printed.select(F.col("id").alias(id_col), rendered(fingerprint(F.col("text"), F.col("kept"))).alias("fingerprint"))
 
 
 def following(keys: DataFrame) -> DataFrame:
@@ -150,19 +157,26 @@ def compare(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """
     space = Workspace(docs.sparkSession, "imatch")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    bits = lexicon(rows)
+    own = lexicon(rows, space)
     rows = rows.withColumns({"k": F.coalesce("doc_id", F.lit(-(1 << 63))), "h": F.xxhash64("text")})
     keys = space.stash(rows.select("k", "h", F.length("text").cast("long").alias("n")).distinct(), "keys")
     order = space.stash(following(keys), "order")
+    key = ["k", "h"]
+    kept = space.stash(in_lexicon(rows.select(*key, terms(F.col("text")).alias("terms")), own, key, "kept"), "kept")
     # both sides of the join below read one exchange of the texts
-    printed = rows.select("k", "h", "text", fingerprint(F.col("text"), bits).alias("print"))
+    printed = rows.join(kept, key, "left").select("*", fingerprint(F.col("text"), F.col("kept")).alias("print"))
     start = printed.join(order, ["k", "h"]).select(F.col("pk").alias("k"), F.col("ph").alias("h"), F.expr("left(text, cast(pn div 3 as int))").alias("start"), F.col("print").alias("next_print"))
     start = start.dropDuplicates(["k", "h"])
-    both = printed.join(start, ["k", "h"]).withColumn("doc_id", F.nullif("k", F.lit(-(1 << 63))))
     n = F.length("text")
     edited = F.concat(F.expr("left(text, length(text) - cast(length(text) div 3 as int))"), F.col("start"))
-    both = both.select("doc_id", n.cast("long").alias("n_chars"), "print", "next_print", edited.alias("edited"))
-    both = both.select("*", fingerprint(F.col("edited"), bits).alias("edited_print"))
+    both = printed.join(start, key).withColumn("edited", edited)
+    # terms that the edited text has from the next one, or from words cut in two
+    other = F.array_except(terms(F.col("edited")), terms(F.col("text")))
+    both = both.join(in_lexicon(both.select(*key, other.alias("terms")), own, key, "other_kept"), key, "left")
+    none = F.array().cast("array<bigint>")
+    edited_kept = F.concat(F.array_intersect(terms(F.col("edited")), F.coalesce("kept", none)), F.coalesce("other_kept", none))
+    both = both.withColumn("doc_id", F.nullif("k", F.lit(-(1 << 63))))
+    both = both.select("doc_id", n.cast("long").alias("n_chars"), "print", "next_print", "edited", fingerprint(F.col("edited"), edited_kept).alias("edited_print"))
     return both.select(
         F.col("doc_id").alias(id_col),
         "n_chars",

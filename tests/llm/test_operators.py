@@ -271,6 +271,16 @@ def test_op6_odd_rows(odd, none):
     assert imatch.compare(none).count() == 0 and imatch.fingerprints(odd).count() == 15
 
 
+def test_op6_lexicon_by_term(spark):
+    """Far more terms than any number of buckets would hold: words of one text only stay out, those of two come in."""
+    docs = spark.range(400).select(F.expr("concat_ws(' ', transform(sequence(1, 1500), j -> 'u' || id || 'x' || j), 'p' || (id div 2), 'm' || (id % 20), 'everywhere')").alias("text"))
+    own = imatch.lexicon(docs, Workspace(spark, "test"))
+    words = [f"p{k}" for k in range(200)] + [f"m{k}" for k in range(20)]
+    want = {r[0] for r in spark.createDataFrame([(w,) for w in words], "w string").select(F.xxhash64("w")).collect()}
+    assert {r["term"] for r in own.inside.collect()} == want
+    assert own.common.count() == 1
+
+
 def test_op6_likeness(docs):
     got = imatch.compare(docs).toPandas()
     assert got.near_edited.mean() > 0.3 and got.near_next.mean() < 0.05
