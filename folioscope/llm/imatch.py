@@ -4,15 +4,17 @@ A text's terms are its distinct words (runs of letters and digits, lower case),
 Document frequencies are counted over all texts, term by term. The lexicon holds the terms whose
 inverse document frequency lies in a band: neither in more than ``COMMON`` of all texts, nor in fewer
 than two or than ``RARE`` of them. It is a written table that texts' terms are joined with; only the
-common terms, whose number the mean length of a text bounds, are broadcast. A text keeps its terms in
-the lexicon (all terms, if none is; a text without words stands for itself).
-
-Randomised lexicon subsets: level j parts the lexicon by a hash into 2**j subsets, of which the
-first ``SUBSETS`` count. In each subset the text's terms, sorted, are hashed together. The level
-follows the number of terms, so that a subset holds about half a term of the text, and a change in
-some terms leaves the hashes of the other subsets; the level below is kept too, so that texts of
-up to twice the terms can be compared. The likeness of two fingerprints is the share of equal
-hashes among the subsets where either has terms.
+common terms, whose number the mean length of a text bounds, are broadcast. A text's terms are
+those it keeps, in the lexicon, and the rest (a text without words stands for itself).
+
+Randomised lexicon subsets, fixed and overlapping: level j parts all terms by a hash into 2**j
+subsets, of which the first 2**BASE count, for every j from ``BASE`` up. So the first level covers all
+terms, and each further one half of those before it. In each subset the text's terms are hashed
+together, kept ones and the rest apart; a fingerprint has these hashes at all levels where the text
+has terms. Two fingerprints are compared at the level where a subset holds about half a term of the
+text with more terms, so that a change in some terms leaves the hashes of the other subsets. Their
+likeness is the share of equal hashes among the subsets where either has terms: of kept terms, or of
+all where one of both keeps fewer than ``FEW``.
 """
 
 from __future__ import annotations
@@ -25,7 +27,8 @@ from pyspark.sql import functions as F
 from folioscope.llm.common import Workspace
 
 COMMON, RARE = 0.05, 1e-6
-SUBSETS = 32
+BASE, TOP = 7, 40
+FEW = 16
 
 
 def terms(text: Column) -> Column:
@@ -59,32 +62,27 @@ def in_lexicon(asked: DataFrame, own: Lexicon, keys: list[str], name: str) -> Da
 
 
 def fingerprint(text: Column, kept: Column) -> Column:
-    """Of a text and its terms in the lexicon (null: none): the level and the hashes of its subsets (upper) and of the level below (lower)."""
+    """Of a text and its terms in the lexicon (null: none): the numbers of kept and of all terms, and the hashes of kept ones and of the rest."""
     # each step binds its input to a name, so that it is computed once
-    own = _let(F.struct(terms(text).alias("every"), F.coalesce(kept, F.array().cast("array<bigint>")).alias("kept"), text.alias("text")), lambda s: F.when(F.size(s["kept"]) > 0, s["kept"]).when(F.size(s["every"]) > 0, s["every"]).otherwise(F.array(F.xxhash64(s["text"]))))
+    every = _let(terms(text), lambda t: F.when(F.size(t) > 0, t).otherwise(F.array(F.xxhash64(text))))
+    own = F.struct(every.alias("every"), F.coalesce(kept, F.array().cast("array<bigint>")).alias("kept"))
+    return _let(own, lambda s: F.struct(F.size(s["kept"]).alias("n_kept"), F.size(s["every"]).alias("n"), _hashes(s["kept"], 0).alias("kept"), _hashes(F.array_except(s["every"], s["kept"]), 1).alias("rest")))
 
-    def near(terms_: Column, level: Column) -> Column:
-        mask = F.call_function("shiftleft", F.lit(1).cast("long"), level) - 1
-        return F.filter(terms_, lambda t: _place(t).bitwiseAND(mask) < SUBSETS)
 
-    def whole(mine: Column) -> Column:
-        level = F.ceil(F.log2(F.size(mine).cast("double"))).cast("int") + 1
-        # the subsets of a level lie in those of the level below
-        lower = _let(F.struct(mine.alias("m"), level.alias("l")), lambda s: F.struct(near(s["m"], s["l"] - 1).alias("m"), s["l"].alias("l")))
-        return _let(lower, lambda s: F.struct(s["l"].alias("level"), _hashes(near(s["m"], s["l"]), s["l"]).alias("upper"), _hashes(s["m"], s["l"] - 1).alias("lower")))
+def _places(term: Column, kind: int) -> Column:
+    """The subsets of a term, at each level that has it, packed: level, number, kind."""
+    place = F.shiftrightunsigned(term, 64 - TOP)
+    # a level has a term if the bits of its place from BASE up to the level are zero
+    high = F.shiftrightunsigned(place, BASE)
+    deepest = F.when(high == 0, F.lit(TOP)).otherwise(BASE + F.round(F.log2(high.bitwiseAND(-high).cast("double"))).cast("int"))
+    low = F.shiftleft(place.bitwiseAND(F.lit((1 << BASE) - 1)), 1) + kind
+    return F.transform(F.sequence(F.lit(BASE), deepest), lambda j: F.shiftleft(j.cast("long"), BASE + 1) + low)
 
-    return _let(own, whole)
 
-
-def _place(term: Column) -> Column:
-    return F.shiftrightunsigned(term, 40)
-
-
-def _hashes(terms_: Column, level: Column) -> Column:
-    """For each subset with terms its number, in the high half, and the hash of its terms in order."""
-    mask = F.call_function("shiftleft", F.lit(1).cast("long"), level) - 1
+def _hashes(terms_: Column, kind: int) -> Column:
+    """For each subset with terms its level, number and kind, in the high half, and the hash of its terms in order."""
     low = F.lit(0xFFFFFFFF)
-    rows = F.sort_array(F.transform(terms_, lambda t: F.struct(_place(t).bitwiseAND(mask).alias("s"), t.alias("t"))))
+    rows = F.sort_array(F.flatten(F.transform(terms_, lambda t: F.transform(_places(t, kind), lambda s: F.struct(s.alias("s"), t.alias("t"))))))
     start = F.struct(F.array().cast("array<bigint>").alias("done"), F.lit(-1).cast("long").alias("s"), F.lit(0).alias("h"))
     packed = lambda a: F.shiftleft(a["s"], 32).bitwiseOR(a["h"].cast("long").bitwiseAND(low))
     ended = lambda a: F.when(a["s"] < 0, a["done"]).otherwise(F.concat(a["done"], F.array(packed(a))))
@@ -102,21 +100,28 @@ def _let(value: Column, body) -> Column:
 
 
 def rendered(print_: Column) -> Column:
-    """A fingerprint as a string: the level, then each subset's number and hash, in hexadecimal, of both levels."""
+    """A fingerprint as a string: the numbers of kept and of all terms, then each subset and hash, in hexadecimal, of kept ones and of the rest."""
     shown = lambda a: F.lower(F.array_join(F.transform(a, lambda h: F.hex(h)), "."))
-    return F.concat_ws(":", print_["level"].cast("string"), shown(print_["upper"]), shown(print_["lower"]))
+    return F.concat_ws(":", print_["n_kept"].cast("string"), print_["n"].cast("string"), shown(print_["kept"]), shown(print_["rest"]))
 
 
 def likeness(a: Column, b: Column) -> Column:
     """The share of equal hashes among subsets where either fingerprint has terms; 1 for equal ones."""
     subsets = lambda x: F.transform(x, lambda h: F.shiftright(h, 32))
 
-    def share(x: Column, y: Column) -> Column:
-        return F.size(F.array_intersect(x, y)) / F.greatest(F.lit(1), F.size(F.array_union(subsets(x), subsets(y))))
+    def share(s: Column) -> Column:
+        return F.size(F.array_intersect(s["x"], s["y"])) / F.greatest(F.lit(1), F.size(F.array_union(subsets(s["x"]), subsets(s["y"]))))
+
+    def at(x: Column, level: Column) -> Column:
+        return F.filter(x, lambda h: F.shiftright(h, 33 + BASE) == level)
 
-    step = a["level"] - b["level"]
-    at_level = F.when(step == 0, share(a["upper"], b["upper"])).when(step == 1, share(a["lower"], b["upper"])).when(step == -1, share(a["upper"], b["lower"])).otherwise(F.lit(0.0))
-    return F.when(a == b, F.lit(1.0)).otherwise(at_level)
+    few = F.least(a["n_kept"], b["n_kept"]) < FEW
+    most = F.when(few, F.greatest(a["n"], b["n"])).otherwise(F.greatest(a["n_kept"], b["n_kept"]))
+    level = F.greatest(F.lit(BASE), F.ceil(F.log2(most.cast("double"))).cast("int") + 1)
+    hashes = lambda x: F.when(few, F.concat(x["kept"], x["rest"])).otherwise(x["kept"])
+    compared = F.struct(level.alias("l"), hashes(a).alias("x"), hashes(b).alias("y"))
+    chosen = _let(compared, lambda s: F.struct(at(s["x"], s["l"]).alias("x"), at(s["y"], s["l"]).alias("y")))
+    return F.when(a == b, F.lit(1.0)).otherwise(_let(chosen, share))
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

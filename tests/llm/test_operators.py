@@ -1,5 +1,6 @@
 import hashlib
 import random
+import re
 import zlib
 
 import brute
@@ -281,6 +282,34 @@ def test_op6_lexicon_by_term(spark):
     assert own.common.count() == 1
 
 
+def test_op6_reads_every_term_and_any_two_compare(spark):
+    """Every changed word changes the fingerprint of a long text; texts of any lengths have the likeness of their words."""
+    words = [f"w{k}" for k in range(1500)]
+    rows = [words] + [words[:k] + [f"x{k}"] + words[k + 1 :] for k in range(0, 1500, 75)]
+    rows += [words[:n] for n in (5, 12, 40, 300, 1000)]
+    df = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(rows)], "doc_id long, text string")
+    got = [r[0] for r in imatch.fingerprints(df).orderBy("doc_id").select("fingerprint").collect()]
+    assert len(set(got)) == len(rows)
+    # each text's lexicon terms are its even words
+    kept = F.filter(imatch.terms(F.col("text")), lambda t: t % 2 == 0)
+    prints = df.select("doc_id", imatch.fingerprint(F.col("text"), kept).alias("p"))
+    pairs = prints.alias("a").crossJoin(prints.alias("b")).select(F.col("a.doc_id"), F.col("b.doc_id"), imatch.likeness(F.col("a.p"), F.col("b.p")))
+    for a, b, near in pairs.collect():
+        one, two = set(rows[a]), set(rows[b])
+        assert abs(near - len(one & two) / len(one | two)) < 0.25
+
+
+def test_op6_short_and_common(docs):
+    """No text that shares a third of its words with its edited text loses all likeness to it."""
+    text = {r["doc_id"]: r["text"] or "" for r in docs.select("doc_id", "text").collect()}
+    ids = sorted(text, reverse=True)
+    for r in imatch.compare(docs).select("doc_id", "near_edited").collect():
+        t, then = text[r["doc_id"]], text[ids[(ids.index(r["doc_id"]) + 1) % len(ids)]]
+        n = len(t) // 3
+        one, two = (set(re.findall(r"[^\W_]+", x.lower())) for x in (t, t[: len(t) - n] + then[:n]))
+        assert r["near_edited"] > 0 or len(one & two) < 0.3 * len(one | two)
+
+
 def test_op6_likeness(docs):
     got = imatch.compare(docs).toPandas()
     assert got.near_edited.mean() > 0.3 and got.near_next.mean() < 0.05
