@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscope.llm import bpe, decontaminate, neardup, pii, quality
@@ -26,12 +26,14 @@ def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document of the least id stays; of rows that repeat an id, one."""
-    stay = neardup.near_duplicates(docs, percent=PERCENT).where("kept").select(F.col("doc_id").alias("_stay")).distinct()
-    packed = docs.select(F.struct(*docs.columns).alias("_row"), F.col("doc_id").alias("_id"))
-    joined = packed.join(stay, F.col("_id").eqNullSafe(F.col("_stay")), "left_semi")
-    first = F.row_number().over(Window.partitionBy("_id").orderBy("_id"))
-    return joined.withColumn("_n", first).where("_n = 1 or _id is null").select("_row.*")
+    """Of each group of near duplicates the document of the least id stays; rows that share an id, or have none, are documents of their own."""
+    numbered = docs.select(F.struct(*docs.columns).alias("_row"), F.monotonically_increasing_id().alias("_number"))
+    numbered = Workspace(spark, "numbered").stash(numbered, "rows")
+    found = neardup.near_duplicates(numbered.select("_number", F.col("_row.text").alias("text")), percent=PERCENT, id_col="_number")
+    ids = numbered.select(F.col("_number").alias("doc_id"), F.col("_row.doc_id").alias("_id"))
+    order = F.struct(F.col("_id").isNull(), F.col("_id"), F.col("doc_id"))
+    stay = found.join(ids, "doc_id").groupBy("component_id").agg(F.min_by("doc_id", order).alias("_number"))
+    return numbered.join(stay, "_number", "left_semi").select("_row.*")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

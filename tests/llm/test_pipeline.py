@@ -54,3 +54,12 @@ def test_near_duplicates_from_80(spark):
     got = corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), SF)
     want = {c for _, c in brute.components(rows, 80)}
     assert {r["doc_id"] for r in got.collect()} == want and 40 < len(want) < len(rows)
+
+
+def test_rows_that_share_an_id(spark):
+    """Unlike texts of one id all stay; of copies one does, that of the least id, with or without ids."""
+    rows = [(3, "a b c d e f"), (3, "g h i j k l"), (2, "a b c d e f"), (None, "m n o p q r"), (None, "m n o p q r"), (None, "s t u v w x"), (None, "g h i j k l"), (4, None), (4, None)]
+    docs = spark.createDataFrame([(*r, 1, 1) for r in rows], "doc_id long, text string, _row int, _number int")
+    got = corpus_pipeline.drop_near_duplicates(spark, docs, SF)
+    want = [(2, "a b c d e f"), (3, "g h i j k l"), (None, "m n o p q r"), (None, "s t u v w x"), (4, None), (4, None)]
+    assert got.columns == docs.columns and sorted(map(str, ((r["doc_id"], r["text"]) for r in got.collect()))) == sorted(map(str, want))
