@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.words import mix, powers
+from folioscope.llm.words import same_spelling, span_hashes
 
 BLOCK = 8 << 20
 PIECE = 1 << 20
@@ -259,6 +259,13 @@ class Encoder:
                 parts = cut
         return parts
 
+    @staticmethod
+    def _firsts(local: np.ndarray) -> np.ndarray:
+        """The first place of each number of ``local``."""
+        firsts = np.zeros(local.max() + 1 if len(local) else 0, np.int64)
+        firsts[local[::-1]] = np.arange(len(local) - 1, -1, -1)
+        return firsts
+
     def _codes(self, texts: list[str], special: list[bool]) -> tuple[np.ndarray, np.ndarray]:
         """The index of each word of the segments, and the offsets of the segments' words."""
         lengths = np.fromiter(map(len, texts), np.int64, len(texts))
@@ -272,21 +279,22 @@ class Encoder:
                 inside[stops[k] - lengths[k] + 1 : stops[k]] = True
             starts = starts[~inside[starts]]
         ends = np.append(starts[1:], len(points))
-        up, down = powers(len(points) + 1)
-        total = np.zeros(len(points) + 1, np.uint64)
-        np.cumsum((points.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15) * up[:-1], out=total[1:])
-        code = mix((total[ends] - total[starts]) * down[starts])
-        if len(mark):
-            code[np.searchsorted(starts, stops[mark] - lengths[mark])] = np.arange(1, len(mark) + 1, dtype=np.uint64)
-        local, distinct = pd.factorize(code)
-        firsts = np.full(len(distinct), -1, np.int64)
-        firsts[local[::-1]] = np.arange(len(local) - 1, -1, -1)
+        data = points.view(np.uint8)
+        local, _ = pd.factorize(span_hashes(data, starts * 4, ends * 4))
+        firsts = self._firsts(local)
+        if not same_spelling(data, starts * 4, ends * 4, firsts[local]):  # two words of one hash: by spelling
+            local, _ = pd.factorize(np.array([data[4 * a : 4 * b].tobytes() for a, b in zip(starts, ends, strict=True)], object))
+            firsts = self._firsts(local)
+        if len(mark):  # a special token is no word, even one that spells it
+            at = np.searchsorted(starts, stops[mark] - lengths[mark])
+            tokens, names = pd.factorize(np.array([texts[k] for k in mark], object))
+            local[at] = len(firsts) + tokens
+            firsts = np.append(firsts, at[self._firsts(tokens)])
         whole = "".join(texts)
         s, e = starts[firsts].tolist(), ends[firsts].tolist()
         spell = [whole[a:b].encode("utf-8", "replace") for a, b in zip(s, e, strict=True)]
         if len(mark):
-            of = {int(x): b"\xff" + texts[k].encode() for x, k in zip(code[np.searchsorted(starts, stops[mark] - lengths[mark])], mark, strict=True)}
-            spell = [of.get(int(c), w) for c, w in zip(distinct, spell, strict=True)]
+            spell[len(spell) - len(names) :] = [b"\xff" + t.encode() for t in names]
         index = self.index
         known = np.fromiter((index.setdefault(w, len(index)) for w in spell), np.int64, len(spell))
         return known[local].astype(np.int32), np.append(np.searchsorted(starts, stops - lengths), len(starts))

@@ -16,12 +16,15 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; only where that is unset (tests) a local one."""
+    """The folder in ``spark.checkpoint.dir``. Where that is unset a local master, as in tests, gets
+    a folder of its own; a cluster, whose machines share no such folder, gets an error."""
     if where := spark.conf.get("spark.checkpoint.dir", None):
         return where.rstrip("/")
     context = spark.sparkContext
     if (there := context._jsc.sc().getCheckpointDir()).isDefined():
         return there.get().rstrip("/")
+    if not context.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     context.setCheckpointDir(tempfile.mkdtemp(prefix="folioscope-"))
     return context._jsc.sc().getCheckpointDir().get().rstrip("/")
 

@@ -1,23 +1,26 @@
 """Benchmark decontamination by winnowing.
 
-From each run of ``WINDOW`` neighbouring k-grams the one of least hash is kept. Two texts that
-share ``SPAN`` = K + WINDOW - 1 words share a run of k-grams, so they keep the same k-gram there:
-every shared window of ``SPAN`` words is found. Where a text's fingerprint is among the items',
-the windows around it are looked up among the items' windows, which extends the hit to words and
-items. Items of fewer words are one window each, looked up at every position of the texts; there
-are at most ``SPAN`` - 1 lengths of those.
-
-The items' windows go to the tasks in blocks of at most ``BLOCK_WORDS`` words (about 40 bytes a
-word in each task, whatever the size of the benchmark); each block makes one pass over the texts,
-and the passes' hits are merged. A benchmark under that size takes one pass without a shuffle.
+From each run of ``WINDOW`` neighbouring k-grams the one of least hash is kept, of the benchmark's
+items and of the texts. Two texts that share ``SPAN`` = K + WINDOW - 1 words share a run of k-grams,
+so they keep the same k-gram there: every shared window of ``SPAN`` words is found. Where a text's
+fingerprint may be among the items', the windows around it are candidates, which extends the hit to
+words and items. Items of fewer words are one window each, sought at every position of the texts;
+there are at most ``SPAN`` - 1 lengths of those.
+
+Candidates are joined with the written table of the items' windows, by hash and by spelling: Spark
+broadcasts that table while it is small and sorts and splits both sides when it isn't. Only what
+may be among the items' fingerprints and windows leaves the scan of the texts; that is told by two
+sketches of ``BITS`` bits each, whatever the size of the benchmark. A sketch only lets too much
+through, never too little.
 """
 
 from __future__ import annotations
 
 import functools
-import hashlib
-import itertools
+import re
+import zlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +32,9 @@ from folioscope.llm.words import ALNUM, grams, word_hashes
 
 K, WINDOW = 5, 6
 SPAN = K + WINDOW - 1
-BLOCK_WORDS = 1_000_000
+#: A sketch is 2**BITS bits: 2 MB.
+BITS = 24
+WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 
 def winnow(hashes: np.ndarray) -> np.ndarray:
@@ -46,148 +51,131 @@ def winnow(hashes: np.ndarray) -> np.ndarray:
     return at[np.append(True, at[1:] != at[:-1])]
 
 
-class Index:
-    """Windows of a block of items: fingerprints, windows by hash, and the items of each."""
-
-    def __init__(self, names: list[str], texts: list[str | None]):
-        self.names = np.array(names, object)
-        prints: list[np.ndarray] = []
-        windows: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
-        data, offsets = utf8(pa.array(texts, pa.string()))
-        for first, last, hashes, at in word_hashes(data, offsets, ALNUM):
-            for i in range(last - first):
-                words = hashes[at[i] : at[i + 1]]
-                if not len(words):
-                    continue
-                size = min(SPAN, len(words))
-                if size == SPAN:
-                    short = grams(words, K)
-                    prints.append(short[winnow(short)])
-                own = np.unique(grams(words, size))
-                windows.setdefault(size, []).append((own, np.full(len(own), first + i)))
-        self.prints = np.unique(np.concatenate(prints)) if prints else np.zeros(0, np.uint64)
-        self.windows = {}
-        for size, got in windows.items():
-            keys, items = np.concatenate([k for k, _ in got]), np.concatenate([i for _, i in got])
-            by = np.argsort(keys, kind="stable")
-            keys, starts = np.unique(keys[by], return_index=True)
-            self.windows[size] = keys, np.append(starts, len(items)), items[by]
-
-    def items_of(self, size: int, found: np.ndarray) -> np.ndarray:
-        keys, starts, items = self.windows[size]
-        at = np.searchsorted(keys, found)
-        return np.concatenate([items[starts[a] : starts[a + 1]] for a in at]) if len(at) else np.zeros(0, np.int64)
-
-
-def among(sorted_: np.ndarray, x: np.ndarray) -> np.ndarray:
-    if not len(sorted_) or not len(x):
-        return np.zeros(len(x), bool)
-    at = np.searchsorted(sorted_, x)
-    at[at == len(sorted_)] = 0
-    return sorted_[at] == x
-
-
-def hits(index: Index, words: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, dict[int, tuple[np.ndarray, np.ndarray]]]:
-    """Which words are inside a window of an item, and (first words, window hashes) by length.
+def words_of(text: str) -> list[bytes]:
+    """The words of a text, A-Z as a-z."""
+    return WORD.findall(text.encode("utf-8", "replace").lower())
+
+
+def window_at(words: list[bytes], at: int, size: int) -> str:
+    return b" ".join(words[at : at + size]).decode()
+
+
+class Sketch(NamedTuple):
+    """The lengths of the items' windows, and packed bits of fingerprints and of windows."""
+
+    sizes: tuple[int, ...]
+    prints: bytes
+    windows: bytes
+
+    def may_have(self, part: str, hashes: np.ndarray) -> np.ndarray:
+        place = hashes >> np.uint64(64 - BITS)
+        byte = _unpacked(getattr(self, part))[(place >> np.uint64(3)).astype(np.int64)]
+        return (byte >> (place & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+
+
+@functools.lru_cache(4)
+def _unpacked(packed: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(packed), np.uint8)
+
+
+def candidates(sketch: Sketch, words: np.ndarray, row: np.ndarray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """By length, first words and hashes of the windows that may be an item's.
 
     ``words`` may hold several texts; ``row`` says which text each belongs to.
     """
-    hit = np.zeros(len(words) + 1, np.int64)
-    found: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-    for size, (keys, _, _) in index.windows.items():
+    found = {}
+    for size in sketch.sizes:
         n = len(words) - size + 1
         if n <= 0:
             continue
         if size == SPAN:
             short = grams(words, K)
             at = winnow(short)
-            at = at[among(index.prints, short[at])]
+            at = at[sketch.may_have("prints", short[at])]
             start = np.unique((at[:, None] - np.arange(WINDOW)).ravel())
             start = start[(start >= 0) & (start < n)]
         else:
             start = np.arange(n)
         start = start[row[start] == row[start + size - 1]]
-        window = grams_at(words, start, size) if size == SPAN else grams(words, size)[start]
-        ok = among(keys, window)
-        start, window = start[ok], window[ok]
-        if len(start):
-            found[size] = start, window
-            np.add.at(hit, start, 1)
-            np.add.at(hit, start + size, -1)
-    return np.cumsum(hit[:-1]) > 0, found
+        if not len(start):
+            continue
+        window = grams(words[start[:, None] + np.arange(size)].ravel(), size)[::size] if size == SPAN else grams(words, size)[start]
+        ok = sketch.may_have("windows", window)
+        if ok.any():
+            found[size] = start[ok], window[ok]
+    return found
 
 
-def grams_at(words: np.ndarray, start: np.ndarray, size: int) -> np.ndarray:
-    """The hashes of the runs of ``size`` words at some positions."""
-    if not len(start):
-        return np.zeros(0, np.uint64)
-    return grams(words[start[:, None] + np.arange(size)].ravel(), size)[::size]
+FOUND = "array<struct<size:int,hash:long,window:string,starts:array<int>>>"
+_FOUND = pa.list_(pa.struct([("size", pa.int32()), ("hash", pa.int64()), ("window", pa.string()), ("starts", pa.list_(pa.int32()))]))
 
 
-def _shared(index: Index, column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, list[list[str]], list[np.ndarray]]]:
-    """For runs of texts: numbers of words and of hit words, the items of each, and spans of hit words."""
+def _found(sketch: Sketch, column: pa.Array) -> tuple[list[int], list[list[dict]]]:
+    """Of each text its number of words and its candidate windows, each with its places."""
     data, offsets = utf8(column)
+    n_words: list[int] = []
+    out: list[list[dict]] = [[] for _ in range(len(column))]
     for first, last, hashes, at in word_hashes(data, offsets, ALNUM):
         row = np.repeat(np.arange(last - first), np.diff(at))
-        hit, found = hits(index, hashes, row)
-        own: dict[int, set[int]] = {}
-        for size, (start, window) in found.items():
-            of = row[start]
-            for r in np.unique(of):
-                own.setdefault(int(r), set()).update(index.items_of(size, np.unique(window[of == r])).tolist())
-        total = np.append(0, np.cumsum(hit))
-        items = [sorted(set(index.names[list(own[r])])) if r in own else [] for r in range(last - first)]
-        edge = lambda r: np.flatnonzero(np.diff(np.concatenate([[False], hit[at[r] : at[r + 1]], [False]]).astype(np.int8)))
-        yield np.diff(at), total[at[1:]] - total[at[:-1]], items, [edge(r).reshape(-1, 2) if r in own else np.zeros((0, 2), int) for r in range(last - first)]
-
-
-FOUND = "struct<n_words:long,n_hit:long,n_items:long,items_sha256:string>"
-
-
-def _found(names: list[str], texts: list[str | None]):
-    def find(column: pa.Array) -> pa.Array:
-        n_words, n_hit, n_items, digest = [], [], [], []
-        for words, hit, items, _ in _shared(_index(tuple(names), tuple(texts)), column):
-            n_words += words.tolist()
-            n_hit += hit.tolist()
-            n_items += map(len, items)
-            digest += [hashlib.sha256(",".join(m).encode()).hexdigest() for m in items]
-        columns = [pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(n_items, pa.int64()), pa.array(digest, pa.string())]
-        return pa.StructArray.from_arrays(columns, ["n_words", "n_hit", "n_items", "items_sha256"])
-
-    return F.arrow_udf(find, FOUND)
+        n_words += np.diff(at).tolist()
+        met: dict[int, dict[tuple[int, str], dict]] = {}
+        words: dict[int, list[bytes]] = {}
+        for size, (start, window) in candidates(sketch, hashes, row).items():
+            for s, h in zip(start.tolist(), window.view(np.int64).tolist(), strict=True):
+                r = int(row[s])
+                if r not in words:
+                    words[r] = words_of(column[first + r].as_py())
+                p = s - int(at[r])
+                spelt = window_at(words[r], p, size)
+                one = met.setdefault(r, {}).setdefault((size, spelt), {"size": size, "hash": h, "window": spelt, "starts": []})
+                one["starts"].append(p)
+        for r, own in met.items():
+            out[first + r] = list(own.values())
+    return n_words, out
+
+
+def _scan(sketch: Sketch, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        n_words, found = _found(sketch, batch.column(2))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n_words, pa.int64()), pa.array(found, _FOUND)], ["row", "doc_id", "n_words", "found"])
 
 
-def _scan(names: list[str], texts: list[str | None], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of (row, text): the row, its number of words, its items and its spans."""
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of (item, text): its distinct windows, and its fingerprints as windows of length 0."""
     for batch in batches:
-        n_words, items, spans = [], [], []
-        for words, _, own, edges in _shared(_index(tuple(names), tuple(texts)), batch.column(1)):
-            n_words += words.tolist()
-            items += own
-            spans += [[{"start": int(a), "end": int(b)} for a, b in e] for e in edges]
-        columns = [pa.array(n_words, pa.int64()), pa.array(items, pa.list_(pa.string())), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))]
-        yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["row", "n_words", "items", "spans"])
-
-
-@functools.lru_cache(2)
-def _index(names: tuple, texts: tuple) -> Index:
-    return Index(list(names), list(texts))
-
-
-def blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[list[tuple[str, str | None]]]:
-    """The items, cut into blocks of at most ``BLOCK_WORDS`` words, or one item that has more."""
-    rows = benchmark.select(F.col(id_col).cast("string").alias("n"), F.col(text_col).alias("t")).where("t is not null")
-    rows = rows.withColumn("n", F.coalesce("n", F.lit("")))
-    block, size = [], 0
-    for r in rows.toLocalIterator():
-        n = len(r["t"]) // 2 + 1
-        if block and size + n > BLOCK_WORDS:
-            yield block
-            block, size = [], 0
-        block.append((r["n"], r["t"]))
-        size += n
-    yield block
+        for item, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            data, offsets = utf8(pa.array([text.as_py()], pa.string()))
+            _, _, hashes, _ = next(word_hashes(data, offsets, ALNUM))
+            if not len(hashes):
+                continue
+            size, words = min(SPAN, len(hashes)), words_of(text.as_py())
+            own = {window_at(words, p, size): h for p, h in enumerate(grams(hashes, size).view(np.int64).tolist())}
+            rows = [(size, h, w) for w, h in own.items()]
+            if size == SPAN:
+                short = grams(hashes, K)
+                rows += [(0, h, None) for h in np.unique(short[winnow(short)]).view(np.int64).tolist()]
+            sizes, codes, spelt = zip(*rows, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array([item] * len(rows), pa.string()), pa.array(sizes, pa.int32()), pa.array(codes, pa.int64()), pa.array(spelt, pa.string())], ["item", "size", "hash", "window"])
+
+
+def indexed(benchmark: DataFrame, space: Workspace, id_col: str, text_col: str) -> tuple[DataFrame, Sketch]:
+    """The written table (item, size, hash, window) of a benchmark, and its sketch."""
+    rows = benchmark.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("item"), F.col(text_col).alias("text")).where("text is not null")
+    table = space.stash(rows.mapInArrow(_windows, "item string, size int, hash long, window string"), "windows")
+    sizes = tuple(sorted(r[0] for r in table.where("size > 0").select("size").distinct().collect()))  # SPAN of them at most
+    place = F.shiftrightunsigned("hash", 64 - BITS)
+    words = table.groupBy((F.col("size") == 0).alias("print"), F.shiftright(place, 6).alias("at"))
+    bits = {True: np.zeros(1 << (BITS - 6), np.int64), False: np.zeros(1 << (BITS - 6), np.int64)}
+    for r in words.agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(hash, {64 - BITS}) & 63 as int))")).alias("bits")).collect():  # 2**(BITS - 5) rows at most
+        bits[r["print"]][r["at"]] = r["bits"]
+    packed = {k: zlib.compress(v.tobytes(), 1) for k, v in bits.items()}
+    return table.where("size > 0"), Sketch(sizes, packed[True], packed[False])
+
+
+def _hits(found: DataFrame, windows: DataFrame) -> DataFrame:
+    """Rows (row, start, size, hash, window) whose window is an item's; ``found``: (row, found)."""
+    each = found.where("size(found) > 0").select("row", F.explode("found").alias("f")).select("row", "f.*")
+    return each.join(windows.select("size", "hash", "window").distinct(), ["size", "hash", "window"], "left_semi")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
@@ -198,52 +186,43 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     the id, ``n_words``, ``n_hit`` (words inside an occurrence of a window), ``n_items`` (distinct
     item ids whose windows occur), ``items_sha256`` (of those ids, sorted as strings, joined by
     commas) and ``contaminated``. Null and empty texts have no words; null items have no windows; a
-    null item id counts as an empty string. Rows that repeat an id are judged alone.
+    null item id counts as an empty string. Rows that repeat an id are judged alone. Without items
+    nothing is hit, an empty table gives an empty one, and no column but the named is read. Very
+    long texts are read in pieces, with their windows across pieces.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    parts = blocks(benchmark, item_col, item_text_col)
-    first, second = next(parts), next(parts, None)
-    if second is None:
-        out = rows.select("doc_id", _found(*_split(first))("text").alias("found")).select("doc_id", "found.*")
-    else:
-        out = _merged(rows, [first, second], parts)
+    space = Workspace(docs.sparkSession, "decontaminate")
+    windows, sketch = indexed(benchmark, space, item_col, item_text_col)
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    # the row numbers are written with the candidates: from here on they are fixed
+    scanned = space.stash(rows.mapInArrow(functools.partial(_scan, sketch), f"row long, doc_id long, n_words long, found {FOUND}"), "scanned")
+    met = _hits(scanned, windows)
+    # a row's groups are bounded by its own text: spans of words, then distinct items
+    spans = F.array_sort(F.flatten(F.collect_list(F.transform("starts", lambda s: F.struct(s.alias("start"), (s + F.col("size")).alias("end"))))))
+    zero = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).alias("end"))
+
+    def step(a, s):
+        fresh = s["end"] - F.greatest(a["end"], s["start"])
+        return F.struct((a["n"] + F.greatest(F.lit(0), fresh)).alias("n"), F.greatest(a["end"], s["end"]).alias("end"))
+
+    counted = met.groupBy("row").agg(spans.alias("spans")).select("row", F.aggregate("spans", zero, step)["n"].alias("n_hit"))
+    named = met.select("row", "size", "hash", "window").join(windows, ["size", "hash", "window"]).select("row", "item").distinct()
+    named = named.groupBy("row").agg(F.array_sort(F.collect_list("item")).alias("items"))
+    whole = scanned.select("row", "doc_id", "n_words").join(counted.join(named, "row"), "row", "left")
+    items = F.coalesce("items", F.array().cast("array<string>"))
+    out = whole.select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.size(items).cast("long").alias("n_items"), F.sha2(F.array_join(items, ",").cast("binary"), 256).alias("items_sha256"))
     return out.withColumn("contaminated", F.col("n_hit") > 0).withColumnRenamed("doc_id", id_col)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, whole, that hold no window of an item: one filter for each block of items."""
-    for block in blocks(benchmark, item_col, item_text_col):
-        docs = docs.where(_found(*_split(block))(F.col(text_col))["n_hit"] == 0)
-    return docs
-
-
-def _split(block: list[tuple[str, str | None]]) -> tuple[list[str], list[str | None]]:
-    return [n for n, _ in block], [t for _, t in block]
-
-
-def _merged(rows: DataFrame, begun: list, parts: Iterator[list]) -> DataFrame:
-    """Several blocks: each pass writes the hits of the texts that have some; spans are merged."""
-    space = Workspace(rows.sparkSession, "decontaminate")
-    numbered = space.stash(rows.withColumn("row", F.monotonically_increasing_id()), "rows")
-    schema = "row long, n_words long, items array<string>, spans array<struct<start:long,end:long>>"
-    passes, sizes = [], None
-    for k, block in enumerate(itertools.chain(begun, parts)):
-        got = numbered.select("row", "text").mapInArrow(functools.partial(_scan, *_split(block)), schema)
-        got = space.stash(got if k == 0 else got.where("size(spans) > 0"), f"pass-{k}")
-        sizes = got.select("row", "n_words") if k == 0 else sizes
-        passes.append(got.where("size(spans) > 0").select("row", "items", "spans"))
-    found = passes[0]
-    for p in passes[1:]:
-        found = found.union(p)
-    # spans of one text from several blocks: a sweep over sorted spans counts the words inside any
-    gathered = found.groupBy("row").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))
-    zero = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("end"))
-
-    def step(a, s):
-        start = F.greatest(a["end"], s["start"])
-        return F.struct((a["n"] + F.greatest(F.lit(0).cast("long"), s["end"] - start)).alias("n"), F.greatest(a["end"], s["end"]).alias("end"))
+    """The rows of ``docs``, whole, that hold no window of an item; nulls, empty texts and repeats too.
 
-    counted = gathered.select("row", "items", F.aggregate("spans", zero, step)["n"].alias("n_hit"))
-    whole = numbered.select("row", "doc_id").join(sizes, "row").join(counted, "row", "left")
-    items = F.coalesce("items", F.array().cast("array<string>"))
-    return whole.select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.size(items).cast("long").alias("n_items"), F.sha2(F.array_join(items, ",").cast("binary"), 256).alias("items_sha256"))
+    Texts without a candidate window pass as they are read; only those with one are written apart
+    and joined, so no other text is shuffled. Columns may have any names.
+    """
+    space = Workspace(docs.sparkSession, "decontaminate")
+    windows, sketch = indexed(benchmark, space, item_col, item_text_col)
+    found = F.arrow_udf(lambda column: pa.array(_found(sketch, column)[1], _FOUND), FOUND)(F.col(text_col))
+    doubtful = docs.select(F.struct(*docs.columns).alias("kept"), found.alias("found")).where("size(found) > 0")
+    doubtful = space.stash(doubtful.withColumn("row", F.monotonically_increasing_id()), "doubtful")
+    passed = doubtful.join(_hits(doubtful.select("row", "found"), windows).select("row"), "row", "left_anti")
+    return docs.where(F.size(found) == 0).unionByName(passed.select("kept.*"))

@@ -10,8 +10,8 @@ those it keeps, in the lexicon, and the rest (a text without words stands for it
 Randomised lexicon subsets, fixed and overlapping: level j parts all terms by a hash into 2**j
 subsets, of which the first 2**BASE count, for every j from ``BASE`` up. So the first level covers all
 terms, and each further one half of those before it. In each subset the text's terms are hashed
-together, kept ones and the rest apart; a fingerprint has these hashes at all levels where the text
-has terms. Two fingerprints are compared at the level where a subset holds about half a term of the
+together, kept ones and the rest apart; a fingerprint has the 64-bit hash of all its terms in order,
+and these hashes at all levels where the text has terms. Two fingerprints are compared at the level where a subset holds about half a term of the
 text with more terms, so that a change in some terms leaves the hashes of the other subsets. Their
 likeness is the share of equal hashes among the subsets where either has terms: of kept terms, or of
 all where one of both keeps fewer than ``FEW``.
@@ -27,8 +27,9 @@ from pyspark.sql import functions as F
 from folioscope.llm.common import Workspace
 
 COMMON, RARE = 0.05, 1e-6
-BASE, TOP = 7, 40
+BASE, TOP = 6, 40
 FEW = 16
+LAST_WORD = r"(?<![\p{L}\p{N}])[\p{L}\p{N}]++$"
 
 
 def terms(text: Column) -> Column:
@@ -66,7 +67,7 @@ def fingerprint(text: Column, kept: Column) -> Column:
     # each step binds its input to a name, so that it is computed once
     every = _let(terms(text), lambda t: F.when(F.size(t) > 0, t).otherwise(F.array(F.xxhash64(text))))
     own = F.struct(every.alias("every"), F.coalesce(kept, F.array().cast("array<bigint>")).alias("kept"))
-    return _let(own, lambda s: F.struct(F.size(s["kept"]).alias("n_kept"), F.size(s["every"]).alias("n"), _hashes(s["kept"], 0).alias("kept"), _hashes(F.array_except(s["every"], s["kept"]), 1).alias("rest")))
+    return _let(own, lambda s: F.struct(F.size(s["kept"]).alias("n_kept"), F.size(s["every"]).alias("n"), F.xxhash64(F.array_sort(s["every"])).alias("whole"), _hashes(s["kept"], 0).alias("kept"), _hashes(F.array_except(s["every"], s["kept"]), 1).alias("rest")))
 
 
 def _places(term: Column, kind: int) -> Column:
@@ -100,9 +101,9 @@ def _let(value: Column, body) -> Column:
 
 
 def rendered(print_: Column) -> Column:
-    """A fingerprint as a string: the numbers of kept and of all terms, then each subset and hash, in hexadecimal, of kept ones and of the rest."""
+    """A fingerprint as a string: the numbers of kept and of all terms, the hash of all, then each subset and hash, in hexadecimal, of kept ones and of the rest."""
     shown = lambda a: F.lower(F.array_join(F.transform(a, lambda h: F.hex(h)), "."))
-    return F.concat_ws(":", print_["n_kept"].cast("string"), print_["n"].cast("string"), shown(print_["kept"]), shown(print_["rest"]))
+    return F.concat_ws(":", print_["n_kept"].cast("string"), print_["n"].cast("string"), F.lower(F.hex(print_["whole"])), shown(print_["kept"]), shown(print_["rest"]))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -133,22 +134,26 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return printed.select(F.col("id").alias(id_col), rendered(fingerprint(F.col("text"), F.col("kept"))).alias("fingerprint"))
 
 
-def following(keys: DataFrame) -> DataFrame:
-    """For distinct rows (k, h, n), by descending k and h: the row before (pk, ph, pn), the first's being the last.
+KEY = ["f", "k", "h"]
 
-    Rows are ranged by key; only the edge rows of each range meet in one task.
+
+def following(keys: DataFrame, space: Workspace) -> DataFrame:
+    """For distinct rows (f, k, h, n), by descending f, k and h: the row before (pf, pk, ph, pn), the first's being the last.
+
+    Rows are ranged by key and written with their range's number; only the edge rows of each range
+    meet in one task.
     """
-    order = [F.desc("k"), F.desc("h")]
-    ranged = keys.repartitionByRange(*order).withColumn("part", F.spark_partition_id())
+    order = [F.desc(c) for c in KEY]
+    ranged = space.stash(keys.repartitionByRange(*order).withColumn("part", F.spark_partition_id()), "ranged")
     own = Window.partitionBy("part").orderBy(*order)
-    row = F.struct("k", "h", "n")
+    row = F.struct(*KEY, "n")
     ranged = ranged.withColumn("row", row).withColumn("before", F.lag("row").over(own))
     edges = ranged.groupBy("part").agg(F.max("row").alias("first"), F.min("row").alias("last"))
     around = Window.orderBy("part")  # one row for each partition
-    edges = edges.select("first", F.coalesce(F.lag("last").over(around), F.last("last").over(Window.orderBy("part").rowsBetween(0, Window.unboundedFollowing))).alias("edge"))
-    joined = ranged.join(edges.select(F.col("first.k").alias("k"), F.col("first.h").alias("h"), "edge"), ["k", "h"], "left")
+    edges = edges.select("first", F.coalesce(F.lag("last").over(around), F.last("last").over(around.rowsBetween(0, Window.unboundedFollowing))).alias("edge"))
+    joined = ranged.join(edges.select(*(F.col("first")[c].alias(c) for c in KEY), "edge"), KEY, "left")
     before = F.coalesce("before", "edge")
-    return joined.select("k", "h", before["k"].alias("pk"), before["h"].alias("ph"), before["n"].alias("pn"))
+    return joined.select(*KEY, *(before[c].alias(f"p{c}") for c in (*KEY, "n")))
 
 
 def compare(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -158,30 +163,29 @@ def compare(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     text has its last third of code points replaced by as many of the next document's first, or
     all. Null texts are empty; a null id comes after all others. Rows that share an id follow each
     other by the hash of their texts, and rows that repeat id and text are one document, each with
-    its row. A single document is its own next.
+    its row. A single document is its own next. An empty table gives an empty one; no column but
+    the named is read; very long texts are read whole.
     """
     space = Workspace(docs.sparkSession, "imatch")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     own = lexicon(rows, space)
-    rows = rows.withColumns({"k": F.coalesce("doc_id", F.lit(-(1 << 63))), "h": F.xxhash64("text")})
-    keys = space.stash(rows.select("k", "h", F.length("text").cast("long").alias("n")).distinct(), "keys")
-    order = space.stash(following(keys), "order")
-    key = ["k", "h"]
-    kept = space.stash(in_lexicon(rows.select(*key, terms(F.col("text")).alias("terms")), own, key, "kept"), "kept")
+    rows = rows.select(F.col("doc_id").isNotNull().cast("int").alias("f"), F.coalesce("doc_id", F.lit(0)).alias("k"), F.xxhash64("text").alias("h"), "text")
+    order = space.stash(following(rows.select(*KEY, F.length("text").cast("long").alias("n")).distinct(), space), "order")
+    kept = space.stash(in_lexicon(rows.select(*KEY, terms(F.col("text")).alias("terms")), own, KEY, "kept"), "kept")
     # both sides of the join below read one exchange of the texts
-    printed = rows.join(kept, key, "left").select("*", fingerprint(F.col("text"), F.col("kept")).alias("print"))
-    start = printed.join(order, ["k", "h"]).select(F.col("pk").alias("k"), F.col("ph").alias("h"), F.expr("left(text, cast(pn div 3 as int))").alias("start"), F.col("print").alias("next_print"))
-    start = start.dropDuplicates(["k", "h"])
+    none = F.array().cast("array<bigint>")
+    printed = rows.join(kept, KEY, "left").select("*", fingerprint(F.col("text"), F.col("kept")).alias("print"))
+    start = printed.join(order, KEY).select(*(F.col(f"p{c}").alias(c) for c in KEY), F.expr("left(text, cast(pn div 3 as int))").alias("start"), F.col("print").alias("next_print"), F.coalesce("kept", none).alias("next_kept"))
+    start = start.dropDuplicates(KEY)
     n = F.length("text")
     edited = F.concat(F.expr("left(text, length(text) - cast(length(text) div 3 as int))"), F.col("start"))
-    both = printed.join(start, key).withColumn("edited", edited)
-    # terms that the edited text has from the next one, or from words cut in two
-    other = F.array_except(terms(F.col("edited")), terms(F.col("text")))
-    both = both.join(in_lexicon(both.select(*key, other.alias("terms")), own, key, "other_kept"), key, "left")
-    none = F.array().cast("array<bigint>")
-    edited_kept = F.concat(F.array_intersect(terms(F.col("edited")), F.coalesce("kept", none)), F.coalesce("other_kept", none))
-    both = both.withColumn("doc_id", F.nullif("k", F.lit(-(1 << 63))))
-    both = both.select("doc_id", n.cast("long").alias("n_chars"), "print", "next_print", "edited", fingerprint(F.col("edited"), edited_kept).alias("edited_print"))
+    both = printed.join(start, KEY).select(*KEY, n.cast("long").alias("n_chars"), "print", "next_print", edited.alias("edited"), terms(edited).alias("terms"), F.concat(F.coalesce("kept", none), "next_kept").alias("known"), terms(F.col("text")).alias("own"), terms(F.col("start")).alias("new"), terms(F.regexp_extract("start", LAST_WORD, 0)).alias("last"))
+    # words that the cut made, two or three a text, are looked up apart
+    both = both.withColumn("seam", F.array_union(F.array_except(F.array_except("terms", "own"), "new"), "last")).drop("own", "new", "last")
+    seam = in_lexicon(both.where(F.size("seam") > 0).select(*KEY, F.col("seam").alias("terms")), own, KEY, "seam_kept")
+    both = both.join(seam, KEY, "left")
+    edited_kept = F.array_intersect("terms", F.concat("known", F.coalesce("seam_kept", none)))
+    both = both.select(F.when(F.col("f") == 1, F.col("k")).alias("doc_id"), "n_chars", "print", "next_print", "edited", fingerprint(F.col("edited"), edited_kept).alias("edited_print"))
     return both.select(
         F.col("doc_id").alias(id_col),
         "n_chars",

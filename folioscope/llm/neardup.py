@@ -1,21 +1,24 @@
 """Near duplicates: universal hash minima, banding, signature verification, exact confirmation.
 
-A text's set is its distinct shingles of five words. Texts with equal sets become one node, so
-that a group of copies of any size costs one. ``HASHES`` minima of universal hash functions
-describe a node; nodes that agree in all rows of a band of the first ones share a bucket. The number
-of bands follows the asked similarity, so that two sets that just reach it share no bucket with a
-probability of at most ``MISSED`` (24 bands of 5 at 0.85, 35 at 0.80). A node's signature is the low
-byte of each minimum.
+A text's set is its distinct shingles of five words. Texts with equal sets (by 128 bits) become one
+node, so that a group of copies of any size costs one. ``HASHES`` minima of universal hash
+functions describe a node; nodes that agree in all rows of a band of the first ones share a bucket.
+The number of bands follows the asked similarity, so that two sets that just reach it share no
+bucket with a probability of at most ``MISSED`` (32 bands of 5 at 0.85, 47 at 0.80). A node's
+signature is the low byte of each minimum.
 
 In each bucket every node is held against one only, the one that shares its buckets with the most
 others: in a group of edited copies that is the text they were made from. Links join nodes into
-components; where a bucket still holds several components, its nodes are held against each other
-in blocks of ``BLOCK``, by signature, inside a task: only pairs from different components, not
-tried before, whose signatures agree well enough leave the task. So a bucket of copies costs as
-many pairs as it has nodes, and no cap drops any. What passes by signature is confirmed on the full sets,
-and components come from alternating large-star and small-star.
-
-Sets hold 64-bit hashes of shingles; nodes are 64-bit hashes of sets.
+components. Where a bucket still holds several components, the nodes outside its largest one are
+held against all of the bucket, in blocks of ``BLOCK`` that are one row each, by signature, inside a
+task: only pairs from different components, not tried before, whose signatures agree well enough
+leave it. So a bucket of linked copies costs as many pairs as it has nodes, n copies and m
+strangers n * m comparisons but n / ``BLOCK`` * m / ``BLOCK`` rows, and no cap drops any. What passes
+by signature is confirmed on the full sets, word by word, and components come from alternating
+large-star and small-star.
+
+Very long texts are read in pieces, one set at a time. Empty tables give empty tables; only the two
+named columns are read, whatever else is there.
 """
 
 from __future__ import annotations
@@ -23,6 +26,8 @@ from __future__ import annotations
 import functools
 import hashlib
 import math
+import re
+import struct
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -36,13 +41,16 @@ from folioscope.llm.components import components
 from folioscope.llm.words import NOT_SPACE, grams, mix, word_hashes
 
 WORDS = 5
+SPACES = re.compile(r"[\x20\x09-\x0D]+")
+SMALL = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 MOST_ROWS = 5
 HASHES = 512
-BLOCK = 128
-#: Two sets that just reach the asked similarity share no bucket with this probability at most.
-MISSED = 1e-6
+BLOCK = 512
+#: Two sets that just reach the asked similarity share no bucket with this probability at most: the
+#: first for which ``HASHES`` minima suffice (from 4 percent on that is the first).
+MISSED = (1e-8, 1e-6)
 #: Of the minima, so many deviations fewer than expected may agree before full sets are compared.
-DEVIATIONS = 4.5
+DEVIATIONS = 5.5
 
 
 class Plan(NamedTuple):
@@ -59,12 +67,14 @@ def plan_for(percent: int) -> Plan:
     alike = percent / 100
     if not 0 < alike <= 1:
         raise ValueError(f"percent must be over 0 and at most 100, not {percent}")
-    for rows in range(MOST_ROWS, 0, -1):
-        bands = math.ceil(math.log(MISSED) / math.log1p(-(alike**rows))) if alike < 1 else 1
-        if bands * rows <= HASHES:
-            return Plan(percent, bands, rows, alike - DEVIATIONS * math.sqrt(alike * (1 - alike) / HASHES))
+    for missed in MISSED:
+        for rows in range(MOST_ROWS, 0, -1):
+            bands = math.ceil(math.log(missed) / math.log1p(-(alike**rows))) if alike < 1 else 1
+            if bands * rows <= HASHES:
+                return Plan(percent, bands, rows, alike - DEVIATIONS * math.sqrt(alike * (1 - alike) / HASHES))
     raise ValueError(f"{HASHES} minima are too few for {percent} percent")
 
+
 _rng = (mix(np.arange(1, 2 * HASHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.uint32)
 FACTOR, ADD = _rng[:HASHES] | np.uint32(1), _rng[HASHES:]
 
@@ -107,19 +117,22 @@ def band_keys(least: np.ndarray, plan: Plan) -> np.ndarray:
 
 def _signed(plan: Plan, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        n, node, sig, keys = [], [], [], []
+        n, ones, twos, sig, keys = [], [], [], [], []
         for items in sets_of(batch.column(2)):
             n.append(len(items))
             if len(items):
-                node.append(int.from_bytes(hashlib.blake2b(items.tobytes(), digest_size=8).digest(), "little", signed=True))
+                one, two = struct.unpack("<qq", hashlib.blake2b(items.tobytes(), digest_size=16).digest())
                 least = minima(items)
                 sig.append(least.astype(np.uint8).tobytes())
                 keys.append(band_keys(least, plan).tobytes())
             else:
-                node.append(None)
+                one = two = None
                 sig.append(None)
                 keys.append(None)
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(sig, pa.binary()), pa.array(keys, pa.binary())], ["doc_id", "text_hash", "n_shingles", "node", "sig", "keys"])
+            ones.append(one)
+            twos.append(two)
+        columns = [pa.array(n, pa.int64()), pa.array(ones, pa.int64()), pa.array(twos, pa.int64()), pa.array(sig, pa.binary()), pa.array(keys, pa.binary())]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["doc_id", "text_hash", "n_shingles", "one", "two", "sig", "keys"])
 
 
 def _matrix(column: pa.Array, kind: type, width: int) -> np.ndarray:
@@ -143,62 +156,60 @@ def _agreeing(plan: Plan, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Reco
             yield batch.select([0, 1]).filter(pa.array(same >= plan.least_agreeing))
 
 
+def spelled(text: str) -> set[tuple[str, ...]]:
+    """A text's shingles by their words."""
+    words = SPACES.split(text.translate(SMALL))
+    words = words[not words[0] : len(words) - (not words[-1])]
+    n = min(WORDS, len(words))
+    return set(zip(*(words[k:] for k in range(n)), strict=False)) if n else set()
+
+
+def alike(percent: int, a: set | np.ndarray, b: set | np.ndarray, both: int) -> bool:
+    return 100 * both >= percent * (len(a) + len(b) - both)
+
+
 def _confirmed(plan: Plan, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of pairs (u, v, texts), those with 100 * intersection >= percent * union."""
-    kept: tuple[str | None, np.ndarray] = (None, np.zeros(0))
+    """Of pairs (u, v, texts), those with 100 * intersection >= percent * union: by hashes, then by words."""
+    kept: tuple[str | None, np.ndarray, set | None] = (None, np.zeros(0), None)
     for batch in batches:
         ok = []
         for k, b in enumerate(sets_of(batch.column(3))):
             text = batch.column(2)[k].as_py()
             if text != kept[0]:
-                kept = text, next(sets_of(pa.array([text])))
+                kept = text, next(sets_of(pa.array([text]))), None
             a = kept[1]
-            both = len(np.intersect1d(a, b, assume_unique=True))
-            ok.append(100 * both >= plan.percent * (len(a) + len(b) - both))
+            passes = alike(plan.percent, a, b, len(np.intersect1d(a, b, assume_unique=True)))
+            if passes:
+                kept = kept if kept[2] is not None else (*kept[:2], spelled(text))
+                c = spelled(batch.column(3)[k].as_py())
+                passes = alike(plan.percent, kept[2], c, len(kept[2] & c))
+            ok.append(passes)
         yield batch.select([0, 1]).filter(pa.array(ok, pa.bool_()))
 
 
 def _within(plan: Plan, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Candidates inside (bucket, low, high) groups that come sorted: pairs not tried before."""
-    schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
-
-    def pairs(key: tuple, rows: list[pa.RecordBatch]) -> pa.RecordBatch | None:
-        group = pa.Table.from_batches(rows).combine_chunks().to_batches()[0]
-        bucket, low, high = key
-        node, label, block, pivot = (group.column(k).to_numpy(zero_copy_only=False) for k in (3, 4, 5, 6))
-        sig, keys = _matrix(group.column(7), np.uint8, HASHES), _matrix(group.column(8), np.int64, plan.bands)
-        left, right = np.flatnonzero(block == low), np.flatnonzero(block == high)
-        us, vs = [], []
-        band = int(np.flatnonzero(keys[0] == bucket)[0])
-        earlier = keys[:, :band]
-        for i in left:
-            j = right[(label[right] != label[i]) & (node[right] != pivot[right])]
-            if node[i] == pivot[i]:
-                continue
-            if low == high:
-                j = j[j > i]
-            if band:  # a pair is tried in the first bucket that it shares
-                j = j[~(earlier[j] == earlier[i]).any(axis=1)]
-            j = j[(sig[j] == sig[i]).mean(axis=1) >= plan.least_agreeing]
-            us += [node[i]] * len(j)
-            vs += node[j].tolist()
-        return pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], schema=schema) if us else None
-
-    key, rows = None, []
+    """Of rows (bucket, pivot, most, block of nodes outside the largest component, block of nodes): pairs not tried before."""
     for batch in batches:
-        keys = list(zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True))
-        begin = 0
-        for i in range(1, len(keys) + 1):
-            if i < len(keys) and keys[i] == keys[begin]:
-                continue
-            if keys[begin] != key:
-                if rows and (out := pairs(key, rows)) is not None:
-                    yield out
-                key, rows = keys[begin], []
-            rows.append(batch.slice(begin, i - begin))
-            begin = i
-    if rows and (out := pairs(key, rows)) is not None:
-        yield out
+        for row in range(len(batch)):
+            bucket, pivot, most = (batch.column(k)[row].as_py() for k in range(3))
+            (l_node, l_label, l_sig, l_keys), (node, label, sig, keys) = (_block(batch.column(k).slice(row, 1).flatten(), plan) for k in (3, 4))
+            band = int(np.flatnonzero(l_keys[0] == bucket)[0])
+            us, vs = [], []
+            for i in np.flatnonzero(l_node != pivot):
+                # a pair that is wholly outside the largest component comes up twice
+                j = np.flatnonzero((label != l_label[i]) & (node != pivot) & ((label == most) | (node > l_node[i])))
+                if band:  # a pair is tried in the first bucket that it shares
+                    j = j[~(keys[j, :band] == l_keys[i, :band]).any(axis=1)]
+                j = j[(sig[j] == l_sig[i]).mean(axis=1) >= plan.least_agreeing]
+                us.append(np.full(len(j), l_node[i], np.int64))
+                vs.append(node[j])
+            if us:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (us, vs)], ["u", "v"])
+
+
+def _block(items: pa.StructArray, plan: Plan) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    node, label, sig, keys = items.flatten()
+    return node.to_numpy(), label.to_numpy(), _matrix(sig, np.uint8, HASHES), _matrix(keys, np.int64, plan.bands)
 
 
 def _with(pairs: DataFrame, side: DataFrame, column: str) -> DataFrame:
@@ -218,41 +229,55 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     """
     space, plan = Workspace(docs.sparkSession, "neardup"), plan_for(percent)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
-    signed = space.stash(rows.mapInArrow(functools.partial(_signed, plan), "doc_id long, text_hash long, n_shingles long, node long, sig binary, keys binary"), "signed")
-    # one row for each distinct set
-    nodes = space.stash(signed.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"), F.min_by(F.struct("doc_id", "text_hash", "sig", "keys"), F.coalesce("doc_id", F.lit(1 << 62))).alias("one")), "nodes")
-    buckets = nodes.select("node", "one.keys").mapInArrow(functools.partial(_buckets, plan), "bucket long, node long")
+    schema = "doc_id long, text_hash long, n_shingles long, one long, two long, sig binary, keys binary"
+    signed = space.stash(rows.mapInArrow(functools.partial(_signed, plan), schema), "signed")
+    # one row for each distinct set; the numbers are written with it
+    first = F.min_by(F.struct("doc_id", "text_hash", "sig", "keys"), F.coalesce("doc_id", F.lit(1 << 62)))
+    nodes = signed.where("one is not null").groupBy("one", "two").agg(F.min("doc_id").alias("least"), first.alias("first"))
+    nodes = space.stash(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    buckets = nodes.select("node", "first.keys").mapInArrow(functools.partial(_buckets, plan), "bucket long, node long")
     sizes = buckets.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
     shared = space.stash(buckets.join(sizes, "bucket"), "shared")
     company = shared.groupBy("node").agg(F.sum("size").alias("company"))
     ranked = shared.join(company, "node").groupBy("bucket").agg(F.max(F.struct("company", "node")).alias("top"))
     crowded = space.stash(shared.join(ranked.select("bucket", F.col("top.node").alias("pivot")), "bucket"), "crowded")
-    inside = crowded.select("node").distinct().join(nodes, "node").select("node", "one.*")
+    space.drop("shared")
+    inside = crowded.select("node").distinct().join(nodes, "node").select("node", "first.*")
     inside = inside.select("node", F.col("doc_id").alias("at"), F.col("text_hash").alias("hash"), "sig", "keys")
     texts = rows.join(inside, rows["doc_id"].eqNullSafe(inside["at"]) & (rows["text_hash"] == inside["hash"]))
     texts = space.stash(texts.select("node", "text", "sig", "keys").dropDuplicates(["node"]), "texts")
     sigs = texts.select("node", "sig", "keys")
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        agreeing = _with(pairs, sigs, "sig").mapInArrow(functools.partial(_agreeing, plan), "u long, v long")
-        return _with(agreeing, texts, "text").mapInArrow(functools.partial(_confirmed, plan), "u long, v long")
+    confirmed = lambda pairs: _with(pairs, texts, "text").mapInArrow(functools.partial(_confirmed, plan), "u long, v long")
 
     stars = crowded.where("node <> pivot").select(F.col("pivot").alias("u"), F.col("node").alias("v")).distinct()
-    links = space.stash(verified(stars), "links-1")
+    agreeing = _with(stars, sigs, "sig").mapInArrow(functools.partial(_agreeing, plan), "u long, v long")
+    links = space.stash(confirmed(agreeing), "links-1")
     labels = components(links, space, "stars")
-    labelled = crowded.join(labels, "node", "left").select("bucket", "pivot", "size", "node", F.coalesce("component", "node").alias("label"))
-    labelled = space.stash(labelled.where("size > 2"), "labelled")
-    mixed = labelled.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("bucket")
-    open_ = labelled.join(mixed, "bucket").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
-    open_ = open_.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    spread = open_.join(sigs, "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    spread = spread.select("bucket", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "node", "label", "block", "pivot", "sig", "keys")
-    key = ["bucket", "low", "high"]
-    tried = spread.repartition(*key).sortWithinPartitions(*key).mapInArrow(functools.partial(_within, plan), "u long, v long")
-    more = space.stash(verified(tried.distinct()), "links-2")
-    joined = components(links.union(more), space, "all")
-    least = nodes.select("node", "least").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    least = least.join(least.groupBy("component").agg(F.min("least").alias("component_id")), "component").select("node", "component_id")
-    out = signed.select("doc_id", "n_shingles", "node").join(least, "node", "left")
-    component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
+    labelled = crowded.where("size > 2").join(labels, "node", "left").select("bucket", "pivot", "node", F.coalesce("component", "node").alias("label"))
+    labelled = space.stash(labelled, "labelled")
+    tried = space.stash(block_pairs(labelled, sigs).mapInArrow(functools.partial(_within, plan), "u long, v long").distinct(), "tried")
+    joined = components(links.union(confirmed(tried)), space, "all")
+    least = nodes.select("node", "one", "two", "least").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    least = least.join(least.groupBy("component").agg(F.min("least").alias("component_id")), "component").select("one", "two", "component_id")
+    out = signed.select("doc_id", "n_shingles", "one", "two").join(least, ["one", "two"], "left")
+    component = F.when(F.col("one").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+
+
+def block_pairs(labelled: DataFrame, sigs: DataFrame) -> DataFrame:
+    """For buckets of (bucket, pivot, node, label) with several labels: blocks of nodes outside the largest label, beside blocks of all nodes.
+
+    Rows: (bucket, pivot, most, part, whole). A bucket of n nodes, m of them outside its largest
+    label, makes ceil(n / BLOCK) * ceil(m / BLOCK) rows.
+    """
+    tally = labelled.groupBy("bucket", "label").agg(F.count("*").alias("n"))
+    mixed = tally.groupBy("bucket").agg(F.sum("n").alias("n"), F.max(F.struct("n", "label")).alias("top"), F.count("*").alias("labels")).where("labels > 1")
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    mixed = mixed.select("bucket", F.col("top.label").alias("most"), blocks(F.col("n")).alias("wholes"), blocks(F.col("n") - F.col("top.n")).alias("parts"))
+    held = labelled.join(mixed, "bucket").join(sigs, "node")
+    at = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    listed = F.collect_list(F.struct("node", "label", "sig", "keys"))
+    whole = held.groupBy("bucket", at("wholes").alias("to")).agg(listed.alias("whole"))
+    part = held.where("label <> most").groupBy("bucket", "pivot", "most", "wholes", at("parts").alias("from")).agg(listed.alias("part"))
+    part = part.withColumn("to", F.explode(F.sequence(F.lit(0), F.col("wholes") - 1)))
+    return part.join(whole, ["bucket", "to"]).select("bucket", "pivot", "most", "part", "whole")

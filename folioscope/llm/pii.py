@@ -1,14 +1,18 @@
 """Personal data by candidate gradient boosting, with DataFrame operations only.
 
 Base patterns find e-mail addresses, ip addresses, card and phone numbers; matches that fail their
-check (parts up to 255, Luhn, digits) are dropped. Generators of high recall propose further spans,
-overlapping each other and the dropped matches: digit runs and groups as cards, number groups
-after a plus or brackets as phones, dotted quads as ips. Boosted trees score each candidate by its
-format (digits, groups, checks) and context (neighbouring characters, words before it). The trees
-learn from the texts themselves: a candidate that is a base span is positive, one that is a base
-match that failed is negative; candidates inside longer dropped matches, which the trees are for,
-teach nothing, and equal texts teach once. A threshold for each kind is set on texts that the trees haven't seen. Candidates
-over it that meet no base span are added; base spans always stay.
+check (parts up to 255, Luhn, number of digits) are dropped. Generators of high recall propose
+further spans, overlapping each other and the dropped matches: spelt-out addresses as e-mail, digit
+runs and groups as cards, number groups after a plus or brackets as phones, dotted quads as ips.
+Boosted trees score each candidate by its format (groups, separators, plus, brackets) and context
+(neighbouring characters, words before it).
+
+The trees learn from the texts themselves. The checks are the teacher, and no feature tells what
+they test, so what is learnt is in which format and context numbers are real: a candidate inside a
+base span of its kind is positive; one that meets a base span of another kind, or that fails the
+check of its own kind, is negative; others teach nothing, and equal texts teach once. A threshold for each kind is set on texts that the trees haven't seen; a
+kind without ``LEAST_HELD`` labelled candidates there adds nothing. Candidates over it that meet no
+base span are added; base spans always stay.
 
 Equal feature values are counted together before they reach the driver, so the trees see every
 text and the driver a table bounded by the number of feature combinations. Trees become SQL.
@@ -31,18 +35,20 @@ PATTERNS = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-#: What each kind's text has in it; other texts aren't searched.
-HINTS = {"email": "@", "ip": ".", "phone": "+"}
+#: What every match of a pattern has in it; texts without it aren't searched.
+HINTS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]", "phone": r"\+[0-9]"}
 _PART = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
+#: For each kind, pairs of a pattern and of what every match of it has in it.
 GENERATORS = {
-    "ip": [r"(?<![0-9])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9])"],
-    "card": [r"(?<![0-9])[0-9]{16,19}(?![0-9])", r"(?<![0-9])[0-9]{4}([\x20-])[0-9]{4}\1[0-9]{4}\1[0-9]{4}(?![0-9])"],
-    "phone": [r"\+[0-9]{1,3}[\x20.-]?\(?[0-9]{2,4}\)?[\x20.-]?[0-9]{3,4}[\x20.-]?[0-9]{3,4}(?![0-9])", r"(?<![0-9+])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9])"],
+    "email": [(r"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}\x20?[(\[{]\x20?at\x20?[)\]}]\x20?[A-Za-z0-9-]{1,63}(?:(?:\x20?[(\[{]\x20?dot\x20?[)\]}]\x20?|\.)[A-Za-z0-9-]{1,63})+", r"(?i)[(\[{]\x20?at\x20?[)\]}]"), (PATTERNS["email"], "@")],
+    "ip": [(r"(?<![0-9])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9])", r"[0-9]\.[0-9]")],
+    "card": [(r"(?<![0-9])[0-9]{16,19}(?![0-9])", "[0-9]{16}"), (r"(?<![0-9])[0-9]{4}([\x20-])[0-9]{4}\1[0-9]{4}\1[0-9]{4}(?![0-9])", r"[0-9]{4}[\x20-][0-9]{4}")],
+    "phone": [(r"\+[0-9]{1,3}[\x20.-]?\(?[0-9]{2,4}\)?[\x20.-]?[0-9]{3,4}[\x20.-]?[0-9]{3,4}(?![0-9])", r"\+[0-9]"), (r"(?<![0-9+])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9])", "[0-9]{3}[\\x20.-][0-9]{4}")],
 }
 SPAN = "struct<kind:string,start:int,end:int,s:string>"
 PART = 128
-ROUNDS, SHRINK, LEAST_PRECISION = 40, 0.3, 0.95
-FEATURES = ("kind", "digits", "groups", "luhn", "quad", "plus", "bracket", "before", "after", "word")
+ROUNDS, SHRINK, LEAST_PRECISION, LEAST_HELD = 40, 0.3, 0.95, 5
+FEATURES = ("kind", "groups", "separator", "plus", "bracket", "before", "after", "word")
 _WORDS = "card|visa|master|credit|phone|call|tel|fax|mobile|mail|host|server|addr"
 
 
@@ -77,7 +83,7 @@ def valid(kind: str, s: Column) -> Column:
     return n.between(8, 15) if kind == "phone" else F.lit(True)
 
 
-def matches(text: Column, pattern: str, kind: str) -> Column:
+def matches(text: Column, pattern: str, kind: str, hint: str) -> Column:
     """Leftmost non-overlapping matches as (kind, start, end, s), in code points."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     none = F.array().cast(f"array<{SPAN}>")
@@ -97,19 +103,23 @@ def matches(text: Column, pattern: str, kind: str) -> Column:
         pairs = F.zip_with(m, F.slice(pieces, F.lit(1), F.size(m)), lambda x, p: F.struct(x.alias("m"), p.alias("p")))
         return F.when(F.size(m) > 0, F.aggregate(pairs, start, step, lambda a: F.concat(F.flatten(a["out"]), a["part"]))).otherwise(none)
 
-    hint = F.contains(text, F.lit(HINTS[kind])) if kind in HINTS and pattern == PATTERNS[kind] else text.rlike("[0-9]{3}|[0-9][\\x20.-][0-9]") if kind != "card" or pattern != PATTERNS[kind] else text.rlike("[0-9][\\x20-]?[0-9]")
-    return F.when(hint, _let(found, placed)).otherwise(none)
+    return F.when(F.contains(text, F.lit(hint)) if hint == "@" else text.rlike(hint), _let(found, placed)).otherwise(none)
+
+
+def based(text: Column, kind: str) -> Column:
+    """All matches of a kind's base pattern, whether they pass its check or not."""
+    return matches(text, PATTERNS[kind], kind, HINTS[kind])
 
 
 def masked(text: Column, spans: Column) -> Column:
-    """The text with every code point in a span as a star; spans may overlap."""
-    ordered = F.sort_array(F.transform(spans, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"))))
+    """The text with every code point in a span as its kind's first letter; of spans that overlap the first counts."""
+    ordered = F.sort_array(F.transform(spans, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.left(x["kind"], F.lit(1)).alias("letter"))))
     none = F.array().cast("array<string>")
     begin = F.struct(F.array().cast("array<array<string>>").alias("out"), none.alias("part"), F.lit(0).alias("at"))
 
     def step(a: Column, x: Column) -> Column:
         start = F.greatest(a["at"], x["start"])
-        new = F.array(F.substring(text, a["at"] + 1, start - a["at"]), F.repeat(F.lit("*"), F.greatest(F.lit(0), x["end"] - start)))
+        new = F.array(F.substring(text, a["at"] + 1, start - a["at"]), F.repeat(x["letter"], F.greatest(F.lit(0), x["end"] - start)))
         full = F.size(a["part"]) >= PART
         out = F.when(full, F.concat(a["out"], F.array(a["part"]))).otherwise(a["out"])
         return F.struct(out.alias("out"), F.when(full, new).otherwise(F.concat(a["part"], new)).alias("part"), F.greatest(a["at"], x["end"]).alias("at"))
@@ -122,23 +132,22 @@ def masked(text: Column, spans: Column) -> Column:
 
 def candidates(text: Column, hidden: Column | None = None) -> Column:
     """Spans of the generators, with the features of each; in ``hidden``, where that is given."""
-    spans = F.concat(*(matches(text if hidden is None else hidden, p, k) for k, ps in GENERATORS.items() for p in ps))
+    spans = F.concat(*(matches(text if hidden is None else hidden, p, k, hint) for k, ps in GENERATORS.items() for p, hint in ps))
 
     def side(c: Column) -> Column:
         return F.when(c == "", 0).when(c.rlike("^\\p{L}"), 1).when(c.rlike("^[0-9]"), 2).when(c.rlike("^\\s"), 3).otherwise(4)
 
     def one(x: Column) -> Column:
-        digits, s = _digits(x["s"]), x["s"]
-        back = F.least(x["start"], F.lit(24))
+        s, back = x["s"], F.least(x["start"], F.lit(24))
         context = F.lower(F.substring(text, x["start"] - back + 1, back))
+        between = lambda c: s.rlike(f"[0-9)]{c}[(0-9]")
         return F.struct(
             *(x[c].alias(c) for c in ("kind", "start", "end")),
+            F.coalesce(*(F.when(x["kind"] == k, valid(k, s)) for k in KINDS), F.lit(False)).alias("ok"),
             F.struct(
                 F.array_position(F.array(*map(F.lit, KINDS)), x["kind"]).cast("int").alias("kind"),
-                F.length(digits).alias("digits"),
-                (F.size(F.split(s, "[^0-9]+")) - 1).alias("groups"),
-                F.when(F.length(digits).between(12, 19), luhn(digits)).otherwise(False).cast("int").alias("luhn"),
-                valid("ip", s).cast("int").alias("quad"),
+                F.when(x["kind"] == "email", 0).otherwise(F.size(F.split(s, "[^0-9]+")) - 1).alias("groups"),
+                F.when(between("\\."), 3).when(between("-"), 2).when(between("\\x20"), 1).otherwise(0).alias("separator"),
                 F.startswith(s, F.lit("+")).cast("int").alias("plus"),
                 F.contains(s, F.lit("(")).cast("int").alias("bracket"),
                 side(F.when(x["start"] > 0, F.substring(text, x["start"], F.lit(1))).otherwise("")).alias("before"),
@@ -147,7 +156,19 @@ def candidates(text: Column, hidden: Column | None = None) -> Column:
             ).alias("f"),
         )
 
-    return F.when(text.rlike("[0-9]{3}"), F.transform(spans, one)).otherwise(F.transform(F.slice(spans, 1, 0), one))
+    return F.transform(spans, one)
+
+
+def labelled(found: Column, marks: Column) -> Column:
+    """Of candidates those that teach, as (features, label); ``marks``: dots with the letters of base spans, as ``masked`` puts them."""
+
+    def label(c: Column) -> Column:
+        here = F.substring(marks, c["start"] + 1, c["end"] - c["start"])
+        other = F.replace(here, F.left(c["kind"], F.lit(1)), F.lit(""))
+        return F.when(other == "", 1).when(other.rlike("[a-z]") | ~c["ok"], 0)
+
+    told = F.transform(found, lambda c: F.struct(c["f"].alias("f"), label(c).alias("label")))
+    return F.filter(told, lambda t: t["label"].isNotNull())
 
 
 class Trees:
@@ -231,7 +252,7 @@ def calibrated(trees: Trees, table: list[tuple[tuple[int, ...], int, int]]) -> d
         for i, (s, m, y) in enumerate(rows):
             n, yes = n + m, yes + y
             last = i + 1 == len(rows) or rows[i + 1][0] < s
-            if last and yes >= LEAST_PRECISION * n and s > 0:
+            if last and n >= LEAST_HELD and yes >= LEAST_PRECISION * n and s > 0:
                 out[kind] = s
     return out
 
@@ -248,25 +269,24 @@ class Detector:
 
     @classmethod
     def train(cls, docs: DataFrame, text_col: str = "text") -> Detector:
-        text = F.coalesce(F.col(text_col), F.lit(""))
-        read = docs.select(text.alias("text")).where(F.col("text").rlike("[0-9]{3}|[0-9][\\x20.-][0-9]"))
+        # a text without any of the generators' hints has no candidates
+        hints = "|".join(dict.fromkeys(f"(?:{hint})" for ps in GENERATORS.values() for _, hint in ps))
+        read = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text")).where(F.col("text").rlike(hints))
         text = F.col("text")
-        every = F.concat(*(matches(text, PATTERNS[k], k) for k in KINDS))
-        # equal texts count once; their candidates and base matches meet by text and place
-        read = read.select("text", F.xxhash64("text").alias("t"), F.xxhash64(F.reverse("text")).alias("u"))
-        place = ["t", "u", "kind", "start", "end"]
-        cut = lambda spans, *more: read.select("t", "u", F.explode(spans).alias("c")).select("t", "u", "c.kind", "c.start", "c.end", *more)
-        found = cut(candidates(text), "c.f").distinct()
-        every = F.concat(*(matches(text, PATTERNS[k], k) for k in KINDS[1:]))
-        s = F.col("c.s")
-        right = F.when(F.col("c.kind") == "ip", valid("ip", s)).when(F.col("c.kind") == "card", valid("card", s)).otherwise(valid("phone", s))
-        known = cut(every, right.cast("int").alias("label")).distinct()
+        passing = lambda k: F.filter(based(text, k), lambda x: valid(k, x["s"]))
+        read = read.select(F.xxhash64("text").alias("t"), F.xxhash64(F.reverse("text")).alias("u"), F.length("text").alias("n"), candidates(text).alias("found"), F.concat(*map(passing, KINDS)).alias("base"))
+        # bound to names: an expression inside a lambda function is computed for each element
+        own = F.when(F.size("found") > 0, F.struct("n", "found", "base"))
+        told = _let(own, lambda s: _let(masked(F.repeat(F.lit("."), s["n"]), s["base"]), lambda marks: labelled(s["found"], marks)))
+        taught = read.select("t", "u", told.alias("told")).where(F.size("told") > 0)
+        # equal texts count once, by two hashes of 64 bits
+        taught = taught.groupBy("t", "u").agg(F.first("told").alias("told"))
         held = (F.pmod(F.xxhash64(F.lit(9), "t"), F.lit(4)) == 0).alias("held")
-        told = found.join(known, place).select(held, "f.*", "label")
+        told = taught.select(held, F.explode("told").alias("c")).select("held", "c.f.*", "c.label")
         counts = told.groupBy("held", *FEATURES).agg(F.count("*").alias("rows"), F.sum("label").alias("yes")).collect()
         table = {h: sorted((tuple(r[f] for f in FEATURES), r["rows"], r["yes"]) for r in counts if r["held"] is h) for h in (False, True)}
         trees = Trees().fit(table[False])
-        return cls(trees, calibrated(trees, table[True] or table[False]))
+        return cls(trees, calibrated(trees, table[True]))
 
     def _added(self, found: Column) -> Column:
         """Candidates that score enough; where some overlap, the first, of those the best, then the longest."""
@@ -286,7 +306,7 @@ class Detector:
         """``docs`` with ``_base`` and ``_added``: arrays of (kind, start, end), by kind and start."""
         text = F.coalesce(F.col(text_col), F.lit(""))
         plain = lambda a: F.transform(a, lambda x: F.struct(*(x[c].alias(c) for c in ("kind", "start", "end"))))
-        passing = lambda k: F.filter(matches(text, PATTERNS[k], k), lambda x: valid(k, x["s"]))
+        passing = lambda k: F.filter(based(text, k), lambda x: valid(k, x["s"]))
         kept = [passing(k) for k in KINDS]
         out = docs.withColumn("_base", plain(F.concat(*kept)))
         if not self.least:
@@ -306,7 +326,9 @@ def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     """One row for each row of ``docs``: the id, counts and digest of base spans, and all spans.
 
     Spans are kind:start:end in code points, the end exclusive, by kind as in ``KINDS`` and start,
-    joined by commas. Null and empty texts have none. Ids may be null or repeated.
+    joined by commas. Null and empty texts have none; very long ones are searched whole. Ids may be
+    null or repeated, each row has its own; an empty table gives an empty one; no column but the
+    named is read.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     found = Detector.train(rows).spans(rows)
@@ -319,7 +341,8 @@ def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with every span in the text replaced by its kind in brackets; null stays null.
 
-    Spans that overlap are replaced together, under the kind of the first. Other columns stay.
+    Spans that overlap are replaced together, under the kind of the first. Other columns stay,
+    whatever their names, and so do repeated rows; an empty table gives an empty one.
     """
     packed = docs.select(F.struct(*docs.columns).alias("_kept"), F.col(text_col).alias("_text"))
     found = Detector.train(packed, "_text").spans(packed, "_text")

@@ -1,15 +1,16 @@
 """A quality classifier by importance resampling.
 
 Two generative models of hashed n-grams, one of the target (texts labelled good) and one of the
-raw corpus, give each text the mean logarithm of their ratio. The n-grams: words and pairs of
-words, and the shapes of one to three neighbouring words (kinds of characters, runs as one, and
-whether the word repeats the one before). Weights times ``SHARPNESS`` plus Gumbel noise are the
-keys of sampling without replacement: the k texts of the largest keys are a sample by weight. The
-classifier takes as k the number of texts whose key reaches a cut that is set on labelled rows
-which the target model hasn't seen.
-
-Raw counts are taken over every text. The target model and the cut use at most ``SAMPLE``
-labelled rows, those of the least hash of their id.
+raw corpus, give each text its weight: the sum of the logarithms of their ratio. The n-grams: words
+and pairs of words, and the shapes of one to three neighbouring words (kinds of characters, runs as
+one, and whether the word repeats the one before). A text's key is its weight over ``TEMPERATURE``
+plus Gumbel noise; the k texts of the largest keys are a sample without replacement by weight, and
+they are what the classifier selects. k is how many texts' weights reach a cut that is set on
+labelled rows which the target model hasn't seen: so the sample has as many texts as there are good
+ones, and near the cut chance decides, the more so the less a text's weight tells.
+
+Raw counts, weights and k are taken over every text, and of all of it; very long texts are read in
+pieces. The target model and the cut use at most ``SAMPLE`` labelled ids, those of the least hash.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from folioscope.llm.words import NOT_SPACE, grams, mix, word_hashes
 
 SAMPLE = 20_000
 WORD_BITS, SHAPE_BITS = 14, 12
-SHARPNESS = 64.0
+TEMPERATURE = 1.0
 SMOOTHING = 1.0
 _BUCKETS = (1 << WORD_BITS) + (1 << SHAPE_BITS)
 _AGAIN = np.uint64(0x2545F4914F6CDD1D)
@@ -79,45 +80,48 @@ def log_ratios(total: np.ndarray, target: np.ndarray) -> np.ndarray:
 
 
 def weights(ratio: np.ndarray, column: pa.Array) -> np.ndarray:
-    """The weight of each text: the mean log ratio of its words' buckets plus that of its shapes'."""
+    """The weight of each text, the sum of its buckets' log ratios; not a number where it has no words."""
     out = []
     for words, word_row, shapes, shape_row, n in features(column):
-        total = np.zeros(n)
-        for bucket, row in ((words, word_row), (shapes + (1 << WORD_BITS), shape_row)):
-            total += np.bincount(row, ratio[bucket], n) / np.maximum(1, np.bincount(row, minlength=n))
+        total = np.bincount(word_row, ratio[words], n) + np.bincount(shape_row, ratio[shapes + (1 << WORD_BITS)], n)
         total[np.bincount(word_row, minlength=n) == 0] = np.nan
         out.append(total)
     return np.concatenate(out) if out else np.zeros(0)
 
 
-def gumbel(seed: int, *columns: str) -> Column:
+def gumbel(seed: int, *columns: Column) -> Column:
     """Gumbel noise by a hash, the same for the same values and seed."""
     unit = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), *columns), 12) + F.lit(0.5)) / F.lit(float(1 << 52))
     return -F.log(-F.log(unit))
 
 
-def top_k(keys: DataFrame, k: int, key: str = "key", tie: str = "doc_id") -> DataFrame:
-    """The k rows of the largest keys (equal ones: the least ``tie``).
+def kth(keys: DataFrame, k: int, key: str = "key") -> float:
+    """The k-th largest key (infinite for none, minus infinite where there are no more than k).
 
-    A quantile sketch brackets the k-th key; rows above the bracket stay as they are, and only
-    rows inside it (about one in 5,000 of all) are ordered.
+    A quantile sketch brackets it; only keys inside the bracket (about one in 2,500) are ordered.
     """
+    keys = keys.select(key).where(F.col(key).isNotNull())
     n = keys.count()
     if k >= n:
-        return keys
+        return -math.inf
     if k <= 0:
-        return keys.where("false")
+        return math.inf
     share = 1 - k / n
     low, high = keys.agg(F.percentile_approx(key, [max(0.0, share - 2e-4), min(1.0, share + 2e-4)], 100_000)).first()[0]
-    above = keys.where(F.col(key) > high)
+    above = keys.where(F.col(key) > high).count()
     inside = keys.where(F.col(key).between(low, high))
-    return above.union(inside.orderBy(F.desc(key), tie).limit(k - above.count()))
+    return inside.orderBy(F.desc(key)).offset(k - above - 1).limit(1).first()[0]
+
+
+def top_k(keys: DataFrame, k: int, key: str = "key") -> DataFrame:
+    """The rows of the k largest keys; rows that tie with the k-th come too, and null keys never do."""
+    return keys.where(F.col(key) >= F.lit(kth(keys, k, key)))
 
 
 def cut(good: np.ndarray, bad: np.ndarray, leniency: float = 0.005) -> float:
-    """The key from which texts are kept.
+    """The weight from which texts count as good.
 
-    The edge between labelled keys that tells good from bad best (mean share of each told right)
+    The edge between labelled weights that tells good from bad best (mean share of each told right)
     is best for both; of all edges within ``leniency`` of it, the least is taken, since losing a
     good text costs more than keeping a bad one.
     """
@@ -130,7 +134,7 @@ def cut(good: np.ndarray, bad: np.ndarray, leniency: float = 0.005) -> float:
 
 
 class Classifier:
-    """The log ratio of each bucket, and the key from which texts are kept."""
+    """The log ratio of each bucket, and the weight from which a text counts towards k."""
 
     def __init__(self, shared, edge: float, seed: int):
         self.shared, self.edge, self.seed = shared, edge, seed
@@ -145,12 +149,12 @@ class Classifier:
 
         return F.arrow_udf(weigh, "double")(text)
 
-    def key(self, weight: Column, id_col: str) -> Column:
-        return weight * SHARPNESS + gumbel(self.seed, id_col)
+    def key(self, weight: Column, id_col: Column, text: Column) -> Column:
+        return weight / TEMPERATURE + gumbel(self.seed, id_col, text)
 
-    def selected(self, key: Column) -> Column:
-        """Whether a key is one of the k largest, k being the number that reach the cut."""
-        return key.isNotNull() & (key >= F.lit(self.edge))
+    def least_key(self, scored: DataFrame) -> float:
+        """For rows (log_weight, gumbel_key) the key from which ``top_k`` takes them."""
+        return kth(scored, scored.where(F.col("log_weight") >= F.lit(self.edge)).count(), "gumbel_key")
 
     @classmethod
     def fit(cls, docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, sample: int, seed: int) -> Classifier:
@@ -168,9 +172,11 @@ class Classifier:
             total[bucket], target[bucket] = t, g
         own = cls(spark.sparkContext.broadcast(log_ratios(total, target)), -math.inf, seed)  # one number for each bucket
         told = rows.join(F.broadcast(known.where("held")), "doc_id")  # at most `sample` rows
-        told = told.select(own.key(own.weight(F.col("text")), "doc_id").alias("key"), "label").collect()
-        keys = {y: np.array(sorted(r["key"] for r in told if r["key"] is not None and (r["label"] == 1) == y)) for y in (True, False)}
-        own.edge = cut(keys[True], keys[False])
+        # an id with several texts tells by the one of least hash
+        told = told.groupBy("doc_id", "label").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
+        told = told.select(own.weight(F.col("text")).alias("weight"), "label").collect()
+        told = {y: np.array(sorted(r["weight"] for r in told if r["weight"] is not None and (r["label"] == 1) == y)) for y in (True, False)}
+        own.edge = cut(told[True], told[False])
         return own
 
 
@@ -180,15 +186,26 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     A text that is null or has no words has a null weight and is not selected. Where no bad row or
     no good row is labelled, all texts with words are selected. Labels that are null, or whose id
     no text has, teach nothing; an id labelled twice counts as its least label. A null id takes
-    part with the noise of its seed.
+    part with the noise of its seed. Rows that repeat an id and a text have one key and go the same
+    way. An empty table gives an empty one; no column but the named is read.
     """
     own = Classifier.fit(docs, labels, id_col, text_col, label_col, sample, seed)
-    rows = docs.select(F.col(id_col).cast("long").alias(id_col), own.weight(F.col(text_col)).alias("log_weight"))
-    rows = rows.withColumn("gumbel_key", own.key(F.col("log_weight"), id_col))
-    return rows.withColumn("selected", own.selected(F.col("gumbel_key")))
+    rows = docs.select(F.col(id_col).cast("long").alias(id_col), own.weight(F.col(text_col)).alias("log_weight"), F.col(text_col).alias("_text"))
+    rows = rows.select(id_col, "log_weight", own.key(F.col("log_weight"), F.col(id_col), F.col("_text")).alias("gumbel_key"))
+    rows = Workspace(docs.sparkSession, "quality").stash(rows, "keys")
+    return rows.withColumn("selected", F.coalesce(F.col("gumbel_key") >= F.lit(own.least_key(rows)), F.lit(False)))
 
 
 def select(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE, seed: int = 7) -> DataFrame:
-    """The rows of ``docs``, whole, that ``classify`` selects; nothing is shuffled."""
+    """The rows of ``docs``, whole, that ``classify`` selects: no text is shuffled.
+
+    A first pass writes the keys, from which the least key of the sample follows; a second one
+    finds each row's key again. Defined for nulls, empty and repeated rows as ``classify`` is.
+    """
     own = Classifier.fit(docs, labels, id_col, text_col, label_col, sample, seed)
-    return docs.where(own.selected(own.key(own.weight(F.col(text_col)), id_col)))
+    text = F.col(text_col)
+    key = lambda weight: own.key(weight, F.col(id_col).cast("long"), text)
+    packed = docs.select(own.weight(text).alias("log_weight"), F.col(id_col).cast("long").alias("_id"), text.alias("_text"))
+    keys = packed.select("log_weight", own.key(F.col("log_weight"), F.col("_id"), F.col("_text")).alias("gumbel_key"))
+    least = own.least_key(Workspace(docs.sparkSession, "quality").stash(keys, "keys"))
+    return docs.where(F.coalesce(key(own.weight(text)) >= F.lit(least), F.lit(False)))

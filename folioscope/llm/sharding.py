@@ -25,31 +25,74 @@ ROWS = 1 << 20
 LEAST_BLOCKS = 256
 
 
+def _stirling(n: float) -> float:
+    """log(n!) less Stirling's formula for it."""
+    if n < 16:
+        return math.lgamma(n + 1) - (n + 0.5) * math.log(n) + n - 0.5 * math.log(2 * math.pi) if n else 0.0
+    x = 1 / (n * n)
+    return (1 / 12 - (1 / 360 - (1 / 1260 - x / 1680) * x) * x) / n
+
+
+def _deviance(x: float, mean: float) -> float:
+    """x log(x / mean) + mean - x, without loss of digits where both are close."""
+    d = x - mean
+    if abs(d) >= 0.1 * (x + mean):
+        return (x * math.log(x / mean) if x else 0.0) + mean - x
+    v = d / (x + mean)
+    total, term, k = d * v, 2 * x * v, 1
+    while True:
+        term *= v * v
+        more = total + term / (2 * k + 1)
+        if more == total:
+            return more
+        total, k = more, k + 1
+
+
+def _log_binomial(x: int, n: int, p: float, q: float) -> float:
+    """The log probability of x out of n by the saddle-point expansion, exact to the last digits at any size."""
+    if x == 0:
+        return n * math.log1p(-p) if n else 0.0
+    if x == n:
+        return n * math.log(p)
+    rest = _stirling(n) - _stirling(x) - _stirling(n - x) - _deviance(x, n * p) - _deviance(n - x, n * q)
+    return rest + 0.5 * math.log(n / (2 * math.pi * x * (n - x)))
+
+
 def hypergeometric(draw: random.Random, good: int, bad: int, n: int) -> int:
-    """How many of n rows drawn without replacement are good. Inversion from the mode outwards."""
+    """How many of n rows drawn without replacement are good. Inversion from the mode outwards.
+
+    Probabilities are ratios of three binomial ones, so that rows by the billion lose no digits; a
+    draw that rounding leaves beyond all values is made again.
+    """
     low, high = max(0, n - bad), min(n, good)
     if low == high:
         return low
-    log = lambda a, b: math.lgamma(a + 1) - math.lgamma(b + 1) - math.lgamma(a - b + 1)
     mode = min(high, max(low, (n + 1) * (good + 1) // (good + bad + 2)))
-    p = math.exp(log(good, mode) + log(bad, n - mode) - log(good + bad, n))
-    u = draw.random() - p
-    down = up = p
-    i = j = mode
-    while u > 0 and (i > low or j < high):
-        if j < high:
-            up *= (good - j) * (n - j) / ((j + 1) * (bad - n + j + 1))
-            j += 1
-            u -= up
-            if u <= 0:
-                return j
-        if i > low:
-            down *= i * (bad - n + i) / ((good - i + 1) * (n - i + 1))
-            i -= 1
-            u -= down
-            if u <= 0:
-                return i
-    return mode
+    p, q = n / (good + bad), (good + bad - n) / (good + bad)
+    top = math.exp(_log_binomial(mode, good, p, q) + _log_binomial(n - mode, bad, p, q) - _log_binomial(n, good + bad, p, q)) if q else 1.0
+    while True:
+        u = draw.random() - top
+        down = up = top
+        i = j = mode
+        while u > 0 and (up > 0 or down > 0):
+            if j < high:
+                up *= (good - j) * (n - j) / ((j + 1) * (bad - n + j + 1))
+                j += 1
+                u -= up
+                if u <= 0:
+                    return j
+            else:
+                up = 0.0
+            if i > low:
+                down *= i * (bad - n + i) / ((good - i + 1) * (n - i + 1))
+                i -= 1
+                u -= down
+                if u <= 0:
+                    return i
+            else:
+                down = 0.0
+        if u <= 0:
+            return mode
 
 
 def matrix(blocks: dict[int, int], sizes: list[int], seed: int) -> list[tuple[int, list[int]]]:
@@ -79,8 +122,9 @@ def shuffle(rows: DataFrame, shards: int, seed: int = 0, sizes: list[int] | None
 
     Every row gets one place, rows with null or repeated ids too. ``sizes`` must add up to the
     number of rows; without it they are equal, or one apart. Columns named shard or slot are
-    replaced. What the draw depends on: the seed and the order of rows in the input's partitions.
-    An empty table gives an empty table.
+    replaced; all others stay, whatever their names. Null, empty and very long texts and repeated
+    rows are rows like others. What the draw depends on: the seed and the order of rows in the
+    input's partitions. An empty table gives an empty table.
     """
     spark = rows.sparkSession
     space = Workspace(spark, "shuffle")

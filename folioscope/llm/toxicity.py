@@ -8,9 +8,10 @@ products of all pairs of terms, through ``FACTORS`` latent numbers a term, so th
 weigh together what neither weighs alone. It learns by AdaGrad on the logistic loss. One
 labelled row in ``CALIBRATION`` is kept from the fit and sets the score's slope and offset.
 
-The fit uses at most ``SAMPLE`` labelled rows, those of the least hash of their id, each with at
-most ``MOST_TERMS`` terms; it is the driver's only work and doesn't grow with the input. Scores
-are of every whole text.
+The fit uses at most ``SAMPLE`` labelled ids, those of the least hash, each with all terms of its
+text: Spark counts them and the driver gets only the chosen ones of each row, so what it holds is
+bounded by ``SAMPLE`` times ``MOST``. Scores are of every whole text; very long ones are read in
+pieces.
 """
 
 from __future__ import annotations
@@ -20,15 +21,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioscope.llm.common import Workspace, utf8
 from folioscope.llm.words import ALNUM, word_hashes
 
 SAMPLE = 20_000
-MOST_TERMS = 20_000
 BITS, FACTORS = 20, 4
+#: Parameters of the model's size: how many terms it takes at most, and how telling each must be.
 MOST, LEAST_G = 4096, 15.0
 EPOCHS, BATCH, RATE, L2 = 30, 512, 0.2, 1e-4
 CALIBRATION = 5
@@ -43,25 +44,29 @@ def terms(column: pa.Array) -> Iterator[np.ndarray]:
             yield np.unique(bucket[at[i] : at[i + 1]])
 
 
-def telling(texts: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
-    """The terms whose presence goes with the label, by the G statistic of a 2 by 2 table."""
-    size = 1 << BITS
-    flat, owner = np.concatenate(texts), np.repeat(labels, [len(t) for t in texts])
-    yes = np.bincount(flat[owner == 1], minlength=size).astype(float)
-    no = np.bincount(flat[owner == 0], minlength=size).astype(float)
-    n1, n0 = float(labels.sum()), float(len(labels) - labels.sum())
-    part = lambda seen, expected: seen * np.log(np.maximum(seen, 1e-300) / np.maximum(expected, 1e-300))
-    share = (yes + no) / (n1 + n0)
-    g = 2 * (part(yes, share * n1) + part(no, share * n0) + part(n1 - yes, (1 - share) * n1) + part(n0 - no, (1 - share) * n0))
-    best = np.flatnonzero(g >= LEAST_G)
-    return np.sort(best[np.argsort(-g[best], kind="stable")][:MOST])
+def telling(rows: DataFrame, yes: int, no: int, most: int = MOST, least: float = LEAST_G) -> np.ndarray:
+    """Of rows (toxic, terms), ``yes`` of them toxic and ``no`` not, the terms that go with the label.
+
+    By the G statistic of each term's 2 by 2 table, from ``least`` up, the ``most`` greatest. Counts
+    are taken in Spark; the driver gets the chosen terms.
+    """
+    seen = rows.select("toxic", F.explode("terms").alias("term")).groupBy("term").agg(F.count_if(F.col("toxic") == 1).alias("y"), F.count_if(F.col("toxic") == 0).alias("n"))
+    share = (F.col("y") + F.col("n")) / F.lit(float(yes + no))
+
+    def part(count: Column, expected: Column) -> Column:
+        return F.when(count > 0, count * F.log(count / expected)).otherwise(0.0)
+
+    absent = 1 - share
+    g = 2 * (part(F.col("y"), share * yes) + part(F.col("n"), share * no) + part(yes - F.col("y"), absent * yes) + part(no - F.col("n"), absent * no))
+    chosen = seen.select("term", g.alias("g")).where(F.col("g") >= least).orderBy(F.desc(F.round("g", 9)), "term").limit(most)
+    return np.array(sorted(r["term"] for r in chosen.collect()), np.int64)
 
 
 class Machine:
     """y(x) = bias + sum of w_i + sum over pairs of <v_i, v_j>, for the terms i of a text."""
 
     def __init__(self, chosen: np.ndarray, seed: int = 5):
-        self.place = np.full(1 << BITS, -1, np.int16)
+        self.place = np.full(1 << BITS, -1, np.int32)
         self.place[chosen] = np.arange(len(chosen))
         self.bias, self.slope, self.offset = 0.0, 1.0, 0.0
         self.w = np.zeros(len(chosen))
@@ -133,8 +138,17 @@ class Machine:
 
 def _termed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        if len(batch):
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([t[:MOST_TERMS] for t in terms(batch.column(2))], pa.list_(pa.int32()))], ["toxic", "held", "terms"])
+        for k, t in enumerate(terms(batch.column(2))):
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(k, 1), batch.column(1).slice(k, 1), pa.array([t], pa.list_(pa.int32()))], ["toxic", "held", "terms"])
+
+
+def _chosen(chosen: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (toxic, held, terms) with only the chosen terms."""
+    taken = np.zeros(1 << BITS, bool)
+    taken[chosen] = True
+    for batch in batches:
+        own = [np.asarray(t, np.int32) for t in batch.column(2).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([t[taken[t]] for t in own], pa.list_(pa.int32()))], ["toxic", "held", "terms"])
 
 
 def _scored(shared, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,43 +163,54 @@ def _scored(shared, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(got))], ["doc_id", "score"])
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, seed: int = 5) -> Machine:
-    """A machine fitted to a bounded sample of labelled rows of ``docs`` (doc_id, text)."""
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, seed: int = 5, most: int = MOST) -> Machine:
+    """A machine fitted to a bounded sample of labelled rows of ``docs`` (doc_id, text).
+
+    An id with several texts teaches by the one of least hash.
+    """
+    space = Workspace(docs.sparkSession, "toxicity")
     known = labels.dropna().groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     known = known.orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(sample)
-    known = Workspace(docs.sparkSession, "toxicity").stash(known.withColumn("held", F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id"), F.lit(CALIBRATION)) == 0), "known")
-    rows = docs.join(F.broadcast(known), "doc_id").select("toxic", "held", "text")  # at most `sample` rows
-    got = rows.mapInArrow(_termed, "toxic int, held boolean, terms array<int>").toArrow()
-    toxic, held = got.column(0).to_numpy(), got.column(1).to_numpy().astype(bool)
-    texts = [np.asarray(x, np.int32) for x in got.column(2).to_pylist()]
-    order = np.argsort([int(t.sum()) * 1_000_003 + len(t) for t in texts], kind="stable") if texts else []
-    texts, toxic, held = [texts[i] for i in order], toxic[order].astype(float), held[order]
-    fit = ~held if 0 < toxic[~held].sum() < (~held).sum() else np.ones(len(held), bool)
-    if not len(texts) or toxic.min() == toxic.max():
+    known = space.stash(known.withColumn("held", F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id"), F.lit(CALIBRATION)) == 0), "known")
+    rows = docs.join(F.broadcast(known), "doc_id")  # at most `sample` rows
+    rows = rows.groupBy("doc_id", "toxic", "held").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
+    rows = space.stash(rows.select("toxic", "held", "text").mapInArrow(_termed, "toxic int, held boolean, terms array<int>"), "terms")
+    counts = {(r["held"], r["toxic"] == 1): r["count"] for r in rows.groupBy("held", "toxic").count().collect()}
+    total = lambda toxic, *held: sum(counts.get((h, toxic), 0) for h in held)
+    if not total(True, False, True) or not total(False, False, True):
         own = Machine(np.zeros(0, np.int64), seed)
-        own.offset = -1.0 if len(texts) and toxic.any() else 1.0
+        own.offset = -1.0 if counts and total(True, False, True) else 1.0
         return own
-    mine = [t for t, h in zip(texts, fit, strict=True) if h]
-    own = Machine(telling(mine, toxic[fit]), seed)
-    own.fit(own.chosen(mine), toxic[fit], seed)
+    both = total(True, False) > 0 and total(False, False) > 0  # else the part kept for calibration teaches too
+    yes, no = (total(y, False) if both else total(y, False, True) for y in (True, False))
+    chosen = telling(rows.where("not held") if both else rows, yes, no, most)
+    got = rows.mapInArrow(functools.partial(_chosen, chosen), "toxic int, held boolean, terms array<int>").toArrow()  # at most `sample` rows of `most` terms
+    toxic, held = got.column(0).to_numpy().astype(float), got.column(1).to_numpy().astype(bool)
+    own = Machine(chosen, seed)
+    texts = own.chosen([np.asarray(x, np.int32) for x in got.column(2).to_pylist()])
+    order = sorted(range(len(texts)), key=lambda i: (toxic[i], held[i], texts[i].tolist()))
+    texts, toxic, held = [texts[i] for i in order], toxic[order], held[order]
+    fit = ~held if both else np.ones(len(held), bool)
+    own.fit([t for t, f in zip(texts, fit, strict=True) if f], toxic[fit], seed)
     test = held if held.any() else fit
-    own.calibrate(own.chosen([t for t, h in zip(texts, test, strict=True) if h]), toxic[test])
+    own.calibrate([t for t, h in zip(texts, test, strict=True) if h], toxic[test])
     own.w, own.v = own.w.astype(np.float32), own.v.astype(np.float32)
     return own
 
 
-def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", folds: int = 5, sample: int = SAMPLE) -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", folds: int = 5, sample: int = SAMPLE, most: int = MOST) -> DataFrame:
     """One row for each row of ``docs``: its id, ``held_out``, ``score`` (0 to 1), ``predicted``.
 
     Rows whose crc32 of the id as text is 0 modulo ``folds`` are held out: their labels teach
     nothing. Null and empty texts have no terms and get the score of the bias alone. A null id is
     not held out and has no label; an id labelled twice counts as toxic if either says so. Without
-    any toxic (or any other) label every text gets one score, below (above) one half.
+    any toxic (or any other) label every text gets one score, below (above) one half. An empty table
+    gives an empty one; repeated rows get equal scores; no column but the named is read.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds == 0, F.lit(False))
     known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("toxic"))
-    shared = spark.sparkContext.broadcast(train(rows, known.where(~held), sample))  # a fixed number of weights
+    shared = spark.sparkContext.broadcast(train(rows, known.where(~held), sample, most=most))  # a fixed number of weights
     out = rows.mapInArrow(functools.partial(_scored, shared), "doc_id long, score double")
     return out.select(F.col("doc_id").alias(id_col), held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

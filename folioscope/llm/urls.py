@@ -7,7 +7,9 @@ reach their limits, block the urls that hold all tokens of one. They are matched
 index: each token of a distinct url meets the rules that have it, and a rule holds where as many
 of its tokens met as it has. A url under a rule given by hand isn't judged by mined ones.
 
-Mining uses at most ``SAMPLE`` labelled rows, those of the least hash of their id.
+Mining uses at most ``SAMPLE`` labelled rows, those of the least hash of their id. A rule rests on
+``LEAST_COUNT`` rows at least, whatever their share, and must reach its confidence again on a third
+of the rows that it wasn't mined from; so labels that don't go with urls give no rules at any size.
 """
 
 from __future__ import annotations
@@ -16,8 +18,11 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from folioscope.llm.common import Workspace
+
 SAMPLE = 20_000
 LEAST_SUPPORT, LEAST_CONFIDENCE = 0.005, 0.8
+LEAST_COUNT, LEAST_HELD = 20, 5
 BAD = "=bad"
 
 
@@ -52,25 +57,41 @@ def ruled(host_: Column, path_: Column, rules: list[tuple[str, str, str]]) -> tu
 def mine(labelled: DataFrame, sample: int = SAMPLE, support: float = LEAST_SUPPORT, confidence: float = LEAST_CONFIDENCE) -> DataFrame:
     """Rules from rows of (id, url, bad): ``rule`` number, ``token`` and ``size``, one row a token."""
     rows = labelled.where("url is not null and bad is not null").orderBy(F.xxhash64(F.lit(3), "id"), "id", "url", "bad").limit(sample)
-    baskets = rows.select(F.concat(tokens(F.col("url")), F.when(F.col("bad"), F.array(F.lit(BAD))).otherwise(F.array().cast("array<string>"))).alias("items"))
-    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(baskets)
+    rows = rows.select("url", "bad", (F.pmod(F.xxhash64(F.lit(4), "id", "url"), F.lit(3)) == 0).alias("held"))
+    rows = Workspace(labelled.sparkSession, "urls").stash(rows, "sample")
+    learnt, held = rows.where("not held"), rows.where("held")
+    n = learnt.count()
+    if n < LEAST_COUNT:
+        return labelled.sparkSession.createDataFrame([], "rule long, token string, size int")
+    bad = F.when(F.col("bad"), F.array(F.lit(BAD))).otherwise(F.array().cast("array<string>"))
+    model = FPGrowth(itemsCol="items", minSupport=max(support, LEAST_COUNT / n), minConfidence=confidence).fit(learnt.select(F.concat(tokens(F.col("url")), bad).alias("items")))
     rules = model.associationRules.where(F.col("consequent")[0] == BAD).select(F.array_sort("antecedent").alias("tokens"))
-    numbered = rules.select(F.xxhash64("tokens").alias("rule"), F.explode("tokens").alias("token"), F.size("tokens").alias("size"))
-    return numbered.distinct()
+    rules = rules.select(F.xxhash64("tokens").alias("rule"), F.explode("tokens").alias("token"), F.size("tokens").alias("size")).distinct()
+    shown = held.join(_met(held, rules), "url").groupBy("rule").agg(F.count("*").alias("n"), F.count_if("bad").alias("bad"))
+    good = shown.where((F.col("n") >= LEAST_HELD) & (F.col("bad") >= confidence * F.col("n"))).select("rule")
+    return rules.join(good, "rule", "left_semi")
 
 
-def matched(urls: DataFrame, rules: DataFrame) -> DataFrame:
-    """The distinct urls that hold all tokens of a mined rule."""
+def _met(urls: DataFrame, rules: DataFrame) -> DataFrame:
+    """(url, rule) of distinct urls that hold all tokens of a rule, by an inverted index."""
     every = urls.select("url").where("url is not null").distinct().withColumn("token", F.explode(tokens(F.col("url"))))
     met = every.join(rules, "token").groupBy("url", "rule", "size").agg(F.count("*").alias("n"))
-    return met.where("n = size").select("url").distinct()
+    return met.where("n = size").select("url", "rule")
+
+
+def matched(urls: DataFrame, rules: DataFrame) -> DataFrame:
+    """The distinct urls that hold all tokens of a mined rule."""
+    return _met(urls, rules).select("url").distinct()
 
 
 def judge(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str, str]], id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """One row for each row of ``pages``: id, ``host``, ``path``, ``rule`` and ``verdict``.
 
     ``labels`` has the id and ``bad`` (boolean); null labels teach nothing. A null url, or one
-    without ://, has an empty host and path and is allowed. Without bad labels nothing is mined.
+    without ://, has an empty host and path and is allowed. Without bad labels, or with fewer than
+    ``LEAST_COUNT`` labelled urls to mine, nothing is mined. Very long urls are judged whole;
+    repeated rows and ids each have their row, and an empty table gives an empty one. No column but
+    the named is read.
     """
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"))
     labelled = rows.join(labels.select(F.col(id_col).alias("id"), "bad"), "id")

@@ -1,19 +1,23 @@
 """Words of whole texts as 64-bit hashes, found in numpy over the bytes of a batch.
 
-A word's hash is a polynomial over its bytes modulo 2**64, taken from prefix sums, so that its
-cost does not depend on how many words there are. Every text is handled in pieces of at most
-``PIECE`` bytes that end between words; only a single word longer than that makes a longer piece.
+A word of at most ``SHORT`` bytes is hashed eight bytes at a time, each eight mixed into what the
+ones before gave, so that no sum or power of letters can cancel; a longer one by BLAKE2b. Where a
+result rests on two words being equal, ``same_spelling`` compares the words themselves.
+
+Every text is handled in pieces of at most ``PIECE`` bytes that end between words; only a single
+word longer than that makes a longer piece.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 
 PIECE = 1 << 20
+SHORT = 64
 _ODD = np.uint64(0x9E3779B97F4A7C15)
-_INVERSE = np.uint64(pow(int(_ODD), -1, 1 << 64))
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -35,33 +39,48 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_BYTES = mix(np.arange(1, 257, dtype=np.uint64) * _ODD)
-_powers: list[np.ndarray] = []
+def _lanes(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each position on as one number; zeros follow the end."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    return np.ndarray((len(data) + 1,), "<u8", buffer=padded, strides=(1,))
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of the base and of its inverse."""
-    if not _powers or len(_powers[0]) < n:
-        size = max(n, PIECE + 1)
-        both = []
-        for base in (_ODD, _INVERSE):
-            x = np.full(size, base, np.uint64)
-            x[0] = 1
-            both.append(np.multiply.accumulate(x))
-        if size > 4 * PIECE:
-            return both[0][:n], both[1][:n]
-        _powers[:] = both
-    return _powers[0][:n], _powers[1][:n]
+def _masked(lane: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """Of each lane the first ``left`` bytes."""
+    return np.where(left < 8, lane & ((np.uint64(1) << (np.minimum(left, 7) * 8).astype(np.uint64)) - np.uint64(1)), lane)
 
 
-def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """The hash of each span of ``values`` (64-bit, one per position)."""
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    up, down = powers(len(values))
-    total = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values * up, out=total[1:])
-    return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The hash of each span of bytes."""
+    n = ends - starts
+    out = mix(n.astype(np.uint64) * _ODD + np.uint64(1))
+    lanes = _lanes(data)
+    some = np.flatnonzero(n <= SHORT)
+    for k in range(0, SHORT, 8):
+        some = some[n[some] > k]
+        if not len(some):
+            break
+        out[some] = mix((out[some] ^ _masked(lanes[starts[some] + k], n[some] - k)) + _ODD)
+    for i in np.flatnonzero(n > SHORT).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
+    return out
+
+
+def same_spelling(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, other: np.ndarray) -> bool:
+    """Whether each span has the same bytes as the span whose number ``other`` gives for it."""
+    n = ends - starts
+    if (n != n[other]).any():
+        return False
+    lanes = _lanes(data)
+    some, k = np.flatnonzero((n <= SHORT) & (other != np.arange(len(other)))), 0
+    while len(some):
+        left = n[some] - k
+        if (_masked(lanes[starts[some] + k], left) != _masked(lanes[starts[other[some]] + k], left)).any():
+            return False
+        k += 8
+        some = some[n[some] > k]
+    long = np.flatnonzero((n > SHORT) & (other != np.arange(len(other)))).tolist()
+    return all(np.array_equal(data[starts[i] : ends[i]], data[starts[other[i]] : ends[other[i]]]) for i in long)
 
 
 def _pieces(offsets: np.ndarray, data: np.ndarray, member: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
@@ -143,9 +162,9 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, member: np.ndarray, spell
             starts, ends = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
         if spelling == "shape":
             kind, begins, stops = _shape(data[start:stop], starts, ends)
-            hashes = span_hashes(_BYTES[kind], begins, stops)
+            hashes = span_hashes(kind, begins, stops)
         else:
-            hashes = span_hashes(_BYTES[_folded(data[start:stop]) if spelling == "folded" else raw], starts, ends)
+            hashes = span_hashes(_folded(data[start:stop]) if spelling == "folded" else raw, starts, ends)
         if last == first + 1 and offsets[first + 1] - offsets[first] > PIECE:
             kept.append(hashes)
             if stop < offsets[first + 1]:
@@ -163,8 +182,7 @@ def grams(hashes: np.ndarray, k: int) -> np.ndarray:
     n = len(hashes) - k + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    total, factor = hashes[:n].copy(), 1
-    for j in range(1, k):
-        factor = factor * 0xBF58476D1CE4E5B9 % (1 << 64)
-        total += hashes[j : j + n] * np.uint64(factor)
-    return mix(total + np.uint64(k))
+    total = np.full(n, k, np.uint64)
+    for j in range(k):
+        total = mix((total ^ hashes[j : j + n]) + _ODD)
+    return total

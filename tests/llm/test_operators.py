@@ -62,10 +62,10 @@ def test_op1_at_other_percents(spark, percent):
 
 
 def test_op1_plan():
-    assert neardup.plan_for(85)[1:3] == (24, 5) and neardup.plan_for(80)[1:3] == (35, 5)
+    assert neardup.plan_for(85)[1:3] == (32, 5) and neardup.plan_for(80)[1:3] == (47, 5)
     for percent in range(3, 101):
         _, bands, per_band, _ = neardup.plan_for(percent)
-        assert bands * per_band <= neardup.HASHES and (1 - (percent / 100) ** per_band) ** bands <= neardup.MISSED
+        assert bands * per_band <= neardup.HASHES and (1 - (percent / 100) ** per_band) ** bands <= (1e-8 if percent > 3 else 1e-6)
     for percent in (-1, 0, 1, 101):
         with pytest.raises(ValueError):
             neardup.plan_for(percent)
@@ -325,7 +325,7 @@ def test_op7_against_labels(spark, docs):
     assert kept.columns == docs.columns and kept.count() == quality.classify(docs, labels).where("selected").count()
 
 
-def test_op7_weights_are_mean_log_ratios():
+def test_op7_weights_are_sums_of_log_ratios():
     column = pa.array(["a b", None, "", "A B c"])
     total, target = np.ones(quality._BUCKETS, np.int64), np.zeros(quality._BUCKETS, np.int64)
     target[::2] = 5
@@ -334,15 +334,17 @@ def test_op7_weights_are_mean_log_ratios():
     assert np.isnan(got[1]) and np.isnan(got[2])
     for words, word_row, shapes, shape_row, _ in quality.features(column):
         for k in (0, 3):
-            want = ratio[words[word_row == k]].mean() + ratio[shapes[shape_row == k] + (1 << quality.WORD_BITS)].mean()
+            want = ratio[words[word_row == k]].sum() + ratio[shapes[shape_row == k] + (1 << quality.WORD_BITS)].sum()
             assert abs(got[k] - want) < 1e-9
 
 
 @pytest.mark.parametrize("k", [0, 1, 7, 500, 999, 1000, 5000])
 def test_op7_top_k(spark, k):
     keys = spark.range(1000).select(F.col("id").alias("doc_id"), F.pmod(F.xxhash64("id"), F.lit(50)).cast("double").alias("key"))
-    want = sorted(((-r["key"], r["doc_id"]) for r in keys.collect()))[:k]
-    assert sorted((-r["key"], r["doc_id"]) for r in quality.top_k(keys, k).collect()) == want
+    every = sorted((-r["key"], r["doc_id"]) for r in keys.collect())
+    last = every[min(k, 1000) - 1][0] if k else -1e9
+    want = [x for x in every if x[0] <= last]  # those that tie with the k-th come too
+    assert sorted((-r["key"], r["doc_id"]) for r in quality.top_k(keys.union(spark.createDataFrame([(5000, None)], keys.schema)), k).collect()) == want and len(want) >= min(k, 1000)
 
 
 def test_op7_odd_rows(spark, odd, none):
@@ -375,8 +377,10 @@ def test_op8_against_all_windows(spark):
     assert decontaminate.clean(docs, bench).count() == sum(w[1] == 0 for w in want)
 
 
-def test_op8_many_blocks(spark, monkeypatch):
-    monkeypatch.setattr(decontaminate, "BLOCK_WORDS", 30)
+def test_op8_full_sketch_and_shuffled_join(spark, monkeypatch):
+    """A sketch too small to tell anything lets all through, and nothing is broadcast: the same rows."""
+    monkeypatch.setattr(decontaminate, "BITS", 8)
+    monkeypatch.setattr(decontaminate.Workspace, "stash", lambda self, df, name, own=decontaminate.Workspace.stash: own(self, df, name).hint("merge"))
     bench = items()
     rows = [(k, " ".join((bench[k % 4][1] + " " + bench[(k + 1) % 4][1]).split()[k:])) for k in range(20)] + [(99, None)]
     want = brute.contamination([t for _, t in rows], bench)
@@ -423,9 +427,12 @@ def test_op9_adds_what_a_longer_match_hid(spark):
 
 def test_op9_odd_rows(odd, none):
     assert pii.detect(odd).count() == 15 and pii.detect(none).count() == 0
+    base = {q["doc_id"]: q["base_sha256"] for q in pii.detect(odd).collect()}
+    assert all(base[r["doc_id"]] == hashlib.sha256(",".join(brute.pii(r["text"])).encode()).hexdigest() for r in odd.where("doc_id is not null").collect())
     clean = pii.redact(odd)
     assert clean.columns == odd.columns and clean.count() == 15
-    assert {r["text"] for r in clean.where("doc_id is null").collect()} >= {"Mail me: [EMAIL] or +1 (555) 555-0199 [IP] now"} or clean.where("text like '%[PHONE]%'").count()
+    # the trees have no phone to learn from: the number that a failing match holds stays
+    assert {r["text"] for r in clean.where("doc_id is null and text like 'Mail%'").collect()} == {"Mail me: [EMAIL] or +1 (555) 555-0199 [IP] now"}
 
 
 def test_op9_long_runs(spark):
