@@ -1,0 +1,243 @@
+"""Queries over decoded containers, and their SQL over the documents that the containers are made of.
+
+Documents become topics of files of at most ``TOPICS`` each; the files are encoded, written to the
+shared folder and decoded again. What follows joins the decoded tables: offsets to topics by
+position, hashes to names, keywords to slices of postings, links to targets.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from folioscope.functions.text import context_hash, html_escape
+from folioscope.operators import relational as R
+from folioscope.sources import container, writer
+from folioscope.sources.scratch import stash
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+TOPICS = 64
+_written: dict[tuple[str, str], DataFrame] = {}
+
+DOCS = """with d as (select doc_id, source || '-' || (doc_id // 64) as file, cast(row_number() over (partition by source, doc_id // 64 order by doc_id) - 1 as bigint) as ord,
+'T' || doc_id || ' ' || lang as title, coalesce(text, '') as text, lang, quality from documents left join labels using (doc_id)),
+w as (select file, ord, title, doc_id, unnest([lang, 'k' || (doc_id % 7), 'both, k' || (doc_id % 3)]) as keyword from d),
+l as (select d.file, d.ord, t.ord as target from d left join d t on d.file = t.file and t.doc_id = d.doc_id + 1)
+"""
+
+
+def query(sql: str):
+    def register(f):
+        QUERIES[f.__name__] = lambda spark, sf_dir: f(corpus(spark, sf_dir))
+        ORACLE_SQL[f.__name__] = DOCS + sql
+        return f
+
+    return register
+
+
+def topics_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents as topics of files."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").join(spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality"), "doc_id", "left")
+    doc = F.col("doc_id").cast("string")
+    return docs.select(
+        F.concat("source", F.lit("-"), F.expr("doc_id div 64").cast("string")).alias("file"),
+        F.col("doc_id").alias("ord"),
+        F.concat(F.lit("T"), doc, F.lit(" "), "lang").alias("title"),
+        F.coalesce("text", F.lit("")).alias("text"),
+        F.when(F.col("doc_id") % 5 == 0, F.array(F.concat(F.lit("doc_"), doc), F.concat(F.lit("also_"), doc))).otherwise(F.array(F.concat(F.lit("doc_"), doc))).alias("names"),
+        F.array("lang", F.concat(F.lit("k"), (F.col("doc_id") % 7).cast("string")), F.concat(F.lit("both, k"), (F.col("doc_id") % 3).cast("string"))).alias("keywords"),
+        F.concat(F.lit("doc_"), (F.col("doc_id") + 1).cast("string")).alias("link"),
+        F.concat(F.lit("quality "), F.col("quality").cast("string")).alias("note"),
+        F.when(F.col("doc_id") % 3 == 0, (F.col("doc_id") % 4).cast("int")).alias("window"),
+    )
+
+
+class Corpus:
+    """The decoded tables of a corpus, and the names that its topics may have."""
+
+    def __init__(self, records: DataFrame, names: DataFrame):
+        self.records, self.names, self.view = records, names, container.tables(records)
+
+    def topics(self) -> DataFrame:
+        return self.view["topic"].select("file", "ord", "title", "topic_offset")
+
+    def placed(self, view: DataFrame, *carry: str) -> DataFrame:
+        """Rows of (file, topic_offset, ...) with columns of the topic that holds their offset."""
+        topics = self.topics().select("file", F.col("topic_offset").alias("_at"), *(F.col(c).alias(f"topic_{c}") for c in carry))
+        return R.asof_join(view, topics, ["file"], "topic_offset", "_at", [f"topic_{c}" for c in carry])
+
+    def postings(self) -> DataFrame:
+        """(file, keyword, topic_offset): each keyword's slice of the postings, as an equi-join of positions."""
+        at = F.explode(F.transform(F.sequence(F.lit(0), F.col("count") - 1), lambda k: F.col("data_offset") + 4 * k))
+        each = self.view["keyword"].where("count > 0").select("file", "type", "keyword", at.alias("data_offset"))
+        return each.join(self.view["posting"].select("file", "type", "data_offset", "topic_offset"), ["file", "type", "data_offset"]).select("file", "keyword", "topic_offset")
+
+    def targets(self) -> DataFrame:
+        """(file, ord, hash, target): each link's topic, its hash and the number of the topic that this leads to, null if none."""
+        hash_ = F.conv(F.regexp_extract("target", "^(?:topic|popup):([0-9A-F]{8})$", 1), 16, 10).cast("long")
+        links = self.view["link"].select("file", F.col("topic").alias("ord"), hash_.alias("hash"))
+        known = self.placed(self.view["context"].select("file", "hash", "topic_offset"), "ord").select("file", "hash", F.col("topic_ord").alias("target"))
+        return links.join(known, ["file", "hash"], "left")
+
+
+def corpus(spark: SparkSession, sf_dir: str) -> Corpus:
+    """Encoded and decoded once in a session, both written to the shared folder."""
+    key = spark.sparkContext.applicationId, sf_dir
+    topics = topics_of(spark, sf_dir)
+    if key not in _written:
+        files = stash(writer.containers(topics), "containers")
+        _written[key] = stash(container.decode(files), "records")
+    names = topics.select(F.explode("names").alias("name")).distinct()
+    return Corpus(_written[key], names.select("name", context_hash(F.col("name")).alias("hash")))
+
+
+@query("select file, ord, title, md5(text || 'next') as digest from d")
+def container_topics(c):
+    texts = container.topic_texts(c.records).withColumnRenamed("topic", "ord")
+    return c.topics().join(texts, ["file", "ord"], "left").select("file", "ord", "title", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("digest"))
+
+
+@query("""select file, ord, string_agg(name, ',' order by name) as names from (select file, ord, 'doc_' || doc_id as name from d union all select file, ord, 'also_' || doc_id from d where doc_id % 5 = 0) group by all""")
+def container_context_names(c):
+    found = c.placed(c.view["context"].select("file", "hash", "topic_offset"), "ord").join(c.names, "hash", "left")
+    name = F.coalesce("name", F.concat(F.lit("CTX_"), F.lpad(F.hex("hash"), 8, "0")))
+    return found.groupBy("file", F.col("topic_ord").alias("ord")).agg(F.array_join(F.array_sort(F.collect_list(name)), ",").alias("names"))
+
+
+@query("select file, keyword, ord from w")
+def container_keyword_topics(c):
+    return c.placed(c.postings(), "ord").select("file", "keyword", F.col("topic_ord").alias("ord"))
+
+
+@query("select distinct file, title from w where contains(lower(keyword), 'k3')")
+def container_keyword_search(c):
+    found = c.postings().where(F.contains(F.lower("keyword"), F.lit("k3")))
+    return c.placed(found, "title").select("file", F.col("topic_title").alias("title")).distinct()
+
+
+@query("select file, ord, lag(title) over (partition by file order by ord) as prev, lead(title) over (partition by file order by ord) as next from d")
+def container_browse(c):
+    return R.neighbours(c.topics(), ["file"], "topic_offset", "title").select("file", "ord", "prev", "next")
+
+
+@query("select file, ord, case when quality is not null then 'quality ' || quality end as note from d")
+def container_annotations(c):
+    notes = c.placed(c.view["annotation"].select("file", "topic_offset", "text"), "ord").select("file", F.col("topic_ord").alias("ord"), F.col("text").alias("note"))
+    return c.topics().select("file", "ord").join(notes, ["file", "ord"], "left")
+
+
+@query("select file, ord, target, target is null as dangling from l")
+def container_links(c):
+    return c.targets().select("file", "ord", "target", F.col("target").isNull().alias("dangling"))
+
+
+@query("""select file, target as ord, count(*) as back from l where target is not null group by all""")
+def container_links_to_topics(c):
+    return c.targets().where("target is not null").groupBy("file", F.col("target").alias("ord")).agg(F.count("*").alias("back"))
+
+
+@query("""select file, group_no, count(*) as topics from (select d.file, case when ord <= n // 2 then '1' else '2' end as group_no from d join (select file, count(*) as n from d group by file) using (file)) group by all""")
+def container_groups(c):
+    ranges = c.view["group"].withColumn("number", F.explode(F.sequence("low", "high"))).groupBy("file", "number").agg(F.max_by("group_no", "ord").alias("group_no"))
+    return c.topics().withColumnRenamed("ord", "number").join(ranges, ["file", "number"]).groupBy("file", "group_no").agg(F.count("*").alias("topics"))
+
+
+@query("""select file, keyword, level, made, topics from (
+select file, keyword, case when contains(keyword, ',') then 1 else 0 end as level, false as made, count(*) as topics from w group by all
+union all select distinct file, 'both', 0, true, 0 from w)""")
+def container_index(c):
+    entries = c.placed(c.postings(), "ord").groupBy("file", "keyword").agg(F.count_distinct("topic_ord").alias("topics"))
+    child, parent = F.contains("keyword", F.lit(",")), F.trim(F.split_part("keyword", F.lit(","), F.lit(1)))
+    own = entries.select("file", "keyword", F.when(child, 1).otherwise(0).alias("level"), F.lit(False).alias("made"), "topics")
+    parents = entries.where(child).select("file", parent.alias("keyword")).distinct().join(entries.select("file", "keyword"), ["file", "keyword"], "left_anti")
+    return own.unionByName(parents.select("file", "keyword", F.lit(0).alias("level"), F.lit(True).alias("made"), F.lit(0).cast("long").alias("topics")))
+
+
+@query("select file, ord, cast(case when doc_id % 3 = 0 then doc_id % 4 end as bigint) as win from d")
+def container_windows(c):
+    own = c.placed(c.view["window_of"].select("file", "topic_offset", "window"), "ord").select("file", F.col("topic_ord").alias("ord"), F.col("window").alias("win"))
+    return c.topics().select("file", "ord").join(own, ["file", "ord"], "left")
+
+
+@query("""select file, count(*) as topics, cast(sum(length(text) + 4) as bigint) as chars, count(*) as links, cast(count(*) + count(*) filter (doc_id % 5 = 0) as bigint) as contexts, 3 * count(*) as postings,
+(select count(distinct keyword) from w where w.file = d.file) as keywords, count(quality) as notes from d group by file""")
+def container_profile(c):
+    chars = c.view["span"].groupBy("file").agg(F.sum(F.length("text")).cast("long").alias("chars"))
+    names = {"topic": "topics", "link": "links", "context": "contexts", "posting": "postings", "keyword": "keywords", "annotation": "notes"}
+    counts = c.records.groupBy("file").agg(*(F.count_if(F.col("kind") == k).alias(n) for k, n in names.items()))
+    return counts.join(chars, "file")
+
+
+@query("""select file, ord, title, cast(length(text) + 4 as bigint) as chars, 1 as links, 3 as keywords, case when doc_id % 5 = 0 then 2 else 1 end as names from d""")
+def container_topic_profile(c):
+    own = lambda view, n: c.placed(view, "ord").groupBy("file", F.col("topic_ord").alias("ord")).agg(F.count("*").cast("int").alias(n))
+    chars = c.view["span"].groupBy("file", F.col("topic").alias("ord")).agg(F.sum(F.length("text")).cast("long").alias("chars"))
+    links = c.view["link"].groupBy("file", F.col("topic").alias("ord")).agg(F.count("*").cast("int").alias("links"))
+    out = c.topics().select("file", "ord", "title").join(chars, ["file", "ord"]).join(links, ["file", "ord"])
+    return out.join(own(c.postings(), "keywords"), ["file", "ord"]).join(own(c.view["context"].select("file", "topic_offset"), "names"), ["file", "ord"])
+
+
+@query("""select d.file, d.ord, md5('<section id="topic-' || d.ord || '"><h2>' || title || '</h2><p>' || replace(replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), chr(39), '&#x27;'), chr(10), '<br>')
+|| case when target is null then '<span class="dangling">next</span>' else '<a href="#topic-' || target || '">next</a>' end || '</p></section>') as digest from d join l on d.file = l.file and d.ord = l.ord""")
+def container_html(c):
+    return html(c).select("file", "ord", F.md5(F.col("html").cast("binary")).alias("digest"))
+
+
+def html(c: Corpus) -> DataFrame:
+    """A section of HTML a topic: spans in order, links to the section of their topic, dangling ones marked."""
+    targets = c.targets().select("file", F.col("ord").alias("topic"), "hash", "target").distinct()
+    hash_ = F.conv(F.regexp_extract("link", "^(?:topic|popup):([0-9A-F]{8})$", 1), 16, 10).cast("long")
+    spans = c.view["span"].select("file", "topic", "ord", "text", "link", hash_.alias("hash")).join(targets, ["file", "topic", "hash"], "left")
+    body = F.replace(html_escape(F.col("text")), F.lit("\n"), F.lit("<br>"))
+    anchored = F.concat(F.lit('<a href="#topic-'), F.col("target").cast("string"), F.lit('">'), body, F.lit("</a>"))
+    part = F.when(F.col("link").isNull(), body).when(F.col("target").isNull(), F.concat(F.lit('<span class="dangling">'), body, F.lit("</span>"))).otherwise(anchored)
+    joined = spans.groupBy("file", "topic").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ord", part.alias("p")))), lambda x: x["p"]), "").alias("body"))
+    topics = c.topics().join(joined.withColumnRenamed("topic", "ord"), ["file", "ord"], "left")
+    pieces = [F.lit('<section id="topic-'), F.col("ord").cast("string"), F.lit('"><h2>'), html_escape(F.col("title")), F.lit("</h2><p>"), F.coalesce("body", F.lit("")), F.lit("</p></section>")]
+    return topics.select("file", "ord", F.concat(*pieces).alias("html"))
+
+
+@query("""select kind, count(*) as rows, count(distinct file) as files from (select 'title' as kind, file from d union all select 'topic', file from d union all select 'keyword', file from (select distinct file, keyword from w)
+union all select 'annotation', file from d where quality is not null union all select 'window_of', file from d where doc_id % 3 = 0 union all select 'group', file from (select distinct file, unnest([1, 2]) from d)) group by rollup(kind)""")
+def container_statistics(c):
+    some = c.records.where(F.col("kind").isin("title", "topic", "keyword", "annotation", "window_of", "group"))
+    return some.rollup("kind").agg(F.count("*").alias("rows"), F.count_distinct("file").alias("files"))
+
+
+@query("select file, title, cast(length(title) as bigint) as n from d where length(title) = (select max(length(title)) from d x where x.file = d.file)")
+def container_longest_titles(c):
+    t = c.view["title"].select("file", "title", F.length("title").cast("long").alias("n"))
+    return t.join(t.groupBy("file").agg(F.max("n").alias("n")), ["file", "n"]).select("file", "title", "n")
+
+
+@query("select file, ord, title from d where doc_id = 7 or doc_id = 300")
+def container_topic_by_name(c):
+    wanted = c.view["context"].join(c.names.where("name in ('doc_7', 'doc_300')"), "hash").select("file", "topic_offset")
+    return c.placed(wanted, "ord", "title").select("file", F.col("topic_ord").alias("ord"), F.col("topic_title").alias("title"))
+
+
+@query("select file, title, text from (select file, title, substr(text, 1, 40) as text from d where ord = 3)")
+def container_topic_by_number(c):
+    texts = container.topic_texts(c.records).withColumnRenamed("topic", "ord").where("ord = 3")
+    return c.topics().where("ord = 3").join(texts, ["file", "ord"]).select("file", "title", F.left("text", F.lit(40)).alias("text"))
+
+
+@query("select file, ord, title from d where contains(lower(text), 'the') and contains(lower(title), 'en')")
+def container_search(c):
+    texts = container.topic_texts(c.records).withColumnRenamed("topic", "ord")
+    found = c.topics().where(F.contains(F.lower("title"), F.lit("en"))).join(texts, ["file", "ord"])
+    return found.where(F.contains(F.lower("text"), F.lit("the"))).select("file", "ord", "title")
+
+
+@query("select file, min(ord) as ord from d group by file")
+def container_initial_topic(c):
+    return c.topics().groupBy("file").agg(F.min("ord").alias("ord"))
+
+
+@query("""select file, 0 as errors, 9 + count(quality) as parts from d group by file""")
+def container_parts(c):
+    counts = c.records.groupBy("file").agg(F.count_if(F.col("kind") == "error").cast("int").alias("errors"), F.count_if(F.col("kind") == "file").alias("parts"))
+    return counts

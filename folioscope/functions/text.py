@@ -2,13 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
+
+
+#: Small letters that full case folding changes.
+FOLDED = {"ß": "ss", "ς": "σ", "ſ": "s", "ŉ": "ʼn", "ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st", "ǰ": "ǰ"}
 
 
 def fold(c: Column) -> Column:
-    """Case folding for search. (lower(upper(x)) would be simplified away.)"""
-    return F.replace(F.lower(c), F.lit("ß"), F.lit("ss"))
+    """Case folding for search: small letters, and those that fold to others or to several."""
+    out = F.lower(c)
+    for letter, folded in FOLDED.items():
+        out = F.replace(out, F.lit(letter), F.lit(folded))
+    return out
 
 
 def context_hash(name: Column) -> Column:
@@ -22,7 +31,7 @@ def context_hash(name: Column) -> Column:
         special = F.when(c == 0, 0).when(c == 0x21, 11).when(c == 0x2E, 12).when(c == 0x30, 10).when(c == 0x5F, 13).when(c == 0xB4, 11)
         return special.when(c <= 0x5A, c - 48).when(c <= 0x7F, c - 80).when(c <= 0xAF, c - 48).otherwise(c - 304)
 
-    letters = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(name))), lambda i: code(F.substring(name, i, F.lit(1))))
+    letters = F.transform(F.split(name, ""), code)
     known = F.filter(letters, lambda c: c < 256)
     folded = F.aggregate(known, F.lit(0).cast("long"), lambda h, c: F.pmod(h * 43 + weight(c), F.lit(1 << 32)))
     return F.when(name == "", F.lit(1).cast("long")).otherwise(folded)
@@ -47,6 +56,38 @@ def reverse_hash(h: int) -> str:
     return f"CTX_{h:08X}"
 
 
+@F.pandas_udf(StringType())
+def _reversed(h: pd.Series) -> pd.Series:
+    names = {x: reverse_hash(int(x)) for x in h.dropna().unique()}
+    return h.map(names)
+
+
+def reverse_hashes(df: DataFrame, hash_col: str, out: str) -> DataFrame:
+    """A name for each hash; each distinct hash is inverted once."""
+    names = df.select(hash_col).where(F.col(hash_col).isNotNull()).distinct().withColumn(out, _reversed(F.col(hash_col)))
+    return df.join(names, hash_col, "left")
+
+
+#: The usual beginnings of context names.
+PREFIXES = ("", "idh_", "IDH_", "hid_", "HID_", "id_", "ID_", "topic_", "ctx_")
+
+
+def names_from_titles(titles: DataFrame, hash_col: str, title_col: str, out: str) -> DataFrame:
+    """Each hash with the first name made from its title that has this hash, null where none has.
+
+    Names: a prefix and the title's words, joined by nothing or by a low line, with and without
+    each number of words left out at the end; compared by hash, with no candidate left out.
+    """
+    words = F.filter(F.split(F.col(title_col), "[^A-Za-z0-9.]+"), lambda w: w != "")
+    shorter = F.transform(F.sequence(F.size(words), F.lit(1), F.lit(-1)), lambda n: F.slice(words, 1, n))
+    bodies = F.flatten(F.transform(shorter, lambda w: F.array(F.array_join(w, ""), F.array_join(w, "_"))))
+    names = F.flatten(F.array(*(F.transform(bodies, lambda b, p=p: F.concat(F.lit(p), b)) for p in PREFIXES)))
+    made = titles.select(hash_col, title_col, F.posexplode(F.when(F.size(words) > 0, names)).alias("_at", "_name"))
+    right = made.where(context_hash(F.upper("_name")) == F.col(hash_col))
+    found = right.groupBy(hash_col, title_col).agg(F.min_by("_name", "_at").alias(out))
+    return titles.join(found, [hash_col, title_col], "left")
+
+
 def html_escape(c: Column) -> Column:
     for plain, safe in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
         c = F.replace(c, F.lit(plain), F.lit(safe))

@@ -49,14 +49,15 @@ def asof_join(probes: DataFrame, starts: DataFrame, by: list[str], at: str, star
 def interval_join(points: DataFrame, ranges: DataFrame, at: str, low: str, high: str, carry: str, order: str, width: int = 256) -> DataFrame:
     """Each point with ``carry`` of the last range (by ``order``) that holds it, null where none does.
 
-    Ranges are laid over the buckets that they touch, which makes the join an equi-join.
+    Ranges are laid over the buckets that they touch, which makes the join an equi-join. Points
+    that are equal in all columns each have their row.
     """
     laid = ranges.withColumn("_bucket", F.explode(F.sequence(F.floor(F.col(low) / width), F.floor(F.col(high) / width))))
     laid = laid.select("_bucket", F.col(low).alias("_low"), F.col(high).alias("_high"), F.struct(order, carry).alias("_r"))
-    keyed = points.withColumn("_bucket", F.floor(F.col(at) / width))
+    keyed = points.withColumns({"_bucket": F.floor(F.col(at) / width), "_row": F.monotonically_increasing_id()})
     inside = (F.col(at) >= F.col("_low")) & (F.col(at) <= F.col("_high"))
     found = keyed.join(laid, (keyed["_bucket"] == laid["_bucket"]) & inside, "left")
-    return found.groupBy(*points.columns).agg(F.max("_r")[carry].alias(carry))
+    return found.groupBy(*points.columns, "_row").agg(F.max("_r")[carry].alias(carry)).drop("_row")
 
 
 def first_wins(df: DataFrame, keys: list[str], value: str, order: Column) -> DataFrame:
@@ -67,10 +68,21 @@ def last_wins(df: DataFrame, keys: list[str], value: str, order: Column) -> Data
     return df.groupBy(*keys).agg(F.max_by(value, order).alias(value))
 
 
-def neighbours(df: DataFrame, by: list[str], order: str, value: str) -> DataFrame:
-    """The value before and after each row in its sequence."""
-    w = Window.partitionBy(*by).orderBy(order)
-    return df.withColumns({"prev": F.lag(value).over(w), "next": F.lead(value).over(w)})
+def neighbours(df: DataFrame, by: list[str], order: str, value: str, ties: list[str] | None = None, width: int = WIDTH) -> DataFrame:
+    """The value before and after each row in its sequence, by ``order`` (a number) and ``ties``.
+
+    Each bucket of ``width`` positions is sorted alone; at its edges stand the last and the first
+    value of the buckets around it, so a key that holds most rows is no single task.
+    """
+    rank = F.struct(order, *(ties or []))
+    cut = df.withColumn("_bucket", F.floor(F.col(order) / width))
+    kept = F.struct(F.col(value).alias("v"))
+    edges = cut.groupBy(*by, "_bucket").agg(F.min_by(kept, rank).alias("_first"), F.max_by(kept, rank).alias("_last"))
+    around = Window.partitionBy(*by).orderBy("_bucket")
+    edges = edges.select(*by, "_bucket", F.lag("_last").over(around).alias("_before"), F.lead("_first").over(around).alias("_after"))
+    inside = Window.partitionBy(*by, "_bucket").orderBy(order, *(ties or []))
+    near = cut.withColumns({"_prev": F.lag(kept).over(inside), "_next": F.lead(kept).over(inside)}).join(edges, [*by, "_bucket"])
+    return near.select(*df.columns, F.coalesce("_prev", "_before")["v"].alias("prev"), F.coalesce("_next", "_after")["v"].alias("next"))
 
 
 def zip_by_position(left: DataFrame, right: DataFrame, order: str = "ord") -> DataFrame:
@@ -82,7 +94,7 @@ def sequence_of(edges: DataFrame, rounds: int = 32) -> DataFrame:
     """Chains from (node, next) links: each node's first node and its number in the chain.
 
     Pointer doubling: a chain of n nodes takes log2 n rounds. A cycle has no first node and is left
-    out.
+    out. Each round is checkpointed in the folder that ``spark.checkpoint.dir`` names.
     """
     nodes = edges.select(F.col("next").alias("node"), F.col("node").alias("up")).where("node is not null and up is not null")
     everyone = edges.select("node").union(nodes.select("node")).distinct()

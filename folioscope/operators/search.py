@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioscope.functions.text import fold
+from folioscope.operators.relational import WIDTH
 
 HREF = r'<a [^>]*href="([^"]*)"'
 
@@ -13,7 +14,7 @@ HREF = r'<a [^>]*href="([^"]*)"'
 def all_terms(hay: Column, query: str) -> Column:
     """Whether every word of the query is a substring, whatever the case; an empty query fits all."""
     found = F.lit(True)
-    for term in query.replace("ß", "ss").lower().split():
+    for term in query.casefold().split():
         found = found & F.contains(fold(hay), F.lit(term))
     return found
 
@@ -31,10 +32,18 @@ def inverted_index(df: DataFrame, key: str, words: Column) -> DataFrame:
     return df.select(key, F.explode(F.array_distinct(words)).alias("keyword")).where("keyword <> ''")
 
 
+#: A block of a keyword's postings covers so many keys.
+POSTINGS = 4096
+
+
 def postings(index: DataFrame, key: str) -> DataFrame:
-    """Each keyword with its keys in order, joined by commas. For keyword lists of bounded length."""
+    """Each keyword's keys in order, joined by commas, a row for each block of ``POSTINGS`` key values.
+
+    So that no keyword, however common, makes a row beyond that size.
+    """
     listed = F.array_join(F.transform(F.sort_array(F.collect_set(key)), lambda k: k.cast("string")), ",")
-    return index.groupBy("keyword").agg(F.count_distinct(key).alias("n"), listed.alias("keys"))
+    blocks = index.groupBy("keyword", F.floor(F.col(key) / POSTINGS).alias("block")).agg(F.collect_set(key).alias("_"), listed.alias("keys"))
+    return blocks.select("keyword", "block", F.size("_").cast("long").alias("n"), "keys")
 
 
 def headings(entries: DataFrame) -> DataFrame:
@@ -101,7 +110,17 @@ LEVELS = 10
 
 
 def contents_parent(df: DataFrame, by: list[str], order: str, level: str) -> DataFrame:
-    """Each entry with the ``order`` of the nearest earlier entry of a smaller level (its parent)."""
-    w = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    last = [F.when(F.lit(k) < F.col(level), F.max(F.when(F.col(level) == k, F.col(order))).over(w)) for k in range(LEVELS)]
-    return df.withColumn("parent", F.greatest(*last))
+    """Each entry with the ``order`` (a number) of the nearest earlier entry of a smaller level (its parent).
+
+    Buckets of positions take over each level's last entry from those before, so that a single
+    list of any length is cut into tasks.
+    """
+    at = lambda k: F.max(F.when(F.col(level) == k, F.col(order)))
+    cut = df.withColumn("_bucket", F.floor(F.col(order) / WIDTH))
+    tops = cut.groupBy(*by, "_bucket").agg(*(at(k).alias(f"_{k}") for k in range(LEVELS)))
+    earlier = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    tops = tops.select(*by, "_bucket", *(F.max(f"_{k}").over(earlier).alias(f"_{k}") for k in range(LEVELS)))
+    inside = Window.partitionBy(*by, "_bucket").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    found = cut.withColumns({f"_in{k}": at(k).over(inside) for k in range(LEVELS)}).join(tops, [*by, "_bucket"])
+    last = [F.when(F.lit(k) < F.col(level), F.coalesce(f"_in{k}", f"_{k}")) for k in range(LEVELS)]
+    return found.select(*df.columns, F.greatest(*last).alias("parent"))

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscope.functions.text import context_hash, fold, html_escape, label, rtf_escape, safe_name
@@ -71,17 +71,24 @@ def asof_topic_lookup(spark, sf_dir):
 
 @query(f"""with t as ({TOPICS_SQL}) select doc_id, source, topic_offset, lead(topic_offset) over (partition by source order by topic_offset, doc_id) next_offset from t""")
 def topic_ranges(spark, sf_dir):
-    w = Window.partitionBy("source").orderBy("topic_offset", "doc_id")
-    return topics(spark, sf_dir).select("doc_id", "source", "topic_offset", F.lead("topic_offset").over(w).alias("next_offset"))
+    near = R.neighbours(topics(spark, sf_dir), ["source"], "topic_offset", "topic_offset", ties=["doc_id"])
+    return near.select("doc_id", "source", "topic_offset", F.col("next").alias("next_offset"))
 
 
-@query("""select doc_id, max_by(n_nationkey, n_nationkey) as group_no from documents left join nation on doc_id between n_nationkey * 30 and n_nationkey * 30 + 45 group by doc_id""")
+#: Overlapping ranges, one a nation, that together cover all ids: each 1.5 times as wide as its step.
+RANGES_SQL = "with s as (select max(doc_id) // 25 + 1 as step from documents), r as (select n_nationkey, n_nationkey * step as low, n_nationkey * step + step * 3 // 2 as high from nation, s)"
+
+
+@query(f"""{RANGES_SQL} select doc_id, max(n_nationkey) as group_no from documents left join r on doc_id between low and high group by doc_id""")
 def interval_group_join(spark, sf_dir):
-    ranges = read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("group_no"), (F.col("n_nationkey") * 30).cast("long").alias("low"), (F.col("n_nationkey") * 30 + 45).cast("long").alias("high"))
-    return R.interval_join(read(spark, sf_dir, "documents").select("doc_id"), ranges, "doc_id", "low", "high", "group_no", "low")
+    docs = read(spark, sf_dir, "documents").select("doc_id")
+    step = (docs.agg(F.max("doc_id")).first()[0] or 0) // 25 + 1
+    low = (F.col("n_nationkey") * step).cast("long")
+    ranges = read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("group_no"), low.alias("low"), (low + step * 3 // 2).alias("high"))
+    return R.interval_join(docs, ranges, "doc_id", "low", "high", "group_no", "low", width=step)
 
 
-@query("""select group_no, count(*) as topics from (select doc_id, max(n_nationkey) as group_no from documents join nation on doc_id between n_nationkey * 30 and n_nationkey * 30 + 45 group by doc_id) group by group_no""")
+@query(f"""{RANGES_SQL} select group_no, count(*) as topics from (select doc_id, max(n_nationkey) as group_no from documents join r on doc_id between low and high group by doc_id) group by group_no""")
 def topics_in_groups(spark, sf_dir):
     return interval_group_join(spark, sf_dir).where("group_no is not null").groupBy("group_no").agg(F.count("*").alias("topics"))
 
@@ -93,7 +100,7 @@ def keyword_index(spark, sf_dir) -> DataFrame:
 KEYWORDS_SQL = "select distinct p_partkey, unnest(string_split(replace(lower(p_name), 'ß', 'ss'), ' ')) keyword from part"
 
 
-@query(f"""select keyword, count(*) n, string_agg(cast(p_partkey as varchar), ',' order by p_partkey) keys from ({KEYWORDS_SQL}) group by keyword""")
+@query(f"""select keyword, p_partkey // 4096 as block, count(*) n, string_agg(cast(p_partkey as varchar), ',' order by p_partkey) keys from ({KEYWORDS_SQL}) group by all""")
 def keyword_inverted_index(spark, sf_dir):
     return S.postings(keyword_index(spark, sf_dir), "p_partkey")
 
@@ -105,13 +112,13 @@ def keyword_postings_lookup(spark, sf_dir):
     return found.join(items, F.col("l_partkey") == F.col("p_partkey")).select("keyword", "l_orderkey", "l_linenumber")
 
 
-@query("""with e as (select distinct replace(p_name, ' ', ',') keyword from part where p_partkey % 3 > 0 union select distinct split_part(p_name, ' ', 1) from part where p_partkey < 8),
+@query("""with e as (select distinct replace(p_name, ' ', ',') keyword from part union select distinct split_part(p_name, ' ', 1) from part where length(split_part(p_name, ' ', 1)) > 4),
 own as (select keyword, case when contains(keyword, ',') then 1 else 0 end as level, false as made from e)
 select * from own union all select distinct trim(split_part(keyword, ',', 1)), 0, true from e where contains(keyword, ',') and trim(split_part(keyword, ',', 1)) not in (select keyword from e)""")
 def keyword_heading_synthesis(spark, sf_dir):
     part = read(spark, sf_dir, "part")
-    entries = part.where("p_partkey % 3 > 0").select(F.replace("p_name", F.lit(" "), F.lit(",")).alias("keyword"))
-    alone = part.where("p_partkey < 8").select(F.split_part("p_name", F.lit(" "), F.lit(1)).alias("keyword"))
+    entries = part.select(F.replace("p_name", F.lit(" "), F.lit(",")).alias("keyword"))
+    alone = part.select(F.split_part("p_name", F.lit(" "), F.lit(1)).alias("keyword")).where(F.length("keyword") > 4)
     return S.headings(entries.union(alone).distinct())
 
 

@@ -141,7 +141,7 @@ class Reader:
 
     def signed_long(self) -> int:
         low = self.take("H")
-        return low // 2 + self.take("H") * 32768 - 67108864 if low & 1 else low // 2 - 16384
+        return low // 2 + self.take("H") * 32768 - 0x40000000 if low & 1 else low // 2 - 16384
 
 
 def phrase_lengths(data: bytes, count: int, bits: int) -> list[int]:

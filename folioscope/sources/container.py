@@ -158,7 +158,7 @@ class Container:
         if count == 0x0800:
             count, mark, skip = mark, r.take("H"), 30
         size = None
-        if self.minor > 16 or skip:
+        if self.minor >= 16 or skip:
             size = r.take("i")
             r.bytes(skip)
         base = r.at
@@ -276,27 +276,30 @@ class Container:
             self.add("picture", k, part, a=kind, b=packing, text={0x506C: "lP", 0x706C: "lp"}.get(magic, "?"))
 
     def _topics(self, data: bytes) -> None:
-        block = 2048 if self.flags == 8 and self.minor > 16 else 4096
-        packed = self.minor > 16 and self.flags in (4, 8)
-        room = 0x4000 if packed else block - 12
-        parts = []
-        for at in range(0, len(data), block):
-            body = data[at + 12 : at + block]
-            body = codec.lz77(body, room) if packed else body
-            parts.append(body.ljust(room, b"\0") if at + block < len(data) else body)
-        whole = b"".join(parts)
-        at, number, order, text, seen = 0, -1, 0, 0, set()
+        # before 3.1 a position counts 2,048 a block, from then on 0x4000, packed or not
+        old = self.minor < 16
+        block, unit = 2048 if old or self.flags == 8 else 4096, 2048 if old else 0x4000
+        packed = not old and self.flags in (4, 8)
+        parts = [data[at + 12 : at + block] for at in range(0, len(data), block)]
+        parts = [codec.lz77(p, unit) for p in parts] if packed else parts
+        starts, whole = [0], b"".join(parts)
+        for p in parts:
+            starts.append(starts[-1] + len(p))
+        position, number, order, text, seen = 12, -1, 0, 0, set()
         base_block = 0
-        while 0 <= at < len(whole) - 20 and at not in seen:
-            seen.add(at)
+        while position >= 12 and (position - 12) // unit < len(parts) and position not in seen:
+            seen.add(position)
+            at = starts[(position - 12) // unit] + (position - 12) % unit
+            if at >= len(whole) - 20:
+                break
             r = Reader(whole, at)
             size, length2, _, after, length1, kind = r.take("5iB")
             if size < 21 or not 21 <= length1 <= size:
                 break
             body1 = Reader(r.bytes(length1 - 21))
             body2 = self._second(r.bytes(min(size - length1, len(whole) - r.at)), length2)
-            if at // room != base_block:
-                base_block, text = at // room, 0
+            if (position - 12) // unit != base_block:
+                base_block, text = (position - 12) // unit, 0
             if kind == 2:
                 number += 1
                 strings = body2.split(b"\0")
@@ -307,10 +310,9 @@ class Container:
             elif kind in (1, 0x20, 0x23):
                 text += self._display(number, kind, body1, body2)
             order += 1
-            step = after if self.minor <= 16 else after - 12
             if after in (0, -1):
                 break
-            at = at + step if self.minor <= 16 else step
+            position = position + after if old else after
 
     def _second(self, data: bytes, length: int) -> bytes:
         if length <= len(data) or self.phrases is None:
@@ -411,6 +413,11 @@ def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
 
 
+def decode(files: DataFrame) -> DataFrame:
+    """The records of rows (path, content)."""
+    return files.select("path", "content").mapInArrow(_decode, RECORD)
+
+
 def scan(spark: SparkSession, path: str, glob: str = "*.{hlp,mvb,gid,ann,HLP,MVB,GID,ANN}") -> DataFrame:
     """The records of all containers under a path, folders within included."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path)

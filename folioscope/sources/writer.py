@@ -1,0 +1,124 @@
+"""Writes topics as help containers (3.1 layout, unpacked): the sink beside the decoder.
+
+A file's topics are grouped and encoded in one task; the caller bounds how many a file has.
+"""
+
+from __future__ import annotations
+
+import struct
+
+import pandas as pd
+from pyspark.sql import DataFrame
+
+PAGE, BLOCK, ROOM = 2048, 4096, 4084
+PIECE = 8000
+
+
+def tree(entries: list[bytes]) -> bytes:
+    """A tree with its entries, sorted by the caller, dealt over leaf pages by size."""
+    groups, size = [[]], 8
+    for e in entries:
+        if size + len(e) > PAGE and groups[-1]:
+            groups.append([])
+            size = 8
+        groups[-1].append(e)
+        size += len(e)
+    pages = [struct.pack("<Hhhh", 0, len(g), k - 1, k + 1 if k + 1 < len(groups) else -1) + b"".join(g) for k, g in enumerate(groups)]
+    levels = 1 if len(groups) == 1 else 2
+    if levels == 2:
+        pages.append(struct.pack("<Hhh", 0, 0, 0))
+    head = struct.pack("<HHH16s6hi", 0x293B, 2, PAGE, b"z4", 0, 0, len(pages) - 1, -1, len(pages), levels, len(entries))
+    return head + b"".join(p.ljust(PAGE, b"\0") for p in pages)
+
+
+def number(n: int) -> bytes:
+    """A compressed unsigned number of one or two bytes."""
+    return bytes([2 * n]) if n < 128 else bytes([n % 128 * 2 + 1, n // 128])
+
+
+def display(strings: list[bytes], commands: list[bytes], count: int) -> tuple[int, bytes, bytes]:
+    """A text record: a command after each string but the last."""
+    one = struct.pack("<H", (count + 16384) * 2) + number(count) + bytes(6) + b"".join(commands) + b"\xff"
+    return 0x20, one, b"\0".join(strings) + b"\0"
+
+
+def laid_out(topics: list[list[tuple[int, bytes, bytes]]]) -> tuple[bytes, list[int]]:
+    """The topic stream of each topic's records, in blocks, and each topic's offset."""
+    position = lambda at: at // ROOM * 0x4000 + at % ROOM + 12
+    records = [(k, r) for k, rs in enumerate(topics) for r in rs]
+    out, offsets, block, count = bytearray(), [-1] * len(topics), 0, 0
+    for i, (k, (kind, one, two)) in enumerate(records):
+        at = len(out)
+        size = 21 + len(one) + len(two)
+        after = position(at + size) if i + 1 < len(records) else -1
+        if at // ROOM != block:
+            block, count = at // ROOM, 0
+        if kind == 2:
+            offsets[k] = block * 32768 + count
+        else:
+            count += struct.unpack_from("<H", one)[0] // 2 - 16384
+        out += struct.pack("<5iB", size, len(two), -1, after, 21 + len(one), kind) + one + two
+    blocks = [bytes(out[a : a + ROOM]) for a in range(0, len(out), ROOM)]
+    return b"".join(struct.pack("<iii", -1, position(k * ROOM), -1) + b for k, b in enumerate(blocks)), offsets
+
+
+def encoded(topics: list[dict], context_hash) -> bytes:
+    """A container of topics: title, text, names, keywords, link (a name or null), note, window."""
+    streams = []
+    for t in topics:
+        title = t["title"].encode("cp1252", "replace")
+        records = [(2, struct.pack("<7i", 0, -1, -1, 0, -1, -1, -1), title + b"\0")]
+        text = t["text"].encode("cp1252", "replace")
+        for a in range(0, len(text), PIECE):
+            records.append(display([text[a : a + PIECE]], [], len(text[a : a + PIECE])))
+        if t["link"]:
+            records.append(display([b"", b"next", b""], [b"\xe3" + struct.pack("<I", context_hash(t["link"])), b"\x89"], 4))
+        streams.append(records)
+    stream, offsets = laid_out(streams)
+    contexts = sorted((context_hash(n), at) for t, at in zip(topics, offsets, strict=True) for n in t["names"])
+    words: dict[str, list[int]] = {}
+    for t, at in zip(topics, offsets, strict=True):
+        for w in t["keywords"]:
+            words.setdefault(w, []).append(at)
+    keys, data = [], b""
+    for w in sorted(words):
+        keys.append(w.encode("cp1252", "replace") + b"\0" + struct.pack("<hi", len(words[w]), len(data)))
+        data += struct.pack(f"<{len(words[w])}i", *words[w])
+    half = len(topics) // 2
+    files = {
+        "|SYSTEM": struct.pack("<HHHlH", 0x036C, 21, 1, 0, 0) + struct.pack("<HH", 1, 5) + b"Help\0",
+        "|TOPIC": stream,
+        "|CONTEXT": tree([struct.pack("<II", h, at) for h, at in contexts]),
+        "|KWBTREE": tree(keys),
+        "|KWDATA": data,
+        "|KWMAP": struct.pack("<HiH", 1, 0, 0),
+        "|TTLBTREE": tree([struct.pack("<i", at) + t["title"].encode("cp1252", "replace") + b"\0" for t, at in zip(topics, offsets, strict=True)]),
+        "|VIOLA": tree([struct.pack("<ii", at, t["window"]) for t, at in zip(topics, offsets, strict=True) if t["window"] is not None]),
+        "topics.GRP": struct.pack("<3I", 0x000A3333, 0, len(topics)) + struct.pack("<6I", 0, half, 1, half + 1, len(topics), 2),
+    } | {f"{at}!0": t["note"].encode("cp1252", "replace") for t, at in zip(topics, offsets, strict=True) if t["note"] is not None}
+    body, directory, at = b"", [], 16
+    for name in sorted(files):
+        directory.append(name.encode() + b"\0" + struct.pack("<i", at + len(body)))
+        body += struct.pack("<iiB", len(files[name]) + 9, len(files[name]), 0) + files[name]
+    own = tree(directory)
+    own = struct.pack("<iiB", len(own) + 9, len(own), 0) + own
+    return struct.pack("<4i", 0x00035F3F, 16 + len(body), -1, 16 + len(body) + len(own)) + body + own
+
+
+def hashed(name: str) -> int:
+    """The context hash of a name of ASCII letters, digits and low lines."""
+    h = 0
+    for c in name.upper():
+        h = (h * 43 + (10 if c == "0" else 13 if c == "_" else ord(c) - 48)) % (1 << 32)
+    return h if name else 1
+
+
+def containers(topics: DataFrame) -> DataFrame:
+    """(path, content) of a container for each ``file`` of rows (file, ord, title, text, names, keywords, link, note, window)."""
+
+    def encode(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("ord").astype(object).where(pdf.notna(), None)
+        rows = [{**r, "window": None if r["window"] is None else int(r["window"])} for r in pdf.to_dict("records")]
+        return pd.DataFrame({"path": [pdf["file"].iloc[0]], "content": [encoded(rows, hashed)]})
+
+    return topics.groupBy("file").applyInPandas(encode, "path string, content binary")
