@@ -69,7 +69,7 @@ def reverse_hashes(df: DataFrame, hash_col: str, out: str) -> DataFrame:
 
 
 #: The usual beginnings of context names.
-PREFIXES = ("", "idh_", "IDH_", "hid_", "HID_", "id_", "ID_", "topic_", "ctx_")
+PREFIXES = ("", "idh_", "IDH_", "hid_", "HID_", "helpid_", "id_", "topic_", "ctx_")
 
 
 def names_from_titles(titles: DataFrame, hash_col: str, title_col: str, out: str) -> DataFrame:
@@ -81,9 +81,10 @@ def names_from_titles(titles: DataFrame, hash_col: str, title_col: str, out: str
     words = F.filter(F.split(F.col(title_col), "[^A-Za-z0-9.]+"), lambda w: w != "")
     shorter = F.transform(F.sequence(F.size(words), F.lit(1), F.lit(-1)), lambda n: F.slice(words, 1, n))
     bodies = F.flatten(F.transform(shorter, lambda w: F.array(F.array_join(w, ""), F.array_join(w, "_"))))
-    names = F.flatten(F.array(*(F.transform(bodies, lambda b, p=p: F.concat(F.lit(p), b)) for p in PREFIXES)))
+    prefixed = lambda p: F.transform(bodies, lambda b: F.concat(F.lit(p), b))
+    names = F.flatten(F.array(*map(prefixed, PREFIXES)))
     made = titles.select(hash_col, title_col, F.posexplode(F.when(F.size(words) > 0, names)).alias("_at", "_name"))
-    right = made.where(context_hash(F.upper("_name")) == F.col(hash_col))
+    right = made.where(context_hash(F.col("_name")) == F.col(hash_col))
     found = right.groupBy(hash_col, title_col).agg(F.min_by("_name", "_at").alias(out))
     return titles.join(found, [hash_col, title_col], "left")
 

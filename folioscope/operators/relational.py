@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from folioscope.sources.scratch import stash
+
 #: Width of the buckets of an order column; a bucket's rows are sorted in one task.
 WIDTH = 1 << 16
 
@@ -106,3 +108,17 @@ def sequence_of(edges: DataFrame, rounds: int = 32) -> DataFrame:
         if not now.join(roots, now["up"] == roots["root"], "left_anti").limit(1).count():
             break
     return now.join(roots, now["up"] == roots["root"]).select("node", F.col("up").alias("first"), F.col("steps").alias("number"))
+
+
+def numbered(df: DataFrame, order: list[str], out: str) -> DataFrame:
+    """Each row's place in the whole table's order, from 0: ranges are numbered alone, after the rows of the ranges before.
+
+    The ranged rows are written with their range's number, so that a retry changes no place. Equal
+    rows come in no fixed order.
+    """
+    ranged = stash(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ranged")
+    sizes = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each partition
+    sizes = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    own = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    return ranged.withColumn("_own", own).join(F.broadcast(sizes), "_part").withColumn(out, F.col("_before") + F.col("_own") - 1).select(*df.columns, out)

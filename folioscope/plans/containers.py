@@ -241,3 +241,41 @@ def container_initial_topic(c):
 def container_parts(c):
     counts = c.records.groupBy("file").agg(F.count_if(F.col("kind") == "error").cast("int").alias("errors"), F.count_if(F.col("kind") == "file").alias("parts"))
     return counts
+
+
+@query("select file, ord, 'also_' || doc_id as reference, case when doc_id % 5 = 0 then ord end as target from d")
+def container_contents_to_topics(c):
+    """Contents entries to topics: the name's hash, the hash's offset, the offset's topic."""
+    number = F.regexp_extract("title", "^T([0-9]+) ", 1)
+    entries = c.topics().select("file", "ord", F.concat(F.lit("also_"), number).alias("reference"))
+    known = c.placed(c.view["context"].select("file", "hash", "topic_offset"), "ord").select("file", "hash", F.col("topic_ord").alias("target"))
+    return entries.withColumn("hash", context_hash(F.col("reference"))).join(known, ["file", "hash"], "left").select("file", "ord", "reference", "target")
+
+
+@query("select file, upper(file) as wanted, ord, title from d")
+def container_external_topics(c):
+    """Links into sibling files: the file by its name whatever the case, then the hash, then the topic."""
+    number = F.regexp_extract("title", "^T([0-9]+) ", 1)
+    links = c.topics().select(F.upper("file").alias("wanted"), context_hash(F.concat(F.lit("doc_"), number)).alias("hash"))
+    files = c.view["header"].select("file", F.lower("file").alias("name"))
+    placed = c.placed(c.view["context"].select("file", "hash", "topic_offset"), "ord", "title")
+    found = links.join(files, F.lower("wanted") == F.col("name")).select("file", "wanted", "hash").join(placed, ["file", "hash"])
+    return found.select("file", "wanted", F.col("topic_ord").alias("ord"), F.col("topic_title").alias("title"))
+
+
+@query("select d.file, d.ord from d where not exists (select 1 from l where l.file = d.file and l.target = d.ord)")
+def container_entry_points(c):
+    """Topics that no link of their file leads to."""
+    led = c.targets().where("target is not null").select("file", F.col("target").alias("ord")).distinct()
+    return c.topics().select("file", "ord").join(led, ["file", "ord"], "left_anti")
+
+
+@query("""select file, count(quality) as notes, max(length('quality ' || quality)) as longest, count(distinct quality) as texts from d where quality is not null group by rollup(file)""")
+def container_note_statistics(c):
+    return c.view["annotation"].rollup("file").agg(F.count("*").alias("notes"), F.max(F.length("text")).cast("long").alias("longest"), F.count_distinct("text").alias("texts"))
+
+
+@query("select kind, cast(count(*) as bigint) as n from (select 'valid' as kind from w union all select 'macro' from w where false) group by kind")
+def container_postings_validity(c):
+    p = c.view["posting"].select(F.when(F.col("topic_offset") == -1, "macro").otherwise("valid").alias("kind"))
+    return p.groupBy("kind").agg(F.count("*").alias("n"))

@@ -16,18 +16,24 @@ from folioscope.functions.text import context_hash, fold, html_escape, label, rt
 from folioscope.operators import relational as R
 from folioscope.operators import search as S
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+def registry():
+    """A table of queries, one of SQL, and a decorator that enters a query and its SQL (or None) in them."""
+    queries, oracle = {}, {}
 
+    def query(sql: str | None):
+        def register(f):
+            queries[f.__name__] = f
+            if sql:
+                oracle[f.__name__] = sql
+            return f
 
-def query(sql: str | None):
-    def register(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
+        return register
 
-    return register
+    return queries, oracle, query
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]]
+QUERIES, ORACLE_SQL, query = registry()
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

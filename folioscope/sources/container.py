@@ -421,13 +421,7 @@ def decode(files: DataFrame) -> DataFrame:
 def scan(spark: SparkSession, path: str, glob: str = "*.{hlp,mvb,gid,ann,HLP,MVB,GID,ANN}") -> DataFrame:
     """The records of all containers under a path, folders within included."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path)
-    return files.select("path", "content").mapInArrow(_decode, RECORD)
-
-
-def stream(spark: SparkSession, path: str, glob: str = "*.{hlp,mvb,HLP,MVB}") -> DataFrame:
-    """The same of files as they arrive (a streaming DataFrame)."""
-    files = spark.readStream.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").schema("path string, modificationTime timestamp, length long, content binary").load(path)
-    return files.select("path", "content").mapInArrow(_decode, RECORD)
+    return decode(files)
 
 
 #: Typed views: kind to the names of key, a, b, text and raw (None: not in the view).

@@ -114,10 +114,56 @@ def test_scan_and_views(spark, tmp_path):
 
 
 def test_stream(spark, tmp_path):
-    from folioscope.sources.container import stream
+    from folioscope.streaming.ingest import stream
 
     (tmp_path / "in").mkdir()
     (tmp_path / "in/a.hlp").write_bytes(sample())
     q = stream(spark, str(tmp_path / "in")).writeStream.format("memory").queryName("arrived").trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.sql("select * from arrived where kind = 'topic'").count() == 2
+
+
+def blocks(stream, size, lengths=None):
+    """A topic stream cut into blocks of ``size`` bytes with their headers."""
+    room = size - 12
+    return b"".join(struct.pack("<iii", -1, 12, -1) + stream[a : a + room].ljust(room if a + room < len(stream) else 0, b"\0") for a in range(0, len(stream), room))
+
+
+def linked(records, place):
+    """Links laid one after another; ``place``: the position (or, before 3.1, the step) that leads to a byte of the stream."""
+    out = b""
+    for k, (kind, one, two, _) in enumerate(records):
+        size = 21 + len(one) + len(two)
+        after = place(len(out), len(out) + size) if k + 1 < len(records) else -1
+        out += struct.pack("<5iB", size, len(two), -1, after, 21 + len(one), kind) + one + two
+    return out
+
+
+def wide(n):
+    return display([], [b"w" * n])
+
+
+@pytest.mark.parametrize(("minor", "flags", "size"), [(15, 0, 2048), (21, 0, 4096), (21, 8, 2048)])
+def test_links_cross_blocks(minor, flags, size):
+    """Positions as the format has them: 2,048 a block before 3.1, with steps that count headers; then 0x4000 a block."""
+    records = [heading(b"One"), wide(1500), heading(b"Two"), wide(1500), heading(b"Three"), wide(900)]
+    room = size - 12
+    spot = lambda at: at // room * (2048 if minor < 16 else 0x4000) + at % room + 12
+    place = (lambda a, b: spot(b) - spot(a)) if minor < 16 else (lambda a, b: spot(b))
+    stream = linked(records, place)
+    body = blocks(stream, size)
+    if flags == 8:  # packed blocks: each holds as much of the stream as was squeezed into it
+        body = b""
+        half = 1700
+        spot = lambda at: at // half * 0x4000 + at % half + 12
+        stream = linked(records, lambda a, b: spot(b))
+        for a in range(0, len(stream), half):
+            body += (struct.pack("<iii", -1, 12, -1) + squeeze(stream[a : a + half])).ljust(size, b"\0") if a + half < len(stream) else struct.pack("<iii", -1, 12, -1) + squeeze(stream[a : a + half])
+    got = rows(container({"|SYSTEM": struct.pack("<HHHlH", 0x036C, minor, 1, 0, flags) + (b"Old\0" if minor < 16 else b""), "|TOPIC": body}), "topic")
+    assert [r[3] for r in got] == ["One", "Two", "Three"]
+
+
+def test_long_numbers_by_hand():
+    """A long number of four bytes: low bit 1, 31 bits less 0x40000000."""
+    r = codec.Reader(struct.pack("<I", ((70_000 + 0x40000000) << 1 | 1) & 0xFFFFFFFF))
+    assert r.signed_long() == 70_000

@@ -1,9 +1,11 @@
 import pytest
 from pyspark.sql import functions as F
 
+from folioscope.functions import text
 from folioscope.functions.text import context_hash, html_escape, reverse_hash, rtf_escape
 from folioscope.operators import relational as R
 from folioscope.operators import search as S
+from folioscope.sources import writer
 
 VECTORS = {"": 1, "A": 0x11, "INDEX": 0x053D24A6, "CONTENTS": 0x25F4558A, "HELP": 0x001DBA49, "TEST": 0x002C4A5E}
 
@@ -55,3 +57,40 @@ def test_targets(spark):
     assert tuple(parts) == ("ctx", "win", "f.hlp")
     m = spark.createDataFrame([("JumpID(`a`,`b`)",), ("ExecFile(`calc`)",)], "m string")
     assert [r[0] for r in m.select(S.navigation_macro(F.col("m"))[0]).collect()] == ["jumpid", None]
+
+
+def test_equal_points_keep_their_rows(spark):
+    points = spark.createDataFrame([(5,), (5,), (99,)], "p long")
+    ranges = spark.createDataFrame([(0, 9, "a"), (4, 6, "b")], "lo long, hi long, g string")
+    got = [(r["p"], r["g"]) for r in R.interval_join(points, ranges, "p", "lo", "hi", "g", "lo").collect()]
+    assert sorted(got, key=str) == [(5, "b"), (5, "b"), (99, None)]
+
+
+def test_neighbours_cross_buckets(spark):
+    rows = [("a", k, k * 10) for k in (1, 2, 40, 41, 300)] + [("b", 7, None)]
+    got = {(r["k"], r["o"]): (r["prev"], r["next"]) for r in R.neighbours(spark.createDataFrame(rows, "k string, o long, v long"), ["k"], "o", "v", width=16).collect()}
+    assert got == {("a", 1): (None, 20), ("a", 2): (10, 400), ("a", 40): (20, 410), ("a", 41): (400, 3000), ("a", 300): (410, None), ("b", 7): (None, None)}
+
+
+def test_fold(spark):
+    words = ["STRASSE Straße", "ΣΟΦΟΣ σοφος", "ﬁn FIN", "Été"]
+    got = spark.createDataFrame([(w,) for w in words], "w string").select(text.fold(F.col("w"))).collect()
+    assert [r[0] for r in got] == [w.casefold() for w in words]
+
+
+def test_names_from_titles(spark):
+    rows = [(h, t) for t, n in (("Print Dialog", "idh_PrintDialog"), ("A & B", "A_B"), ("", "x")) for h in [writer.hashed(n)]]
+    got = {r["t"]: r["name"] for r in text.names_from_titles(spark.createDataFrame(rows, "h long, t string"), "h", "t", "name").collect()}
+    assert got == {"Print Dialog": "idh_PrintDialog", "A & B": "A_B", "": None}
+
+
+def test_set_cover(spark):
+    pairs = spark.createDataFrame([(1, "a"), (1, "b"), (2, "b"), (2, "c"), (2, "d"), (3, "e"), (4, "a"), (4, "e")], "key long, item string")
+    cost = spark.createDataFrame([(1, 1), (2, 3), (3, 1), (4, 4)], "key long, cost long")
+    assert [tuple(r) for r in S.set_cover(pairs, cost).orderBy("round").collect()] == [(0, 1, 2), (1, 3, 1), (2, 2, 2)]
+    assert S.set_cover(pairs.where("false"), cost).count() == 0
+
+
+def test_numbered(spark):
+    got = R.numbered(spark.range(500).select((F.col("id") * 7 % 500).alias("v")), ["v"], "n").collect()
+    assert all(r["v"] == r["n"] for r in got) and len(got) == 500
