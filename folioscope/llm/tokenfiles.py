@@ -104,7 +104,10 @@ def write(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 0, id_col:
     """Writes the ids of every whole text and ``end_id`` after each; returns the manifest.
 
     The manifest has for each file, in order: its name, the number of ids in all files before it,
-    and its number of records. It has as many entries as there are files. Null texts are empty.
+    and its number of records. It has as many entries as there are files. Null texts are empty, and
+    very long ones one record each. Null ids come first, repeated ids by their texts' hash, repeated
+    rows each have their record. An empty table writes no record and gives an empty manifest; no
+    column but the named is read.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     keys = [F.col("id"), F.xxhash64("text")]
