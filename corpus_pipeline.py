@@ -21,7 +21,7 @@ PERCENT = 80
 
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier rejects go."""
+    """Documents that the quality classifier rejects go; so do null texts and those without words. Rows that repeat id and text go the same way; other columns stay, whatever their names; an empty table stays empty."""
     return quality.select(docs, table(spark, sf_dir, "labels", "doc_id", "quality"))
 
 
@@ -37,7 +37,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a window of a benchmark item go."""
+    """Documents that hold a window of a benchmark item go. Null and empty texts hold none; repeated rows go the same way; very long texts are read whole; other columns stay, whatever their names."""
     return decontaminate.clean(docs, table(spark, sf_dir, "benchmark", "item_id", "text"))
 
 
@@ -48,7 +48,7 @@ def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The token ids of every document: doc_id, n_tokens, token_ids."""
+    """The token ids of every document: doc_id, n_tokens, token_ids. Null and empty texts have none; null and repeated ids each have their row; no other column is kept."""
     ids = bpe.encode(docs, tokenizer_path())
     return ids.select("doc_id", F.size("token_ids").cast("long").alias("n_tokens"), "token_ids")
 
