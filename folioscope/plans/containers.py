@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 from folioscope.functions.text import context_hash, html_escape
 from folioscope.operators import relational as R
+from folioscope.operators import search as S
+from folioscope.operators.resolve import resolve
 from folioscope.sources import container, writer
 from folioscope.sources.scratch import stash
 
@@ -279,3 +281,43 @@ def container_note_statistics(c):
 def container_postings_validity(c):
     p = c.view["posting"].select(F.when(F.col("topic_offset") == -1, "macro").otherwise("valid").alias("kind"))
     return p.groupBy("kind").agg(F.count("*").alias("n"))
+
+
+@query("""select file, form, kind, ord, choices from (
+select d.file, 'number' as form, 'topic' as kind, ord, 0 as choices from d
+union all select file, 'hash', 'popup', ord, 0 from d
+union all select file, 'name', 'topic', ord, 0 from d
+union all select file, 'name in a file', 'external', null, 0 from d
+union all select file, 'offset', 'external', null, 0 from d
+union all select file, 'other macro', 'macro', null, 0 from d
+union all select file, 'nothing', 'unresolved', null, 0 from d
+union all select d.file, 'keyword', case when n = 1 then 'topic' else 'choice' end, low, n from d join (select file, count(*) as n, min(ord) as low, doc_id % 7 as k from d group by file, doc_id % 7) g on d.file = g.file and d.doc_id % 7 = k)""")
+def container_resolution(c):
+    """Each topic sought in eight ways: one operator resolves all of them."""
+    name = F.concat(F.lit("doc_"), F.regexp_extract("title", "^T([0-9]+) ", 1))
+    quoted = F.concat(F.lit('"'), name, F.lit('"'))
+    forms = {
+        "number": F.concat(F.lit("topic:TOPIC"), F.col("ord").cast("string")),
+        "hash": F.concat(F.lit("popup:"), F.hex(context_hash(name))),
+        "name": F.concat(F.lit("macro:JumpID("), quoted, F.lit(")")),
+        "name in a file": F.concat(F.lit('macro:JumpID("other.hlp", '), quoted, F.lit(")")),
+        "offset": F.concat(F.lit("topic_offset:"), F.col("topic_offset").cast("string")),
+        "other macro": F.lit('macro:ExecFile("calc.exe")'),
+        "nothing": F.lit("idh_unknown"),
+        "keyword": F.concat(F.lit("macro:KLink(\"K"), (F.regexp_extract("title", "^T([0-9]+) ", 1).cast("long") % 7).cast("string"), F.lit("; no such word\")")),
+    }
+    asked = c.topics().select("file", F.explode(F.array(*(F.struct(F.lit(k).alias("form"), t.alias("target")) for k, t in forms.items()))).alias("f")).select("file", "f.*")
+    index = c.placed(c.postings(), "ord").select("file", "keyword", F.col("topic_ord").alias("ord"))
+    found = resolve(asked, c.topics().select("file", "ord", "topic_offset"), c.view["context"].select("file", "hash", "topic_offset"), index)
+    return found.select("file", "form", "kind", "ord", "choices")
+
+
+@query("""select file, ord, title from d where contains(lower(text || ' ' || title || ' doc_' || doc_id || ' ' || lang || ' k' || (doc_id % 7) || ' both, k' || (doc_id % 3)), 'k5') and contains(lower(text || ' ' || title || ' doc_' || doc_id || ' ' || lang), 'the')""")
+def container_search_everywhere(c):
+    """All terms, in title, text, context names or keywords of a topic."""
+    key = ["file", "ord"]
+    texts = container.topic_texts(c.records).withColumnRenamed("topic", "ord")
+    words = c.placed(c.postings(), "ord").groupBy("file", F.col("topic_ord").alias("ord")).agg(F.array_join(F.collect_list("keyword"), " ").alias("words"))
+    named = c.placed(c.view["context"].select("file", "hash", "topic_offset"), "ord").join(c.names, "hash").groupBy("file", F.col("topic_ord").alias("ord")).agg(F.array_join(F.collect_list("name"), " ").alias("named"))
+    whole = c.topics().join(texts, key, "left").join(words, key, "left").join(named, key, "left")
+    return whole.where(S.all_terms(F.concat_ws(" ", "text", "title", "named", "words"), "THE k5")).select("file", "ord", "title")

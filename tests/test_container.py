@@ -167,3 +167,31 @@ def test_long_numbers_by_hand():
     """A long number of four bytes: low bit 1, 31 bits less 0x40000000."""
     r = codec.Reader(struct.pack("<I", ((70_000 + 0x40000000) << 1 | 1) & 0xFFFFFFFF))
     assert r.signed_long() == 70_000
+
+
+def test_window_records(spark):
+    from folioscope.sources.system import windows
+
+    body = struct.pack("<H10s9s51s5hII", 0x0001 | 0x0002 | 0x0004 | 0x0008 | 0x0010 | 0x0020 | 0x0040, b"secondary\0", b"main\0", b"A window\0", 653, 102, 360, -600, 0, 0, 0)
+    data = container({"|SYSTEM": system([(6, body), (1, b"x\0"), (6, body[:40])])})
+    from folioscope.sources.container import decode
+
+    files = spark.createDataFrame([("f", data)], "path string, content binary")
+    got = windows(tables(decode(files))["system_record"]).orderBy("number").collect()
+    assert tuple(got[0])[1:10] == (0, "secondary", "main", "A window", 653, 102, 360, -600, None)
+    assert got[1]["number"] == 1 and got[1]["x"] is None and got[1]["name"] == "main"
+
+
+def test_resolution_of_odd_targets(spark):
+    from folioscope.operators.resolve import resolve
+
+    topics = spark.createDataFrame([("f", 0, 0), ("f", 1, 500)], "file string, ord long, topic_offset long")
+    contexts = spark.createDataFrame([("f", 0x11, 500)], "file string, hash long, topic_offset long")
+    index = spark.createDataFrame([("f", "Straße", 0), ("f", "two", 1)], "file string, keyword string, ord long")
+    asked = [None, "", "topic:TOPIC9", "topic:TOPICx", "popup:11", "topic:1F4", "topic:zz", "macro:JumpID()", 'macro:PopupID("", "A")', "macro:jumpcontext(7)", 'macro:ALink("STRASSE; two")', 'macro:KLink("two")', "macro:KLink(\"x\")", "macro:broken(", "window:2", "popup:11"]
+    got = resolve(spark.createDataFrame([("f", t, 1) for t in asked], "file string, target string, _n long").drop("_n"), topics, contexts, index)
+    seen = {r["target"]: (r["kind"], r["ord"]) for r in got.collect()}
+    assert got.count() == len(asked)
+    want = {None: ("unresolved", None), "": ("unresolved", None), "topic:TOPIC9": ("unresolved", None), "topic:TOPICx": ("unresolved", None), "popup:11": ("popup", 1), "topic:1F4": ("topic", 1), "topic:zz": ("unresolved", None), "macro:JumpID()": ("macro", None)}
+    want |= {'macro:PopupID("", "A")': ("popup", 1), "macro:jumpcontext(7)": ("external", None), 'macro:ALink("STRASSE; two")': ("choice", 0), 'macro:KLink("two")': ("topic", 1), 'macro:KLink("x")': ("unresolved", None), "macro:broken(": ("macro", None), "window:2": ("external", None)}
+    assert seen == want
