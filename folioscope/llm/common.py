@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from typing import ClassVar
 
 import numpy as np
 import pyarrow as pa
@@ -32,9 +33,13 @@ def shared_dir(spark: SparkSession) -> str:
 class Workspace:
     """Written tables of one run, in the shared folder, so that no executor's loss costs them."""
 
+    #: Every workspace of this driver whose tables haven't been deleted, in the order they were made.
+    kept: ClassVar[list[Workspace]] = []
+
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        self.kept.append(self)
 
     def stash(self, df: DataFrame, name: str) -> DataFrame:
         """Writes ``df`` once and returns it as read back: lineage ends here."""
@@ -48,6 +53,11 @@ class Workspace:
             path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
+    def clear(self) -> None:
+        """Deletes all tables, once what was made of them is written elsewhere."""
+        self.drop("")
+        self.kept.remove(self)
+
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string column and the n + 1 offsets of its rows; nulls are empty."""
