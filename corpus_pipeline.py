@@ -66,9 +66,19 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies all stages to the documents; each one's result is written to the shared folder."""
-    space = Workspace(spark, "pipeline")
+    """Applies all stages to the documents; each one's result is written to the shared folder.
+
+    Once it is, the scratch tables of the stage and the result before it are deleted, so that the
+    folder holds two copies of the corpus at most beside a stage's own tables.
+    """
+    space, last = Workspace(spark, "pipeline"), None
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
+        before = len(Workspace.kept)
         docs = space.stash(stage(spark, docs, sf_dir), name)
+        for scratch in Workspace.kept[before:]:
+            scratch.clear()
+        if last:
+            space.drop(last)
+        last = name
     return docs
