@@ -15,7 +15,7 @@ def test_stages_hold_on_their_own_input(spark, docs):
     for a, b in zip(seen[:4], seen[1:5], strict=True):
         assert a.columns == b.columns and b.count() <= a.count() and b.count() > 0
     rows = [(r["doc_id"], r["text"]) for r in good.collect()]
-    firsts = {c for _, c in brute.components(rows)}
+    firsts = {c for _, c in brute.components(rows, 80)}  # the stage links from 0.80, as its contract says
     assert {r["doc_id"] for r in single.collect()} == firsts
     bench = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     before = [(r["doc_id"], r["text"]) for r in single.collect()]
