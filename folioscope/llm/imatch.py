@@ -2,34 +2,36 @@
 
 A text's terms are its distinct words (runs of letters and digits, lower case), as 64-bit hashes.
 Document frequencies are counted over all texts, term by term. The lexicon holds the terms whose
-inverse document frequency lies in a band: neither in more than ``COMMON`` of all texts, nor in fewer
-than two or than ``RARE`` of them. It is a written table that texts' terms are joined with; only the
-common terms, whose number the mean length of a text bounds, are broadcast. A text's terms are
-those it keeps, in the lexicon, and the rest (a text without words stands for itself).
+inverse document frequency lies in a band: in no more than ``COMMON`` of all texts and in no fewer
+than ``RARE`` of them (two at least). So it has at most (mean distinct terms of a text) / ``RARE``
+terms, however large the corpus: a quarter of a million for texts of 250 terms. It goes to the
+tasks as a constant of 2**``BITS`` bits, one for each place of a hash that a term of the band holds;
+a term outside the band is let in where it shares a place with one of the band, which the bound
+above keeps to one in eight at any size, and the same term is in or out for all texts.
 
 Randomised lexicon subsets, fixed and overlapping: level j parts all terms by a hash into 2**j
 subsets, of which the first 2**BASE count, for every j from ``BASE`` up. So the first level covers all
-terms, and each further one half of those before it. In each subset the text's terms are hashed
-together, kept ones and the rest apart; a fingerprint has the 64-bit hash of all its terms in order,
-and these hashes at all levels where the text has terms. Two fingerprints are compared at the level where a subset holds about half a term of the
-text with more terms, so that a change in some terms leaves the hashes of the other subsets. Their
-likeness is the share of equal hashes among the subsets where either has terms: of kept terms, or of
-all where one of both keeps fewer than ``FEW``.
+terms, and each further one half of those before it. In each subset the text's lexicon terms are
+sorted and hashed together; a fingerprint has the 64-bit hash of all its terms in order, and these
+hashes at all levels where the text has terms: 2**BASE a level at most, as many levels as the text's
+size has binary digits. A text that keeps fewer than twice ``FEW`` terms has its other terms hashed
+too, apart; one without words stands for itself. Two fingerprints are compared at the level where
+a subset holds about half a term of the text with more terms, so that a change in some terms leaves
+the hashes of the other subsets. Their likeness is the share of equal hashes among the subsets where
+either has terms: of lexicon terms, or of all where one keeps fewer than ``FEW`` and both have all.
 """
 
 from __future__ import annotations
 
-from typing import NamedTuple
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioscope.llm.common import Workspace
 
-COMMON, RARE = 0.05, 1e-6
+COMMON, RARE = 0.05, 1e-3
+BITS = 21
 BASE, TOP = 6, 40
-FEW = 16
-LAST_WORD = r"(?<![\p{L}\p{N}])[\p{L}\p{N}]++$"
+FEW = 24
 
 
 def terms(text: Column) -> Column:
@@ -38,36 +40,44 @@ def terms(text: Column) -> Column:
     return F.array_distinct(F.transform(words, lambda w: F.xxhash64(w)))
 
 
-class Lexicon(NamedTuple):
-    """Tables of one column, ``term``: those in the band, and those more common."""
+def frequent(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """(term, df) of the terms in the band, by their exact number of texts, over all rows."""
+    every = docs.select(F.explode(terms(F.coalesce(F.col(text_col), F.lit("")))).alias("term"))
+    n = docs.count()
+    seen = every.groupBy("term").agg(F.count("*").alias("df"))
+    return seen.where(F.col("df").between(max(2, int(n * RARE)), max(2, int(n * COMMON))))
 
-    inside: DataFrame
-    common: DataFrame
 
+def _slot(term: Column) -> Column:
+    return F.shiftrightunsigned(term, 64 - BITS).cast("int")
 
-def lexicon(docs: DataFrame, space: Workspace, text_col: str = "text") -> Lexicon:
-    """The exact document frequency of each term, counted over all rows, decides."""
-    every = docs.select(F.explode(terms(F.coalesce(F.col(text_col), F.lit("")))).alias("term"))
-    n = docs.count()
-    seen = every.groupBy("term").agg(F.count("*").alias("df")).where(F.col("df") >= max(2, int(n * RARE)))
-    seen, most = space.stash(seen, "lexicon"), max(2, int(n * COMMON))
-    return Lexicon(seen.where(F.col("df") <= most).select("term"), seen.where(F.col("df") > most).select("term"))
+
+def lexicon(band: DataFrame) -> Column:
+    """The places of terms as a literal array of 2**BITS bits, 64 in each element."""
+    slots = band.select(_slot(F.col("term")).alias("slot"))
+    found = slots.groupBy(F.shiftright("slot", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, slot & 63)")).alias("bits"))
+    bits = [0] * (1 << (BITS - 6))
+    for word, some in found.collect():  # a row for each element at most
+        bits[word] = some
+    return F.split(F.lit(",".join(map(str, bits))), ",").cast("array<bigint>")  # folded to a constant
 
 
-def in_lexicon(asked: DataFrame, own: Lexicon, keys: list[str], name: str) -> DataFrame:
-    """For each key of ``asked`` (keys, ``terms``) those of its terms that are in the lexicon; keys without any have no row."""
-    pairs = asked.select(*keys, F.explode("terms").alias("term"))
-    # fewer than (mean distinct terms of a text) / COMMON terms, at any size
-    pairs = pairs.join(F.broadcast(own.common), "term", "left_anti")
-    return pairs.join(own.inside, "term", "left_semi").groupBy(*keys).agg(F.collect_set("term").alias(name))
+def in_lexicon(term: Column, bits: Column) -> Column:
+    return F.getbit(F.get(bits, F.shiftright(_slot(term), 6)), _slot(term).bitwiseAND(F.lit(63))) == 1
 
 
-def fingerprint(text: Column, kept: Column) -> Column:
-    """Of a text and its terms in the lexicon (null: none): the numbers of kept and of all terms, and the hashes of kept ones and of the rest."""
+def fingerprint(text: Column, bits: Column) -> Column:
+    """Of a text: the numbers of lexicon terms and of all, the hash of all, and the hashes of lexicon terms and of the rest by subset."""
     # each step binds its input to a name, so that it is computed once
     every = _let(terms(text), lambda t: F.when(F.size(t) > 0, t).otherwise(F.array(F.xxhash64(text))))
-    own = F.struct(every.alias("every"), F.coalesce(kept, F.array().cast("array<bigint>")).alias("kept"))
-    return _let(own, lambda s: F.struct(F.size(s["kept"]).alias("n_kept"), F.size(s["every"]).alias("n"), F.xxhash64(F.array_sort(s["every"])).alias("whole"), _hashes(s["kept"], 0).alias("kept"), _hashes(F.array_except(s["every"], s["kept"]), 1).alias("rest")))
+    own = _let(every, lambda t: F.struct(t.alias("every"), F.filter(t, lambda x: in_lexicon(x, bits)).alias("kept")))
+    none = F.array().cast("array<bigint>")
+
+    def shaped(s: Column) -> Column:
+        rest = F.when(F.size(s["kept"]) < 2 * FEW, _hashes(F.array_except(s["every"], s["kept"]), 1)).otherwise(none)
+        return F.struct(F.size(s["kept"]).alias("n_kept"), F.size(s["every"]).alias("n"), F.xxhash64(F.array_sort(s["every"])).alias("whole"), _hashes(s["kept"], 0).alias("kept"), rest.alias("rest"))
+
+    return _let(own, shaped)
 
 
 def _places(term: Column, kind: int) -> Column:
@@ -116,7 +126,7 @@ def likeness(a: Column, b: Column) -> Column:
     def at(x: Column, level: Column) -> Column:
         return F.filter(x, lambda h: F.shiftright(h, 33 + BASE) == level)
 
-    few = F.least(a["n_kept"], b["n_kept"]) < FEW
+    few = (F.least(a["n_kept"], b["n_kept"]) < FEW) & (F.greatest(a["n_kept"], b["n_kept"]) < 2 * FEW)
     most = F.when(few, F.greatest(a["n"], b["n"])).otherwise(F.greatest(a["n_kept"], b["n_kept"]))
     level = F.greatest(F.lit(BASE), F.ceil(F.log2(most.cast("double"))).cast("int") + 1)
     hashes = lambda x: F.when(few, F.concat(x["kept"], x["rest"])).otherwise(x["kept"])
@@ -127,11 +137,8 @@ def likeness(a: Column, b: Column) -> Column:
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The id and ``fingerprint`` (a string) of each row; equal texts have equal ones, null is empty."""
-    space = Workspace(docs.sparkSession, "imatch")
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
-    kept = in_lexicon(rows.select("h", terms(F.col("text")).alias("terms")), lexicon(rows, space), ["h"], "kept")
-    printed = rows.join(kept, "h", "left")
-    return printed.select(F.col("id").alias(id_col), rendered(fingerprint(F.col("text"), F.col("kept"))).alias("fingerprint"))
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    return rows.select(F.col("id").alias(id_col), rendered(fingerprint(F.col("text"), lexicon(frequent(rows)))).alias("fingerprint"))
 
 
 KEY = ["f", "k", "h"]
@@ -168,30 +175,19 @@ def compare(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """
     space = Workspace(docs.sparkSession, "imatch")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    own = lexicon(rows, space)
+    bits = lexicon(frequent(rows))
     rows = rows.select(F.col("doc_id").isNotNull().cast("int").alias("f"), F.coalesce("doc_id", F.lit(0)).alias("k"), F.xxhash64("text").alias("h"), "text")
     order = space.stash(following(rows.select(*KEY, F.length("text").cast("long").alias("n")).distinct(), space), "order")
-    kept = space.stash(in_lexicon(rows.select(*KEY, terms(F.col("text")).alias("terms")), own, KEY, "kept"), "kept")
-    # both sides of the join below read one exchange of the texts
-    none = F.array().cast("array<bigint>")
-    printed = rows.join(kept, KEY, "left").select("*", fingerprint(F.col("text"), F.col("kept")).alias("print"))
-    start = printed.join(order, KEY).select(*(F.col(f"p{c}").alias(c) for c in KEY), F.expr("left(text, cast(pn div 3 as int))").alias("start"), F.col("print").alias("next_print"), F.coalesce("kept", none).alias("next_kept"))
+    # both joins read one exchange of the texts
+    start = rows.join(order, KEY).select(*(F.col(f"p{c}").alias(c) for c in KEY), F.expr("left(text, cast(pn div 3 as int))").alias("start"), fingerprint(F.col("text"), bits).alias("next_print"))
     start = start.dropDuplicates(KEY)
     n = F.length("text")
     edited = F.concat(F.expr("left(text, length(text) - cast(length(text) div 3 as int))"), F.col("start"))
-    both = printed.join(start, KEY).select(*KEY, n.cast("long").alias("n_chars"), "print", "next_print", edited.alias("edited"), terms(edited).alias("terms"), F.concat(F.coalesce("kept", none), "next_kept").alias("known"), terms(F.col("text")).alias("own"), terms(F.col("start")).alias("new"), terms(F.regexp_extract("start", LAST_WORD, 0)).alias("last"))
-    # words that the cut made, two or three a text, are looked up apart
-    both = both.withColumn("seam", F.array_union(F.array_except(F.array_except("terms", "own"), "new"), "last")).drop("own", "new", "last")
-    seam = in_lexicon(both.where(F.size("seam") > 0).select(*KEY, F.col("seam").alias("terms")), own, KEY, "seam_kept")
-    both = both.join(seam, KEY, "left")
-    edited_kept = F.array_intersect("terms", F.concat("known", F.coalesce("seam_kept", none)))
-    both = both.select(F.when(F.col("f") == 1, F.col("k")).alias("doc_id"), "n_chars", "print", "next_print", "edited", fingerprint(F.col("edited"), edited_kept).alias("edited_print"))
-    return both.select(
-        F.col("doc_id").alias(id_col),
-        "n_chars",
-        F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
-        rendered(F.col("print")).alias("fingerprint"),
-        rendered(F.col("edited_print")).alias("edited_fingerprint"),
-        likeness(F.col("print"), F.col("edited_print")).alias("near_edited"),
-        likeness(F.col("print"), F.col("next_print")).alias("near_next"),
-    )
+    both = rows.join(start, KEY).select("f", "k", n.cast("long").alias("n_chars"), "text", "next_print", edited.alias("edited"))
+    prints = F.struct(fingerprint(F.col("text"), bits).alias("own"), fingerprint(F.col("edited"), bits).alias("edited"), F.col("next_print").alias("next"))
+
+    def compared(p: Column) -> Column:
+        return F.struct(rendered(p["own"]).alias("own"), rendered(p["edited"]).alias("edited"), likeness(p["own"], p["edited"]).alias("near_edited"), likeness(p["own"], p["next"]).alias("near_next"))
+
+    both = both.select(F.when(F.col("f") == 1, F.col("k")).alias("doc_id"), "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), _let(prints, compared).alias("p"))
+    return both.select(F.col("doc_id").alias(id_col), "n_chars", "edited_sha256", F.col("p.own").alias("fingerprint"), F.col("p.edited").alias("edited_fingerprint"), "p.near_edited", "p.near_next")
