@@ -81,28 +81,27 @@ def fingerprint(text: Column, bits: Column) -> Column:
 
 
 def _places(term: Column, kind: int) -> Column:
-    """The subsets of a term, at each level that has it, packed: level, number, kind."""
+    """For each level that has a term its subset (level, number, kind) and, below, 48 bits of the term, as one number."""
     place = F.shiftrightunsigned(term, 64 - TOP)
     # a level has a term if the bits of its place from BASE up to the level are zero
     high = F.shiftrightunsigned(place, BASE)
     deepest = F.when(high == 0, F.lit(TOP)).otherwise(BASE + F.round(F.log2(high.bitwiseAND(-high).cast("double"))).cast("int"))
-    low = F.shiftleft(place.bitwiseAND(F.lit((1 << BASE) - 1)), 1) + kind
-    return F.transform(F.sequence(F.lit(BASE), deepest), lambda j: F.shiftleft(j.cast("long"), BASE + 1) + low)
+    low = F.shiftleft(F.shiftleft(place.bitwiseAND(F.lit((1 << BASE) - 1)), 1) + kind, 48).bitwiseOR(term.bitwiseAND(F.lit((1 << 48) - 1)))
+    return F.transform(F.sequence(F.lit(BASE), deepest), lambda j: F.shiftleft(j.cast("long"), BASE + 49).bitwiseOR(low))
 
 
 def _hashes(terms_: Column, kind: int) -> Column:
     """For each subset with terms its level, number and kind, in the high half, and the hash of its terms in order."""
-    low = F.lit(0xFFFFFFFF)
-    rows = F.sort_array(F.flatten(F.transform(terms_, lambda t: F.transform(_places(t, kind), lambda s: F.struct(s.alias("s"), t.alias("t"))))))
-    start = F.struct(F.array().cast("array<bigint>").alias("done"), F.lit(-1).cast("long").alias("s"), F.lit(0).alias("h"))
-    packed = lambda a: F.shiftleft(a["s"], 32).bitwiseOR(a["h"].cast("long").bitwiseAND(low))
-    ended = lambda a: F.when(a["s"] < 0, a["done"]).otherwise(F.concat(a["done"], F.array(packed(a))))
+    def runs(rows: Column) -> Column:
+        at = F.filter(F.sequence(F.lit(0), F.size(rows) - 1), lambda i: (i == 0) | (F.shiftright(F.get(rows, i), 48) != F.shiftright(F.get(rows, i - 1), 48)))
+        return _let(at, lambda starts: F.transform(starts, lambda i, k: hashed(rows, i, F.coalesce(F.get(starts, k + 1), F.size(rows)))))
 
-    def step(a: Column, x: Column) -> Column:
-        same = a["s"] == x["s"]
-        return F.struct(F.when(same, a["done"]).otherwise(ended(a)).alias("done"), x["s"].alias("s"), F.when(same, F.hash(a["h"], x["t"])).otherwise(F.hash(x["t"])).alias("h"))
+    def hashed(rows: Column, start: Column, end: Column) -> Column:
+        subset = F.shiftright(F.get(rows, start), 48)
+        return F.shiftleft(subset, 32).bitwiseOR(F.hash(F.slice(rows, start + 1, end - start)).cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))
 
-    return F.aggregate(rows, start, step, ended)
+    placed = F.sort_array(F.flatten(F.transform(terms_, lambda t: _places(t, kind))))
+    return _let(placed, lambda rows: F.when(F.size(rows) > 0, runs(rows)).otherwise(F.slice(rows, 1, 0)))
 
 
 def _let(value: Column, body) -> Column:
@@ -138,7 +137,7 @@ def likeness(a: Column, b: Column) -> Column:
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The id and ``fingerprint`` (a string) of each row; equal texts have equal ones, null is empty."""
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return rows.select(F.col("id").alias(id_col), rendered(fingerprint(F.col("text"), lexicon(frequent(rows)))).alias("fingerprint"))
+    return rows.select(F.col("id").alias(id_col), _let(fingerprint(F.col("text"), lexicon(frequent(rows))), rendered).alias("fingerprint"))
 
 
 KEY = ["f", "k", "h"]
