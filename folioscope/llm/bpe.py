@@ -26,11 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from folioscope.llm.common import trim
 from folioscope.llm.words import same_spelling, span_hashes
 
 BLOCK = 8 << 20
 PIECE = 1 << 20
-CACHE = 1_000_000
+CACHE = 300_000
 
 LETTER, NUMBER, OTHER, SPACE = 0, 1, 2, 3
 #: The code points of Unicode's property White_Space.
@@ -416,6 +417,8 @@ def _arrays(path: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
             np.cumsum(own.at[codes + 1] - own.at[codes], out=count[1:])
             part = pa.ListArray.from_arrays(pa.array(count[at].astype(np.int32)), pa.array(ids))
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), part], ["id", "token_ids"])
+        del texts
+        trim()
 
 
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

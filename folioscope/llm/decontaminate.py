@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import Workspace, utf8
+from folioscope.llm.common import Workspace, trim, utf8
 from folioscope.llm.words import ALNUM, grams, word_hashes
 
 K, WINDOW = 5, 6
@@ -138,6 +138,7 @@ def _scan(sketch: Sketch, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Reco
     for batch in batches:
         n_words, found = _found(sketch, batch.column(2))
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n_words, pa.int64()), pa.array(found, _FOUND)], ["row", "doc_id", "n_words", "found"])
+        trim()
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

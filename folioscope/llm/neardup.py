@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import Workspace, utf8
+from folioscope.llm.common import Workspace, trim, utf8
 from folioscope.llm.components import components
 from folioscope.llm.words import NOT_SPACE, grams, mix, word_hashes
 
@@ -133,6 +133,8 @@ def _signed(plan: Plan, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
             twos.append(two)
         columns = [pa.array(n, pa.int64()), pa.array(ones, pa.int64()), pa.array(twos, pa.int64()), pa.array(sig, pa.binary()), pa.array(keys, pa.binary())]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["doc_id", "text_hash", "n_shingles", "one", "two", "sig", "keys"])
+        del columns, n, ones, twos, sig, keys
+        trim()
 
 
 def _matrix(column: pa.Array, kind: type, width: int) -> np.ndarray:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import Workspace, utf8
+from folioscope.llm.common import Workspace, trim, utf8
 from folioscope.llm.words import NOT_SPACE, grams, mix, word_hashes
 
 SAMPLE = 20_000
@@ -65,6 +65,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if mine.any():
                 target += np.bincount(bucket[np.concatenate([mine[word_row], mine[shape_row]])], minlength=_BUCKETS)
             done += n
+        trim()
     some = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some]), pa.array(target[some])], ["bucket", "total", "target"])
 
@@ -145,6 +146,7 @@ class Classifier:
 
         def weigh(column: pa.Array) -> pa.Array:
             w = weights(shared.value, column)
+            trim()
             return pa.array(w, pa.float64(), mask=np.isnan(w))
 
         return F.arrow_udf(weigh, "double")(text)
