@@ -16,17 +16,29 @@ from folioscope.llm.common import Workspace, table
 from folioscope.llm.queries import tokenizer_path
 
 
+#: Rows in a batch of texts between Spark and its Python workers: what bounds their memory where texts are long.
+BATCH = 2000
+
 #: Documents whose shingle sets are at least so alike are near duplicates.
 PERCENT = 80
 
 
+def bounded(spark: SparkSession) -> None:
+    """Makes batches of texts no larger than ``BATCH`` rows in this session."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH:
+        spark.conf.set(key, str(BATCH))
+
+
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier rejects go; so do null texts and those without words. Rows that repeat id and text go the same way; other columns stay, whatever their names; an empty table stays empty."""
+    bounded(spark)
     return quality.select(docs, table(spark, sf_dir, "labels", "doc_id", "quality"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the document of the least id stays; rows that share an id, or have none, are documents of their own."""
+    bounded(spark)
     numbered = docs.select(F.struct(*docs.columns).alias("_row"), F.monotonically_increasing_id().alias("_number"))
     numbered = Workspace(spark, "numbered").stash(numbered, "rows")
     found = neardup.near_duplicates(numbered.select("_number", F.col("_row.text").alias("text")), percent=PERCENT, id_col="_number")
@@ -38,6 +50,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a window of a benchmark item go. Null and empty texts hold none; repeated rows go the same way; very long texts are read whole; other columns stay, whatever their names."""
+    bounded(spark)
     return decontaminate.clean(docs, table(spark, sf_dir, "benchmark", "item_id", "text"))
 
 
@@ -49,6 +62,7 @@ def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The token ids of every document: doc_id, n_tokens, token_ids. Null and empty texts have none; null and repeated ids each have their row; no other column is kept."""
+    bounded(spark)
     ids = bpe.encode(docs, tokenizer_path())
     return ids.select("doc_id", F.size("token_ids").cast("long").alias("n_tokens"), "token_ids")
 
