@@ -83,27 +83,35 @@ def same_spelling(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, other:
     return all(np.array_equal(data[starts[i] : ends[i]], data[starts[other[i]] : ends[other[i]]]) for i in long)
 
 
-def _pieces(offsets: np.ndarray, data: np.ndarray, member: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
-    """Runs of rows (first row, one past the last, first byte, one past the last)."""
-    row, n = 0, len(offsets) - 1
+def pieces(offsets: np.ndarray, data: np.ndarray, member: np.ndarray, size: int | None = None) -> Iterator[tuple[int, int, int, int]]:
+    """Runs of rows (first row, one past the last, first byte, one past the last), of ``size`` bytes (``PIECE``) at most.
+
+    A longer row comes in several, each of which ends between words; ``member`` says which bytes
+    belong to words, once A-Z are a-z.
+    """
+    row, n, size = 0, len(offsets) - 1, size or PIECE
     while row < n:
-        if offsets[row + 1] - offsets[row] > PIECE:
+        if offsets[row + 1] - offsets[row] > size:
             at, stop = int(offsets[row]), int(offsets[row + 1])
-            while stop - at > PIECE:
-                cut = at + PIECE
-                back = np.flatnonzero(~member[data[at:cut]])
+            while stop - at > size:
+                cut = at + size
+                back = np.flatnonzero(~member[LOWER[data[at:cut]]])
                 if len(back):
                     cut = at + int(back[-1]) + 1
                 else:
-                    while cut < stop and member[data[cut]]:
-                        cut += 1
+                    while cut < stop:  # a word that is longer than a piece
+                        gap = np.flatnonzero(~member[LOWER[data[cut : cut + size]]])
+                        if len(gap):
+                            cut += int(gap[0])
+                            break
+                        cut = min(cut + size, stop)
                 yield row, row + 1, at, cut
                 at = cut
             if at < stop:
                 yield row, row + 1, at, stop
             row += 1
             continue
-        end = int(np.searchsorted(offsets, offsets[row] + PIECE, "right")) - 1
+        end = int(np.searchsorted(offsets, offsets[row] + size, "right")) - 1
         end = max(end, row + 1)
         yield row, end, int(offsets[row]), int(offsets[end])
         row = end
@@ -142,7 +150,7 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, member: np.ndarray, spell
     characters, runs as one).
     """
     kept: list[np.ndarray] = []
-    for first, last, start, stop in _pieces(offsets, data, member):
+    for first, last, start, stop in pieces(offsets, data, member):
         raw = LOWER[data[start:stop]]
         inside = np.zeros(len(raw) + 2, np.int8)
         inside[1:-1] = member[raw]
