@@ -26,3 +26,47 @@ edges as (select u, v from links union all select v, u from links),
 reach as (select doc_id as node, doc_id as seen from docs union select node, v from reach join edges on seen = u)
 select docs.doc_id, coalesce(n, 0) as n_shingles, c as component_id, docs.doc_id = c as kept
 from docs left join sizes using (doc_id) join (select node, min(seen) as c from reach group by node) on node = docs.doc_id"""
+
+#: What each low byte does to a crc32, and the crc32 of a string by it: a scalar over ``steps``.
+_STEPS = "crc_steps as (select list(c order by i) as steps from (select i, list_reduce(list_prepend(i::bigint, range(8)), lambda c, b: xor(c >> 1, (c & 1) * 3988292384)) as c from range(256) r(i)))"
+
+
+def _crc(text: str) -> str:
+    nibble = lambda k: f"(instr('0123456789ABCDEF', substr(hex({text}), 2 * i + {k}, 1)) - 1)"
+    octets = f"list_transform(range(strlen({text})), lambda i: ({nibble(1)} * 16 + {nibble(2)})::bigint)"
+    return f"xor(list_reduce(list_prepend(4294967295::bigint, {octets}), lambda c, b: xor(c >> 8, steps[(xor(c, b) & 255) + 1])), 4294967295)"
+
+
+OP11_RESAMPLING = f"""
+with {_STEPS},
+docs as (select doc_id, {_WORDS} as ws from documents),
+features as (select doc_id, unnest(list_concat(ws, list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]))) as g from docs),
+wanted as (select unnest(list_concat(ws, list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]))) as g from (select {_WORDS} as ws from benchmark)),
+own as (select doc_id, g, count(*) as k from features group by all),
+target as (select g, count(*) as k from wanted group by all),
+places as (select g, {_crc("g")} % 10000 as bucket from (select g from own union select g from target), crc_steps),
+s as (select bucket, sum(k) as n from own join places using (g) group by bucket),
+t as (select bucket, sum(k) as n from target join places using (g) group by bucket),
+gains as (select bucket, floor(1000 * ln(cast(coalesce(t.n, 0) + 1 as double) * ((select coalesce(sum(n), 0) from s) + 10000) / (cast(coalesce(s.n, 0) + 1 as double) * ((select coalesce(sum(n), 0) from t) + 10000)))) as gain
+from (select distinct bucket from places) left join s using (bucket) left join t using (bucket)),
+sums as (select doc_id, sum(k) as n, sum(k * gain) as total from own join places using (g) join gains using (bucket) group by doc_id),
+drawn as (select doc_id, (cast('0x' || substr(sha256('7:' || doc_id), 1, 8) as bigint) + 0.5::double) / 4294967296::double as u from docs),
+scored as (select doc_id, len(ws) >= 20 as fit, cast(coalesce(n, 0) as bigint) as n_features, cast(coalesce(floor(total / n), 0) as bigint) as weight, cast(coalesce(floor(total / n), 0) + floor(-1000 * ln(-ln(u))) as bigint) as score
+from docs left join sums using (doc_id) join drawn using (doc_id)),
+ranked as (select doc_id, row_number() over (order by score desc, doc_id) as place from scored where fit)
+select doc_id, n_features, weight, score, case when place <= (select count(*) from ranked) * 25 // 100 then place end as rank from scored left join ranked using (doc_id)"""
+
+OP12_VARIANTS = rf"""
+with recursive {_STEPS},
+runs as (select doc_id, translate(r, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as run from (select doc_id, unnest(regexp_extract_all(text, '[A-Za-z\x{{C0}}-\x{{FF}}]+')) as r from documents)),
+counted as (select doc_id, run, doc_id || ':' || run as k, count(*) as n from runs where length(run) >= 7 group by all),
+hashed as (select run, n, {_crc("k")} as h from counted, crc_steps),
+kept as (select case when h % 31 = 0 then substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) else run end as word, n from hashed),
+words as (select word, cast(sum(n) as bigint) as n from kept where length(word) >= 7 group by word having sum(n) >= 2),
+less as (select word, i, substr(word, 1, i) || substr(word, i + 2) as rest from (select word, unnest(range(length(word))) as i from words)),
+pairs as (select a.word, b.word as near from less a join less b on a.i = b.i and a.rest = b.rest and a.word <> b.word
+union select less.word, words.word from less join words on rest = words.word union select words.word, less.word from less join words on rest = words.word),
+best as (select pairs.word, count(*) as n_near, arg_min(near, (-o.n, near)) as near, max(o.n) as near_n from pairs join words o on o.word = near group by pairs.word),
+formed as (select words.word, n, coalesce(n_near, 0) as n_near, case when near_n >= 10 * n then near end as form, case when near_n >= 10 * n then near_n end as form_n from words left join best using (word)),
+led as (select word, word as root, form as further from formed union all select led.word, led.further, formed.form from led join formed on formed.word = led.further)
+select word, form, root, n, n_near, form_n from formed join (select word, root from led where further is null) using (word)"""

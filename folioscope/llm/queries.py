@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import bpe, decontaminate, imatch, neardup, oracles, pii, quality, sharding, tokenfiles, toxicity, urls
+from folioscope.llm import bpe, decontaminate, imatch, neardup, oracles, pii, quality, resampling, sharding, tokenfiles, toxicity, urls, variants
 from folioscope.llm.common import table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -83,6 +83,16 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents drawn towards the benchmark's texts: doc_id, n_features, weight, score, rank. Odd rows: as ``resampling`` defines them."""
+    return resampling.resample(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "text"))
+
+
+def op12_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spelling variants: word, form, root, n, n_near, form_n. Odd rows: as ``variants`` defines them."""
+    return variants.group_variants(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -100,7 +110,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontaminate": op8_decontaminate,
     "op9_pii": op9_pii,
     "op10_sharding": op10_sharding,
+    "op11_resampling": op11_resampling,
+    "op12_variants": op12_variants,
     "pipeline": pipeline,
 }
 
-ORACLE_SQL: dict[str, str] = {"op1_neardup": oracles.OP1_NEARDUP, "op8_decontaminate": oracles.OP8_DECONTAMINATE}
+ORACLE_SQL: dict[str, str] = {
+    "op1_neardup": oracles.OP1_NEARDUP,
+    "op8_decontaminate": oracles.OP8_DECONTAMINATE,
+    "op11_resampling": oracles.OP11_RESAMPLING,
+    "op12_variants": oracles.OP12_VARIANTS,
+}
