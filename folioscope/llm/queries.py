@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import bpe, decontaminate, imatch, neardup, oracles, pii, quality, resampling, sharding, tokenfiles, toxicity, urls, variants
+from folioscope.llm import bpe, decontaminate, imatch, mixing, neardup, oracles, pii, quality, resampling, sharding, tokenfiles, toxicity, urls, variants
 from folioscope.llm.common import table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -93,6 +93,11 @@ def op12_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants.group_variants(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op13_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mix: doc_id, size, source_size, target, copies, taken. Odd rows: as ``mixing`` defines them."""
+    return mixing.mix(table(spark, sf_dir, "documents", "doc_id", "source", "text"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -112,6 +117,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_sharding": op10_sharding,
     "op11_resampling": op11_resampling,
     "op12_variants": op12_variants,
+    "op13_mixing": op13_mixing,
     "pipeline": pipeline,
 }
 
