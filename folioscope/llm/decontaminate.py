@@ -10,7 +10,7 @@ there are at most ``SPAN`` - 1 lengths of those.
 Candidates are joined with the written table of the items' windows, by hash and by spelling: Spark
 broadcasts that table while it is small and sorts and splits both sides when it isn't. Only what
 may be among the items' fingerprints and windows leaves the scan of the texts; that is told by two
-sketches of ``BITS`` bits each, whatever the size of the benchmark. A sketch only lets too much
+sketches of 2**``BITS`` bits each, whatever the size of the benchmark. A sketch only lets too much
 through, never too little.
 """
 
@@ -32,7 +32,7 @@ from folioscope.llm.words import ALNUM, grams, word_hashes
 
 K, WINDOW = 5, 6
 SPAN = K + WINDOW - 1
-#: A sketch is 2**BITS bits: 2 MB.
+#: A sketch has 2**BITS bits, 2 MB, unless a caller wants another size.
 BITS = 24
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -61,14 +61,15 @@ def window_at(words: list[bytes], at: int, size: int) -> str:
 
 
 class Sketch(NamedTuple):
-    """The lengths of the items' windows, and packed bits of fingerprints and of windows."""
+    """The lengths of the items' windows, and 2**bits packed bits of fingerprints and of windows."""
 
+    bits: int
     sizes: tuple[int, ...]
     prints: bytes
     windows: bytes
 
     def may_have(self, part: str, hashes: np.ndarray) -> np.ndarray:
-        place = hashes >> np.uint64(64 - BITS)
+        place = hashes >> np.uint64(64 - self.bits)
         byte = _unpacked(getattr(self, part))[(place >> np.uint64(3)).astype(np.int64)]
         return (byte >> (place & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
 
@@ -159,18 +160,18 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([item] * len(rows), pa.string()), pa.array(sizes, pa.int32()), pa.array(codes, pa.int64()), pa.array(spelt, pa.string())], ["item", "size", "hash", "window"])
 
 
-def indexed(benchmark: DataFrame, space: Workspace, id_col: str, text_col: str) -> tuple[DataFrame, Sketch]:
+def indexed(benchmark: DataFrame, space: Workspace, id_col: str, text_col: str, bits: int = BITS) -> tuple[DataFrame, Sketch]:
     """The written table (item, size, hash, window) of a benchmark, and its sketch."""
     rows = benchmark.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("item"), F.col(text_col).alias("text")).where("text is not null")
     table = space.stash(rows.mapInArrow(_windows, "item string, size int, hash long, window string"), "windows")
     sizes = tuple(sorted(r[0] for r in table.where("size > 0").select("size").distinct().collect()))  # SPAN of them at most
-    place = F.shiftrightunsigned("hash", 64 - BITS)
+    place = F.shiftrightunsigned("hash", 64 - bits)
     words = table.groupBy((F.col("size") == 0).alias("print"), F.shiftright(place, 6).alias("at"))
-    bits = {True: np.zeros(1 << (BITS - 6), np.int64), False: np.zeros(1 << (BITS - 6), np.int64)}
-    for r in words.agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(hash, {64 - BITS}) & 63 as int))")).alias("bits")).collect():  # 2**(BITS - 5) rows at most
-        bits[r["print"]][r["at"]] = r["bits"]
-    packed = {k: zlib.compress(v.tobytes(), 1) for k, v in bits.items()}
-    return table.where("size > 0"), Sketch(sizes, packed[True], packed[False])
+    filled = {True: np.zeros(1 << max(bits - 6, 0), np.int64), False: np.zeros(1 << max(bits - 6, 0), np.int64)}
+    for r in words.agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(hash, {64 - bits}) & 63 as int))")).alias("bits")).collect():  # 2**(bits - 5) rows at most
+        filled[r["print"]][r["at"]] = r["bits"]
+    packed = {k: zlib.compress(v.tobytes(), 1) for k, v in filled.items()}
+    return table.where("size > 0"), Sketch(bits, sizes, packed[True], packed[False])
 
 
 def _hits(found: DataFrame, windows: DataFrame) -> DataFrame:
@@ -179,7 +180,7 @@ def _hits(found: DataFrame, windows: DataFrame) -> DataFrame:
     return each.join(windows.select("size", "hash", "window").distinct(), ["size", "hash", "window"], "left_semi")
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", bits: int = BITS) -> DataFrame:
     """One row for each row of ``docs``: what it shares with the benchmark's items.
 
     Words: runs of ASCII letters and digits and of all characters beyond ASCII, A-Z as a-z. A
@@ -192,7 +193,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     long texts are read in pieces, with their windows across pieces.
     """
     space = Workspace(docs.sparkSession, "decontaminate")
-    windows, sketch = indexed(benchmark, space, item_col, item_text_col)
+    windows, sketch = indexed(benchmark, space, item_col, item_text_col, bits)
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     # the row numbers are written with the candidates: from here on they are fixed
     scanned = space.stash(rows.mapInArrow(functools.partial(_scan, sketch), f"row long, doc_id long, n_words long, found {FOUND}"), "scanned")
@@ -214,14 +215,16 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     return out.withColumn("contaminated", F.col("n_hit") > 0).withColumnRenamed("doc_id", id_col)
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", bits: int = BITS) -> DataFrame:
     """The rows of ``docs``, whole, that hold no window of an item; nulls, empty texts and repeats too.
 
+    Very long texts are read whole, an empty table gives an empty one.
+
     Texts without a candidate window pass as they are read; only those with one are written apart
     and joined, so no other text is shuffled. Columns may have any names.
     """
     space = Workspace(docs.sparkSession, "decontaminate")
-    windows, sketch = indexed(benchmark, space, item_col, item_text_col)
+    windows, sketch = indexed(benchmark, space, item_col, item_text_col, bits)
     found = F.arrow_udf(lambda column: pa.array(_found(sketch, column)[1], _FOUND), FOUND)(F.col(text_col))
     doubtful = docs.select(F.struct(*docs.columns).alias("kept"), found.alias("found")).where("size(found) > 0")
     doubtful = space.stash(doubtful.withColumn("row", F.monotonically_increasing_id()), "doubtful")

@@ -380,12 +380,11 @@ def test_op8_against_all_windows(spark):
 
 def test_op8_full_sketch_and_shuffled_join(spark, monkeypatch):
     """A sketch too small to tell anything lets all through, and nothing is broadcast: the same rows."""
-    monkeypatch.setattr(decontaminate, "BITS", 8)
     monkeypatch.setattr(decontaminate.Workspace, "stash", lambda self, df, name, own=decontaminate.Workspace.stash: own(self, df, name).hint("merge"))
     bench = items()
     rows = [(k, " ".join((bench[k % 4][1] + " " + bench[(k + 1) % 4][1]).split()[k:])) for k in range(20)] + [(99, None)]
     want = brute.contamination([t for _, t in rows], bench)
-    got = decontaminate.decontaminate(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string"))
+    got = decontaminate.decontaminate(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string"), bits=8)
     got = {q["doc_id"]: tuple(q)[1:5] for q in got.collect()}
     assert [got[k] for k, _ in rows] == want
 
