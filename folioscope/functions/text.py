@@ -13,30 +13,53 @@ FOLDED = {"ß": "ss", "ς": "σ", "ſ": "s", "ŉ": "ʼn", "ﬀ": "ff", "ﬁ": "f
 
 
 def fold(c: Column) -> Column:
-    """Case folding for search: small letters, and those that fold to others or to several."""
-    out = F.lower(c)
-    for letter, folded in FOLDED.items():
-        out = F.replace(out, F.lit(letter), F.lit(folded))
-    return out
+    """Case folding for search: small letters, and those that fold to others or to several.
 
+    The small letters are bound once; the replacements run only where one of the letters occurs.
+    """
+    single = {letter: to for letter, to in FOLDED.items() if len(to) == 1}
+    several = {letter: to for letter, to in FOLDED.items() if len(to) > 1}
 
-def context_hash(name: Column) -> Column:
-    """The 32-bit hash that names a topic: h = 43 h + t(c), modulo 2**32; 1 for an empty name.
+    def spelled_out(low: Column) -> Column:
+        out = low
+        for letter, to in several.items():
+            out = F.replace(out, F.lit(letter), F.lit(to))
+        return F.when(low.rlike(f"[{''.join(several)}]"), out).otherwise(low)
 
-    The weight t(c) of a character follows its code; characters beyond 255 don't count.
-    """
+    low = F.translate(F.lower(c), "".join(single), "".join(single.values()))
+    return F.element_at(F.transform(F.array(low), spelled_out), 1)
+
+
+def _weights(name: Column) -> Column:
+    """What each character of a name adds to its hash; characters beyond 255 don't count."""
     code = lambda c: F.ascii(c).cast("long")
 
     def weight(c: Column) -> Column:
         special = F.when(c == 0, 0).when(c == 0x21, 11).when(c == 0x2E, 12).when(c == 0x30, 10).when(c == 0x5F, 13).when(c == 0xB4, 11)
         return special.when(c <= 0x5A, c - 48).when(c <= 0x7F, c - 80).when(c <= 0xAF, c - 48).otherwise(c - 304)
 
-    letters = F.transform(F.split(name, ""), code)
-    known = F.filter(letters, lambda c: c < 256)
-    folded = F.aggregate(known, F.lit(0).cast("long"), lambda h, c: F.pmod(h * 43 + weight(c), F.lit(1 << 32)))
+    return F.transform(F.filter(F.transform(F.split(name, ""), code), lambda c: c < 256), weight)
+
+
+def context_hash(name: Column) -> Column:
+    """The 32-bit hash that names a topic: h = 43 h + t(c), modulo 2**32; 1 for an empty name.
+
+    The weight t(c) of a character follows its code; characters beyond 255 don't count.
+    """
+    folded = F.aggregate(_weights(name), F.lit(0).cast("long"), lambda h, w: F.pmod(h * 43 + w, F.lit(1 << 32)))
     return F.when(name == "", F.lit(1).cast("long")).otherwise(folded)
 
 
+def hash_and_power(name: Column) -> Column:
+    """``h``, the hash of a part of a name (0 if empty), ``p``, 43 to the number of its characters modulo 2**32, and that number ``n``.
+
+    A name's hash is that of its first part times ``p`` of its second plus that one's hash.
+    """
+    start = F.struct(F.lit(0).cast("long").alias("h"), F.lit(1).cast("long").alias("p"), F.lit(0).alias("n"))
+    parts = F.when(name == "", F.array().cast("array<bigint>")).otherwise(_weights(name))
+    return F.aggregate(parts, start, lambda a, w: F.struct(F.pmod(a["h"] * 43 + w, F.lit(1 << 32)).alias("h"), F.pmod(a["p"] * 43, F.lit(1 << 32)).alias("p"), (a["n"] + 1).alias("n")))
+
+
 def reverse_hash(h: int) -> str:
     """The shortest name over 1-9 0 . _ A-Z with a hash, by trying the lost high words."""
     h &= 0xFFFFFFFF
@@ -72,20 +95,32 @@ def reverse_hashes(df: DataFrame, hash_col: str, out: str) -> DataFrame:
 PREFIXES = ("", "idh_", "IDH_", "hid_", "HID_", "helpid_", "id_", "topic_", "ctx_")
 
 
+def hash_of(name: str) -> int:
+    """The hash of a name in plain Python, for the few that the library itself states."""
+    h = 0
+    for c in map(ord, name):
+        special = {0: 0, 0x21: 11, 0x2E: 12, 0x30: 10, 0x5F: 13, 0xB4: 11}
+        if c < 256:
+            h = (h * 43 + special.get(c, c - 48 if c <= 0x5A or 0x7F < c <= 0xAF else c - 80 if c <= 0x7F else c - 304)) % (1 << 32)
+    return h
+
+
 def names_from_titles(titles: DataFrame, hash_col: str, title_col: str, out: str) -> DataFrame:
     """Each hash with the first name made from its title that has this hash, null where none has.
 
     Names: a prefix and the title's words, joined by nothing or by a low line, with and without
-    each number of words left out at the end; compared by hash, with no candidate left out.
+    each number of words left out at the end; compared by hash, with no candidate left out. Each
+    spelling of the words is hashed once; a prefix adds its own hash times 43 to their length.
     """
     words = F.filter(F.split(F.col(title_col), "[^A-Za-z0-9.]+"), lambda w: w != "")
     shorter = F.transform(F.sequence(F.size(words), F.lit(1), F.lit(-1)), lambda n: F.slice(words, 1, n))
     bodies = F.flatten(F.transform(shorter, lambda w: F.array(F.array_join(w, ""), F.array_join(w, "_"))))
-    prefixed = lambda p: F.transform(bodies, lambda b: F.concat(F.lit(p), b))
-    names = F.flatten(F.array(*map(prefixed, PREFIXES)))
-    made = titles.select(hash_col, title_col, F.posexplode(F.when(F.size(words) > 0, names)).alias("_at", "_name"))
-    right = made.where(context_hash(F.col("_name")) == F.col(hash_col))
-    found = right.groupBy(hash_col, title_col).agg(F.min_by("_name", "_at").alias(out))
+    made = titles.select(hash_col, title_col, F.posexplode(F.when(F.size(words) > 0, bodies)).alias("_at", "_body")).withColumn("_b", hash_and_power(F.col("_body")))
+    signed = lambda h: h - (1 << 32) if h >= 1 << 31 else h
+    whole = lambda p: F.pmod(F.pmod(F.col("_b.p") * F.lit(signed(hash_of(p))), F.lit(1 << 32)) + F.col("_b.h"), F.lit(1 << 32))
+    hit = [F.when(whole(p) == F.col(hash_col), F.struct(F.lit(k).alias("k"), F.col("_at").alias("at"), F.concat(F.lit(p), "_body").alias("name"))) for k, p in enumerate(PREFIXES)]
+    right = made.select(hash_col, title_col, F.coalesce(*hit).alias("_hit")).where("_hit is not null")
+    found = right.groupBy(hash_col, title_col).agg(F.min("_hit")["name"].alias(out))
     return titles.join(found, [hash_col, title_col], "left")
 
 

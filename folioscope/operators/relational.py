@@ -48,20 +48,6 @@ def asof_join(probes: DataFrame, starts: DataFrame, by: list[str], at: str, star
     return found.select("_own.*", *(F.col("_found")[c].alias(c) for c in carry))
 
 
-def interval_join(points: DataFrame, ranges: DataFrame, at: str, low: str, high: str, carry: str, order: str, width: int = 256) -> DataFrame:
-    """Each point with ``carry`` of the last range (by ``order``) that holds it, null where none does.
-
-    Ranges are laid over the buckets that they touch, which makes the join an equi-join. Points
-    that are equal in all columns each have their row.
-    """
-    laid = ranges.withColumn("_bucket", F.explode(F.sequence(F.floor(F.col(low) / width), F.floor(F.col(high) / width))))
-    laid = laid.select("_bucket", F.col(low).alias("_low"), F.col(high).alias("_high"), F.struct(order, carry).alias("_r"))
-    keyed = points.withColumns({"_bucket": F.floor(F.col(at) / width), "_row": F.monotonically_increasing_id()})
-    inside = (F.col(at) >= F.col("_low")) & (F.col(at) <= F.col("_high"))
-    found = keyed.join(laid, (keyed["_bucket"] == laid["_bucket"]) & inside, "left")
-    return found.groupBy(*points.columns, "_row").agg(F.max("_r")[carry].alias(carry)).drop("_row")
-
-
 def first_wins(df: DataFrame, keys: list[str], value: str, order: Column) -> DataFrame:
     return df.groupBy(*keys).agg(F.min_by(value, order).alias(value))
 
@@ -92,24 +78,6 @@ def zip_by_position(left: DataFrame, right: DataFrame, order: str = "ord") -> Da
     return left.join(right, order, "left")
 
 
-def sequence_of(edges: DataFrame, rounds: int = 32) -> DataFrame:
-    """Chains from (node, next) links: each node's first node and its number in the chain.
-
-    Pointer doubling: a chain of n nodes takes log2 n rounds. A cycle has no first node and is left
-    out. Each round is checkpointed in the folder that ``spark.checkpoint.dir`` names.
-    """
-    nodes = edges.select(F.col("next").alias("node"), F.col("node").alias("up")).where("node is not null and up is not null")
-    everyone = edges.select("node").union(nodes.select("node")).distinct()
-    now = everyone.join(nodes, "node", "left").select("node", F.coalesce("up", "node").alias("up"), F.when(F.col("up").isNull(), 0).otherwise(1).cast("long").alias("steps"))
-    roots = now.where("steps = 0").select(F.col("node").alias("root"))
-    for _ in range(rounds):
-        up = now.select(F.col("node").alias("up"), F.col("up").alias("far"), F.col("steps").alias("more"))
-        now = now.join(up, "up").select("node", F.col("far").alias("up"), (F.col("steps") + F.col("more")).alias("steps")).checkpoint()
-        if not now.join(roots, now["up"] == roots["root"], "left_anti").limit(1).count():
-            break
-    return now.join(roots, now["up"] == roots["root"]).select("node", F.col("up").alias("first"), F.col("steps").alias("number"))
-
-
 def numbered(df: DataFrame, order: list[str], out: str) -> DataFrame:
     """Each row's place in the whole table's order, from 0: ranges are numbered alone, after the rows of the ranges before.
 

@@ -7,16 +7,24 @@ from pyspark.sql import functions as F
 
 from folioscope.functions.text import context_hash, fold
 from folioscope.operators.relational import asof_join
+from folioscope.sources.scratch import stash
 
-MACRO = r"(?s)^\s*([A-Za-z][A-Za-z0-9]*)\s*\((.*)\)\s*$"
+#: The macros that navigate, and what begins a reference into another file or window.
 NAVIGATION = ("jumpid", "popupid", "jumpcontext", "alink", "klink")
 ELSEWHERE = "^(topic_offset|file|window|window_number):"
+#: A macro's name, and all between its first and its last bracket.
+NAME, BRACKETS = r"^\s*(\w+)\s*\(", r"(?s)\((.*)\)"
 
 
 def arguments(text: Column) -> Column:
-    """The arguments of a macro: cut at commas outside double quotes, which are taken off."""
-    cut = F.regexp_extract_all(text, F.lit(r'\s*("(?:[^"]|"")*"|[^,]*)(?:,|$)'), F.lit(1))
-    bare = F.transform(cut, lambda a: F.trim(F.when(F.startswith(a, F.lit('"')), F.replace(F.regexp_replace(a, '^"|"$', ""), F.lit('""'), F.lit('"'))).otherwise(a)))
+    """The arguments of a macro: cut at commas outside double quotes, which are taken off; a doubled quote inside is one.
+
+    Between two quotes stands every second piece; U+0001 outside quotes counts as a comma.
+    """
+    pieces = F.split(text, '"')
+    marked = F.transform(pieces, lambda p, k: F.when(k % 2 == 0, F.replace(p, F.lit(","), F.lit("\1"))).otherwise(p))
+    cut = F.transform(F.split(F.array_join(marked, '"'), "\1"), lambda a: F.trim(a))  # noqa: PLW0108 (trim takes a second argument)
+    bare = F.transform(cut, lambda a: F.when(F.startswith(a, F.lit('"')), F.replace(F.regexp_replace(a, '^"|"$', ""), F.lit('""'), F.lit('"'))).otherwise(a))
     return F.filter(bare, lambda a, k: (a != "") | (k < F.size(bare) - 1))
 
 
@@ -24,15 +32,17 @@ def resolve(targets: DataFrame, topics: DataFrame, contexts: DataFrame, index: D
     """Each row of ``targets`` (file, target, ...) with ``kind``, ``ord`` and ``choices``.
 
     ``topics``: (file, ord, topic_offset); ``contexts``: (file, hash, topic_offset); ``index``: (file,
-    keyword, ord). A hash that no context has counts as an offset. Kinds: topic or popup (one topic),
+    keyword, ord). A keyword is matched as a whole or, of "parent, label", by its label. A hash that no
+    context has counts as an offset. Kinds: topic or popup (one topic),
     choice (keyword links with several topics, counted in ``choices``, ``ord`` the least), external
     (another file, window or offset), macro (any macro that doesn't navigate; none is ever run) and
     unresolved (null and unknown targets too). Rows that are equal are resolved alike, each its own.
     """
-    rows = targets.withColumn("_row", F.monotonically_increasing_id())
-    macro = F.when(F.startswith("target", F.lit("macro:")), F.substring("target", 7, 1 << 20))
-    name = F.lower(F.regexp_extract(macro, MACRO, 1))
-    rows = rows.select("*", F.when(name.isin(*NAVIGATION), name).otherwise(F.when(macro.isNotNull(), "other")).alias("_macro"), arguments(F.regexp_extract(macro, MACRO, 2)).alias("_args"))
+    # numbered and written once: every branch below has to see the same numbers
+    rows = stash(targets.withColumn("_row", F.monotonically_increasing_id()), "targets")
+    macro = F.when(F.startswith("target", F.lit("macro:")), F.expr("substr(target, 7)"))
+    name = F.lower(F.regexp_extract(macro, NAME, 1))
+    rows = rows.select("*", F.when(name.isin(*NAVIGATION), name).otherwise(F.when(macro.isNotNull(), "other")).alias("_macro"), arguments(F.regexp_extract(macro, BRACKETS, 1)).alias("_args"))
     two = F.size("_args") > 1
     file, context = F.when(two, F.col("_args")[0]).otherwise(""), F.when(two, F.get("_args", F.lit(1))).otherwise(F.get("_args", F.lit(0)))
     jump = F.col("_macro").isin("jumpid", "popupid") & (F.size("_args") > 0)
@@ -48,7 +58,10 @@ def resolve(targets: DataFrame, topics: DataFrame, contexts: DataFrame, index: D
     placed = asof_join(known, starts, ["file"], "_at", "_start", ["_ord"]).groupBy("_row").agg(F.min("_ord").alias("_placed"))
     counted = rows.where("_number is not null").select("file", "_row", F.col("_number").alias("ord")).join(topics.select("file", "ord"), ["file", "ord"]).select("_row", F.col("ord").alias("_counted"))
     wanted = rows.where(F.col("_macro").isin("alink", "klink")).select("file", "_row", F.explode(F.array_distinct(F.transform(F.split(F.get("_args", F.lit(0)), ";"), lambda w: fold(F.trim(w))))).alias("_word")).where("_word <> ''")
-    linked = wanted.join(index.select("file", fold(F.col("keyword")).alias("_word"), "ord"), ["file", "_word"]).groupBy("_row").agg(F.count_distinct("ord").alias("_n"), F.min("ord").alias("_linked"))
+    whole = fold(F.col("keyword"))
+    spelled = F.array_distinct(F.array(whole, F.trim(F.regexp_extract(whole, "(?s)^[^,]*,(.*)$", 1))))
+    entries = index.select("file", F.explode(spelled).alias("_word"), "ord").where("_word <> ''")
+    linked = wanted.join(entries, ["file", "_word"]).groupBy("_row").agg(F.count_distinct("ord").alias("_n"), F.min("ord").alias("_linked"))
     out = rows.join(placed, "_row", "left").join(counted, "_row", "left").join(linked, "_row", "left")
     found = F.coalesce("_counted", "_placed", "_linked")
     kind = (

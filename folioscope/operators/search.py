@@ -2,22 +2,25 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioscope.functions.text import fold
 from folioscope.operators.relational import WIDTH
-from folioscope.sources.scratch import stash
 
 HREF = r'<a [^>]*href="([^"]*)"'
 
 
 def all_terms(hay: Column, query: str) -> Column:
-    """Whether every word of the query is a substring, whatever the case; an empty query fits all."""
-    found = F.lit(True)
-    for term in query.casefold().split():
-        found = found & F.contains(fold(hay), F.lit(term))
-    return found
+    """Whether every word of the query is a substring, whatever the case; an empty query fits all.
+
+    The text is folded once for all words.
+    """
+    terms = query.casefold().split()
+    has_all = lambda h: reduce(lambda a, b: a & b, (F.contains(h, F.lit(t)) for t in terms))
+    return F.exists(F.array(fold(hay)), has_all) if terms else F.lit(True)
 
 
 def prefix_else_contains(df: DataFrame, column: str, text: str, limit: int, *order: str) -> DataFrame:
@@ -80,12 +83,6 @@ def split_reference(target: Column) -> tuple[Column, Column, Column]:
     return tuple(F.regexp_extract(target, pattern, k) for k in (1, 2, 3))
 
 
-def navigation_macro(text: Column) -> tuple[Column, Column]:
-    """The name and arguments of an allowed navigation macro; any other stays a macro, never run."""
-    pattern = r"(?i)^\s*(JumpID|PopupID|JumpContext|ALink|KLink)\s*\(([^)]*)\)\s*$"
-    return F.nullif(F.lower(F.regexp_extract(text, pattern, 1)), F.lit("")), F.regexp_extract(text, pattern, 2)
-
-
 def dangling(links_: DataFrame, known: DataFrame, target: str) -> DataFrame:
     """Links whose target nothing has."""
     return links_.join(known.select(F.col(target)).distinct(), target, "left_anti")
@@ -125,19 +122,3 @@ def contents_parent(df: DataFrame, by: list[str], order: str, level: str) -> Dat
     found = cut.withColumns({f"_in{k}": at(k).over(inside) for k in range(LEVELS)}).join(tops, [*by, "_bucket"])
     last = [F.when(F.lit(k) < F.col(level), F.coalesce(f"_in{k}", f"_{k}")) for k in range(LEVELS)]
     return found.select(*df.columns, F.greatest(*last).alias("parent"))
-
-
-def set_cover(pairs: DataFrame, cost: DataFrame) -> DataFrame:
-    """Greedy weighted cover: (round, key, new) of the keys of (key, item) that together have all items.
-
-    Each round takes the key with the most items not had yet for its ``cost`` (ties: the least
-    key). Items and keys stay in Spark, what is open is written each round; the driver sees one key
-    a round. Rounds are as many as keys chosen. A key without a cost, or one of 0, costs 1.
-    """
-    open_, chosen = stash(pairs.dropna().distinct(), "cover"), []
-    price = F.coalesce(F.nullif(F.col("cost"), F.lit(0)), F.lit(1))
-    while top := open_.groupBy("key").agg(F.count("*").alias("new")).join(cost, "key", "left").orderBy(F.desc(F.col("new") / price), "key").first():
-        chosen.append((len(chosen), top["key"], top["new"]))
-        had = open_.where(F.col("key") == top["key"]).select("item")
-        open_ = stash(open_.join(had, "item", "left_anti"), "cover")
-    return pairs.sparkSession.createDataFrame(chosen, f"round int, key {pairs.schema['key'].dataType.simpleString()}, new long")

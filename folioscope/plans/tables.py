@@ -7,35 +7,47 @@ from pyspark.sql import functions as F
 
 from folioscope.functions.text import context_hash, html_escape, names_from_titles, reverse_hashes
 from folioscope.operators import relational as R
-from folioscope.operators import search as S
+from folioscope.operators.cover import cover_in_rounds
 from folioscope.queries import HASH_SQL, TARGETS, _targets, read, registry
 
 QUERIES, ORACLE_SQL, query = registry()
 
-LINKS_SQL = """(select page_id, cast(ord - 1 as integer) as ord, target from (select page_id, unnest(l) as target, generate_subscripts(l, 1) as ord from (select page_id, regexp_extract_all(html, '<a [^>]*href="([^"]*)"', 1) l from pages)))"""
+SPOTS_SQL = f"select l_orderkey, l_linenumber, target, case when starts_with(target, 'macro:') then 'macro' when starts_with(target, 'popup:') then 'popup' when contains(target, '@') then 'external' else 'jump' end as type from (select l_orderkey, l_linenumber, {TARGETS} as target from (select *, lpad(to_hex(l_partkey), 8, '0') as hex_ from lineitem))"
 
 
-@query(f"""select * from (select page_id, ord, case when starts_with(target, '/') then 'jump' when starts_with(target, '#') then 'popup' else 'external' end as type, target from {LINKS_SQL}) where type in ('jump', 'popup')""")
+def hotspots(spark, sf_dir) -> DataFrame:
+    """Targets of line items as hotspots with their type."""
+    kind = F.when(F.startswith("target", F.lit("macro:")), "macro").when(F.startswith("target", F.lit("popup:")), "popup").when(F.contains("target", F.lit("@")), "external").otherwise("jump")
+    return _targets(spark, sf_dir).select("l_orderkey", "l_linenumber", "target", kind.alias("type"))
+
+
+@query(f"""select * from ({SPOTS_SQL}) where type = 'popup'""")
 def hotspots_by_type(spark, sf_dir):
-    kind = F.when(F.startswith("target", F.lit("/")), "jump").when(F.startswith("target", F.lit("#")), "popup").otherwise("external")
-    found = S.links(read(spark, sf_dir, "pages"), "page_id", "html").select("page_id", "ord", kind.alias("type"), "target")
-    return found.where(F.col("type").isin("jump", "popup"))
+    return hotspots(spark, sf_dir).where("type = 'popup'")
+
 
+@query(f"""select * from ({SPOTS_SQL}) where type in ('jump', 'popup', 'external')""")
+def hyperlinks(spark, sf_dir):
+    """Hotspots that lead to a place: all but macros."""
+    return hotspots(spark, sf_dir).where(F.col("type").isin("jump", "popup", "external"))
 
-@query("""with m as (select event_id, case when event_id % 3 > 0 then event_type || ':left:bm' || user_id else event_type end as marker from events)
+
+@query("""with m as (select event_id, event_type || case when value < 50 then ':left:bm' else ':right:bm' end || user_id as marker from events)
 select event_id, regexp_extract(marker, '^([^:]*):([^:]*):(.*)$', 1) as kind, regexp_extract(marker, '^([^:]*):([^:]*):(.*)$', 2) as align, regexp_extract(marker, '^([^:]*):([^:]*):(.*)$', 3) as name from m where contains(marker, ':')""")
 def embedded_resources(spark, sf_dir):
-    marker = F.when(F.col("event_id") % 3 > 0, F.concat("event_type", F.lit(":left:bm"), "user_id")).otherwise(F.col("event_type"))
+    """Markers of embedded pictures taken apart: each event has one."""
+    marker = F.concat("event_type", F.when(F.col("value") < 50, F.lit(":left:bm")).otherwise(F.lit(":right:bm")), F.col("user_id").cast("string"))
     marked = read(spark, sf_dir, "events").select("event_id", marker.alias("marker")).where(F.contains("marker", F.lit(":")))
     part = lambda k: F.regexp_extract("marker", "^([^:]*):([^:]*):(.*)$", k)
     return marked.select("event_id", part(1).alias("kind"), part(2).alias("align"), part(3).alias("name"))
 
 
-@query("""select event_id, 'bm' || n_nationkey as picture, n_name as title from events join nation on user_id % 40 = n_nationkey""")
+@query("""select c_custkey, 'bm' || n_nationkey as picture, n_name as title from customer join nation on 'bm' || c_nationkey = 'bm' || n_nationkey""")
 def images_to_pictures(spark, sf_dir):
-    images = read(spark, sf_dir, "events").select("event_id", F.concat(F.lit("bm"), (F.col("user_id") % 40).cast("string")).alias("picture"))
+    """Images to the pictures that they name, by name."""
+    images = read(spark, sf_dir, "customer").select("c_custkey", F.concat(F.lit("bm"), F.col("c_nationkey").cast("string")).alias("picture"))
     pictures = read(spark, sf_dir, "nation").select(F.concat(F.lit("bm"), F.col("n_nationkey").cast("string")).alias("picture"), F.col("n_name").alias("title"))
-    return images.join(pictures, "picture").select("event_id", "picture", "title")
+    return images.join(pictures, "picture").select("c_custkey", "picture", "title")
 
 
 @query("""select l_partkey as keyword_no, count(*) as entries from lineitem where l_linenumber = 3 group by all""")
@@ -136,12 +148,19 @@ def macro_syntax(spark, sf_dir):
     return _targets(spark, sf_dir).select("l_orderkey", "l_linenumber", F.replace("target", F.lit("macro:"), F.lit("")).rlike(MACRO).alias("valid"))
 
 
-@query(f"""select p_partkey, {HASH_SQL.format('p_name')} as hash, true as same from part""")
+#: A hash written in base 43, for each of 43 lost high words: the first whose digits all are letters of names.
+INVERTED_SQL = f"""h as (select distinct {HASH_SQL.format("p_name")} as hash from part),
+digits as (select hash, high, list_transform(range(9), lambda i: cast((cast(high as hugeint) * 4294967296 + hash) // cast(power(43, i) as hugeint) % 43 as integer)) as low_first, cast(high as hugeint) * 4294967296 + hash as x from h, (select unnest(range(43)) as high)),
+used as (select hash, high, low_first[1 : (select count(*) from range(9) r(i) where power(43, i) <= x)] as ds from digits where x > 0),
+spelt as (select hash, high, list_reduce(list_prepend('', list_transform(ds, lambda d: case when d between 1 and 9 then chr(48 + d) when d = 10 then '0' when d = 12 then '.' when d = 13 then '_' when d between 17 and 42 then chr(48 + d) else ' ' end)), lambda a, b: b || a) as name from used),
+inverted as (select hash, arg_min(name, high) as name from spelt where not contains(name, ' ') and name <> '' group by hash)"""
+
+
+@query(f"""with {INVERTED_SQL} select p_partkey, hash, case when hash = 1 then '' else coalesce(name, 'CTX_' || lpad(upper(to_hex(hash)), 8, '0')) end as name from (select p_partkey, {HASH_SQL.format("p_name")} as hash from part) left join inverted using (hash)""")
 def reversed_hashes(spark, sf_dir):
-    """A name for each hash, made without a dictionary, has that hash again."""
+    """A name for each hash, made without a dictionary; the SQL inverts the hash by itself."""
     wanted = read(spark, sf_dir, "part").select("p_partkey", context_hash(F.col("p_name")).alias("hash"))
-    found = reverse_hashes(wanted, "hash", "name")
-    return found.select("p_partkey", "hash", (F.startswith("name", F.lit("CTX_")) | (context_hash(F.col("name")) == F.col("hash"))).alias("same"))
+    return reverse_hashes(wanted, "hash", "name").select("p_partkey", "hash", "name")
 
 
 @query("""select p_partkey, 'idh_' || replace(p_name, ' ', '_') as name from part""")
@@ -165,20 +184,38 @@ def html_tables(spark, sf_dir):
     return read(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.concat(F.lit("<table>"), F.array_join(rows, ""), F.lit("</table>")).alias("html"))
 
 
-@query("""with f as (select page_id, regexp_extract(url, '^(.*/)', 1) as dir, lower(regexp_extract(url, '([^/?#]*)([?#].*)?$', 1)) as name from pages)
-select a.page_id, b.page_id as sibling from f a join f b on a.dir = b.dir and a.page_id <> b.page_id""")
+FILES_SQL = """with f as (select page_id, regexp_extract(url, '^([^?#]*/)', 1) as dir, regexp_extract(url, '^[^?#]*/([^/?#]*)', 1) as name from pages)"""
+
+
+@query(f"""{FILES_SQL}, n as (select dir, name, count(*) as pages, min(page_id) as page_id from f group by all),
+p as (select *, (row_number() over (partition by dir order by page_id) - 1) // 32 as part from n)
+select dir, part, count(*) as files, string_agg(name, ',' order by page_id) as names from p group by dir, part""")
 def sibling_files(spark, sf_dir):
-    """Files of one folder, by name whatever the case."""
-    files = read(spark, sf_dir, "pages").select("page_id", F.regexp_extract("url", "^(.*/)", 1).alias("dir"))
-    other = files.select("dir", F.col("page_id").alias("sibling"))
-    return files.join(other, "dir").where("page_id <> sibling").select("page_id", "sibling")
+    """The files of each folder in lists of at most 32: what a file finds beside it, without a row for each pair."""
+    files = _files(spark, sf_dir).groupBy("dir", "name").agg(F.min("page_id").alias("page_id"))
+    files = R.running_total(files.withColumn("_one", F.lit(1)), ["dir"], "page_id", "_one", "_place")
+    listed = F.transform(F.sort_array(F.collect_list(F.struct("page_id", "name"))), lambda x: x["name"])
+    return files.groupBy("dir", F.expr("_place div 32").alias("part")).agg(F.count("*").alias("files"), F.array_join(listed, ",").alias("names"))
+
+
+def _files(spark, sf_dir) -> DataFrame:
+    return read(spark, sf_dir, "pages").select("page_id", F.regexp_extract("url", "^([^?#]*/)", 1).alias("dir"), F.regexp_extract("url", "^[^?#]*/([^/?#]*)", 1).alias("name"))
+
+
+@query(f"""{FILES_SQL}, w as (select page_id, regexp_extract(dir, '^(https?://[^/]*/)', 1) || 'en/' as dir, lower(name) as wanted from f), k as (select dir, lower(name) as wanted, min(page_id) as sibling from f group by all)
+select w.page_id, w.wanted, sibling from w left join k using (dir, wanted)""")
+def sibling_by_name(spark, sf_dir):
+    """The file of a wanted name in a folder, whatever the case, the first of several; null where there is none."""
+    files = _files(spark, sf_dir)
+    wanted = files.select("page_id", F.concat(F.regexp_extract("dir", "^(https?://[^/]*/)", 1), F.lit("en/")).alias("dir"), F.lower("name").alias("wanted"))
+    known = files.groupBy("dir", F.lower("name").alias("wanted")).agg(F.min("page_id").alias("sibling"))
+    return wanted.join(known, ["dir", "wanted"], "left").select("page_id", "wanted", "sibling")
 
 
 @query(None)
 def cover_of_signatures(spark, sf_dir):
-    """Files (suppliers) that together have all kinds of parts that any has, chosen greedily by new kinds a byte."""
-    items = read(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("key"), F.col("l_partkey").alias("_p"), F.lit(1).alias("_n"))
-    parts = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("_p"), F.concat_ws(" ", "p_brand", "p_type").alias("item"))
-    pairs = items.join(parts, "_p").select("key", "item").distinct()
-    cost = items.groupBy("key").agg(F.count("*").alias("cost"))
-    return S.set_cover(pairs, cost)
+    """Files (suppliers) that together have all signatures that any has (kinds of parts by line and status), chosen by new ones a byte, in few rounds."""
+    part = read(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_type")
+    items = read(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("key"), F.col("l_partkey").alias("p_partkey"), "l_linenumber", "l_returnflag")
+    pairs = items.join(part, "p_partkey").select("key", F.concat_ws(" ", "p_brand", "p_type", F.col("l_linenumber").cast("string"), "l_returnflag").alias("item"))
+    return cover_in_rounds(pairs.distinct(), items.groupBy("key").agg(F.count("*").alias("cost")))

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from folioscope.functions.text import context_hash, fold, html_escape, label, rtf_escape, safe_name
 from folioscope.operators import relational as R
 from folioscope.operators import search as S
+from folioscope.operators.intervals import covering, in_rectangles
 
 def registry():
     """A table of queries, one of SQL, and a decorator that enters a query and its SQL (or None) in them."""
@@ -91,7 +92,7 @@ def interval_group_join(spark, sf_dir):
     step = (docs.agg(F.max("doc_id")).first()[0] or 0) // 25 + 1
     low = (F.col("n_nationkey") * step).cast("long")
     ranges = read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("group_no"), low.alias("low"), (low + step * 3 // 2).alias("high"))
-    return R.interval_join(docs, ranges, "doc_id", "low", "high", "group_no", "low", width=step)
+    return covering(docs, ranges.withColumn("_order", F.col("low")), [], "doc_id", "low", "high", "group_no", "_order")
 
 
 @query(f"""{RANGES_SQL} select group_no, count(*) as topics from (select doc_id, max(n_nationkey) as group_no from documents join r on doc_id between low and high group by doc_id) group by group_no""")
@@ -296,12 +297,10 @@ def set_ops(spark, sf_dir):
 
 @query("""select p_partkey, n_nationkey from part join nation on p_partkey % 100 >= n_nationkey * 4 and p_partkey % 100 < n_nationkey * 4 + 6 and p_size >= n_regionkey * 10 and p_size < n_regionkey * 10 + 10""")
 def point_in_rect(spark, sf_dir):
-    boxes = read(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
-    # a box lies in one row of the grid of regions: that makes an equi-join of the point lookup
-    points = read(spark, sf_dir, "part").select("p_partkey", "p_size", F.floor(F.col("p_size") / 10).cast("int").alias("n_regionkey"))
-    x = F.col("p_partkey") % 100
-    inside = (x >= F.col("n_nationkey") * 4) & (x < F.col("n_nationkey") * 4 + 6)
-    return points.join(boxes, "n_regionkey").where(inside).select("p_partkey", "n_nationkey")
+    key = F.col("n_nationkey")
+    boxes = read(spark, sf_dir, "nation").select(key, (key * 4).alias("x0"), (key * 4 + 5).alias("x1"), (F.col("n_regionkey") * 10).alias("y0"), (F.col("n_regionkey") * 10 + 9).alias("y1"))
+    points = read(spark, sf_dir, "part").select("p_partkey", (F.col("p_partkey") % 100).alias("x"), F.col("p_size").alias("y"))
+    return in_rectangles(points, boxes, "x", "y", "x0", "x1", "y0", "y1").select("p_partkey", "n_nationkey")
 
 
 @query("""select o_orderkey, json_extract_string(j, '$.o_orderstatus') as status, cast(json_extract_string(j, '$.o_custkey') as bigint) as custkey from (select o_orderkey, to_json({'o_custkey': o_custkey, 'o_orderstatus': o_orderstatus}) as j from orders)""")

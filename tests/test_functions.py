@@ -5,7 +5,6 @@ from folioscope.functions import text
 from folioscope.functions.text import context_hash, html_escape, reverse_hash, rtf_escape
 from folioscope.operators import relational as R
 from folioscope.operators import search as S
-from folioscope.sources import writer
 
 VECTORS = {"": 1, "A": 0x11, "INDEX": 0x053D24A6, "CONTENTS": 0x25F4558A, "HELP": 0x001DBA49, "TEST": 0x002C4A5E}
 
@@ -44,26 +43,11 @@ def test_running_total_crosses_buckets(spark):
     assert got.where(F.col("t") != F.floor(F.col("id") / 2) * 3).count() == 0
 
 
-def test_chains(spark):
-    links = spark.createDataFrame([(1, 2), (2, 3), (3, 4), (9, 8)], "node long, next long")
-    got = {(r["node"], r["first"], r["number"]) for r in R.sequence_of(links).collect()}
-    assert got == {(1, 1, 0), (2, 1, 1), (3, 1, 2), (4, 1, 3), (9, 9, 0), (8, 9, 1)}
-
-
 def test_targets(spark):
     t = spark.createDataFrame([("macro:x()",), ("topic:TOPIC12",), ("popup:0A1b",), ("ctx>win@f.hlp",), ("topic_offset:9",), ("idh_x",)], "t string")
     assert [r[0] for r in t.select(S.resolved(F.col("t"))).collect()] == ["macro", "topic", "hash", "external", "offset", "context"]
     parts = t.where("t like 'ctx%'").select(*S.split_reference(F.col("t"))).first()
     assert tuple(parts) == ("ctx", "win", "f.hlp")
-    m = spark.createDataFrame([("JumpID(`a`,`b`)",), ("ExecFile(`calc`)",)], "m string")
-    assert [r[0] for r in m.select(S.navigation_macro(F.col("m"))[0]).collect()] == ["jumpid", None]
-
-
-def test_equal_points_keep_their_rows(spark):
-    points = spark.createDataFrame([(5,), (5,), (99,)], "p long")
-    ranges = spark.createDataFrame([(0, 9, "a"), (4, 6, "b")], "lo long, hi long, g string")
-    got = [(r["p"], r["g"]) for r in R.interval_join(points, ranges, "p", "lo", "hi", "g", "lo").collect()]
-    assert sorted(got, key=str) == [(5, "b"), (5, "b"), (99, None)]
 
 
 def test_neighbours_cross_buckets(spark):
@@ -79,16 +63,15 @@ def test_fold(spark):
 
 
 def test_names_from_titles(spark):
-    rows = [(h, t) for t, n in (("Print Dialog", "idh_PrintDialog"), ("A & B", "A_B"), ("", "x")) for h in [writer.hashed(n)]]
+    rows = [(h, t) for t, n in (("Print Dialog", "idh_PrintDialog"), ("A & B", "A_B"), ("", "x")) for h in [text.hash_of(n)]]
     got = {r["t"]: r["name"] for r in text.names_from_titles(spark.createDataFrame(rows, "h long, t string"), "h", "t", "name").collect()}
     assert got == {"Print Dialog": "idh_PrintDialog", "A & B": "A_B", "": None}
 
 
-def test_set_cover(spark):
-    pairs = spark.createDataFrame([(1, "a"), (1, "b"), (2, "b"), (2, "c"), (2, "d"), (3, "e"), (4, "a"), (4, "e")], "key long, item string")
-    cost = spark.createDataFrame([(1, 1), (2, 3), (3, 1), (4, 4)], "key long, cost long")
-    assert [tuple(r) for r in S.set_cover(pairs, cost).orderBy("round").collect()] == [(0, 1, 2), (1, 3, 1), (2, 2, 2)]
-    assert S.set_cover(pairs.where("false"), cost).count() == 0
+def test_hash_of_parts(spark):
+    names = [("idh_", "Print"), ("", "x"), ("a", ""), ("Ünï©", "€_.!0")]
+    got = spark.createDataFrame(names, "a string, b string").select("a", "b", text.hash_and_power(F.col("a")).alias("l"), text.hash_and_power(F.col("b")).alias("r"), context_hash(F.concat("a", "b")).alias("h")).collect()
+    assert all(r["h"] == text.hash_of(r["a"] + r["b"]) == (r["l"]["h"] * r["r"]["p"] + r["r"]["h"]) % 2**32 for r in got)
 
 
 def test_numbered(spark):
