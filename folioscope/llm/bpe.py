@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import trim
+from folioscope.llm.common import slices, trim
 from folioscope.llm.words import same_spelling, span_hashes
 
 BLOCK = 8 << 20
@@ -384,7 +384,7 @@ def encoder(path: str) -> Encoder:
 def _digests(path: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     own = encoder(path)
     decimal = [str(k) for k in range(len(own.vocabulary.bytes_of))]
-    for batch in batches:
+    for batch in slices(batches, 1):
         n_tokens, ids_sha, text_sha = [], [], []
         for first, last, codes, at in own.blocks(batch.column(1).to_pylist()):
             for i in range(last - first):
@@ -400,7 +400,8 @@ def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
 
     One row for each row of ``docs``: the id, ``n_tokens``, ``ids_sha256`` (of decimal ids joined
     by commas) and ``decoded_sha256``. Null and empty texts: no tokens, digests of nothing. An id
-    may be null or repeated; other columns aren't read.
+    may be null or repeated, repeated rows each have their row, very long texts are encoded whole, an
+    empty table gives an empty one; other columns aren't read.
     """
     got = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     schema = "id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
@@ -409,7 +410,7 @@ def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
 
 def _arrays(path: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     own = encoder(path)
-    for batch in batches:
+    for batch in slices(batches, 1):
         texts = batch.column(1).to_pylist()
         for first, last, codes, at in own.blocks(texts):
             ids = own.tokens(codes)
@@ -422,7 +423,11 @@ def _arrays(path: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
 
 
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The id and ``token_ids`` (array of int) of each row; null and empty texts have no ids."""
+    """The id and ``token_ids`` (array of int) of each row; null and empty texts have no ids.
+
+    Very long texts are encoded whole; null and repeated ids and repeated rows each have their row;
+    an empty table gives an empty one; other columns aren't read.
+    """
     got = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     return got.mapInArrow(functools.partial(_arrays, path), "id long, token_ids array<int>").withColumnRenamed("id", id_col)
 
@@ -435,6 +440,10 @@ def _texts(path: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
 
 
 def decode(tokens: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "token_ids") -> DataFrame:
-    """The id and ``text`` of each row of token ids; null means none."""
+    """The id and ``text`` of each row of token ids; null means none.
+
+    Very long rows are decoded whole; null and repeated ids and repeated rows each have their row; an
+    empty table gives an empty one; other columns aren't read.
+    """
     got = tokens.select(F.col(id_col).cast("long").alias("id"), F.col(ids_col).alias("ids"))
     return got.mapInArrow(functools.partial(_texts, path), "id long, text string").withColumnRenamed("id", id_col)

@@ -6,6 +6,7 @@ import ctypes
 import functools
 import tempfile
 import uuid
+from collections.abc import Iterator
 from typing import ClassVar
 
 import numpy as np
@@ -76,6 +77,35 @@ def trim() -> None:
         libc.malloc_trim(0)
 
 
+#: Bytes of text that a task works on at once.
+SLICE = 1 << 23
+
+
+def slices(batches: Iterator[pa.RecordBatch], text: int, size: int = SLICE) -> Iterator[pa.RecordBatch]:
+    """Batches cut, without copying, into runs of rows with at most ``size`` bytes in the column ``text``; a longer row comes alone.
+
+    So that what an operator makes of a batch follows bytes, not rows.
+    """
+    for batch in batches:
+        for start, n in parts(batch.column(text), size):
+            yield batch.slice(start, n)
+
+
+def parts(column: pa.Array, size: int = SLICE) -> Iterator[tuple[int, int]]:
+    """Runs of rows (first, number) with at most ``size`` bytes; one of no rows for an empty column."""
+    if not len(column):
+        yield 0, 0
+        return
+    wide = pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type)
+    offsets = column.buffers()[1]
+    at = np.frombuffer(offsets, np.int64 if wide else np.int32)[column.offset : column.offset + len(column) + 1] if offsets is not None else np.zeros(len(column) + 1, np.int32)
+    row = 0
+    while row < len(column):
+        end = max(row + 1, int(np.searchsorted(at, int(at[row]) + size, "right")) - 1)
+        yield row, end - row
+        row = end
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string column and the n + 1 offsets of its rows; nulls are empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import Workspace, trim, utf8
+from folioscope.llm.common import Workspace, parts, slices, trim, utf8
 from folioscope.llm.words import ALNUM, grams, word_hashes
 
 K, WINDOW = 5, 6
@@ -136,7 +136,7 @@ def _found(sketch: Sketch, column: pa.Array) -> tuple[list[int], list[list[dict]
 
 
 def _scan(sketch: Sketch, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches, 2):
         n_words, found = _found(sketch, batch.column(2))
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n_words, pa.int64()), pa.array(found, _FOUND)], ["row", "doc_id", "n_words", "found"])
         trim()
@@ -225,7 +225,13 @@ def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_co
     """
     space = Workspace(docs.sparkSession, "decontaminate")
     windows, sketch = indexed(benchmark, space, item_col, item_text_col, bits)
-    found = F.arrow_udf(lambda column: pa.array(_found(sketch, column)[1], _FOUND), FOUND)(F.col(text_col))
+
+    def sought(column: pa.Array) -> pa.Array:
+        out = pa.concat_arrays([pa.array(_found(sketch, column.slice(start, n))[1], _FOUND) for start, n in parts(column)])
+        trim()
+        return out
+
+    found = F.arrow_udf(sought, FOUND)(F.col(text_col))
     doubtful = docs.select(F.struct(*docs.columns).alias("kept"), found.alias("found")).where("size(found) > 0")
     doubtful = space.stash(doubtful.withColumn("row", F.monotonically_increasing_id()), "doubtful")
     passed = doubtful.join(_hits(doubtful.select("row", "found"), windows).select("row"), "row", "left_anti")

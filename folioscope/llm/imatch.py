@@ -5,9 +5,9 @@ Document frequencies are counted over all texts, term by term. The lexicon holds
 inverse document frequency lies in a band: in no more than ``COMMON`` of all texts and in no fewer
 than ``RARE`` of them (two at least). So it has at most (mean distinct terms of a text) / ``RARE``
 terms, however large the corpus: a quarter of a million for texts of 250 terms. It goes to the
-tasks as a constant of 2**``BITS`` bits, one for each place of a hash that a term of the band holds;
-a term outside the band is let in where it shares a place with one of the band, which the bound
-above keeps to one in eight at any size, and the same term is in or out for all texts.
+tasks as a constant of bits, one for each place of a hash that a term of the band holds: eight
+places a term or more, 2**``BITS`` at least. A term outside the band is let in where it shares a
+place with one of the band, so one in eight at most, and the same term is in or out for all texts.
 
 Randomised lexicon subsets, fixed and overlapping: level j parts all terms by a hash into 2**j
 subsets, of which the first 2**BASE count, for every j from ``BASE`` up. So the first level covers all
@@ -23,6 +23,8 @@ either has terms: of lexicon terms, or of all where one keeps fewer than ``FEW``
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,22 +50,22 @@ def frequent(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return seen.where(F.col("df").between(max(2, int(n * RARE)), max(2, int(n * COMMON))))
 
 
-def _slot(term: Column) -> Column:
-    return F.shiftrightunsigned(term, 64 - BITS).cast("int")
-
-
 def lexicon(band: DataFrame) -> Column:
-    """The places of terms as a literal array of 2**BITS bits, 64 in each element."""
-    slots = band.select(_slot(F.col("term")).alias("slot"))
+    """The places of terms as a literal array of bits, 64 in each element: a power of two, eight a term or more."""
+    band = Workspace(band.sparkSession, "imatch").stash(band.select("term"), "band")
+    width = max(BITS, math.ceil(math.log2(8 * max(1, band.count()))))
+    slots = band.select(F.shiftrightunsigned("term", 64 - width).cast("int").alias("slot"))
     found = slots.groupBy(F.shiftright("slot", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, slot & 63)")).alias("bits"))
-    bits = [0] * (1 << (BITS - 6))
+    bits = [0] * (1 << (width - 6))
     for word, some in found.collect():  # a row for each element at most
         bits[word] = some
     return F.split(F.lit(",".join(map(str, bits))), ",").cast("array<bigint>")  # folded to a constant
 
 
 def in_lexicon(term: Column, bits: Column) -> Column:
-    return F.getbit(F.get(bits, F.shiftright(_slot(term), 6)), _slot(term).bitwiseAND(F.lit(63))) == 1
+    """Whether a term's place is taken; the width of a place follows from the number of elements."""
+    slot = F.call_function("shiftrightunsigned", term, 58 - F.round(F.log2(F.size(bits).cast("double"))).cast("int")).cast("int")
+    return F.getbit(F.get(bits, F.shiftright(slot, 6)), slot.bitwiseAND(F.lit(63))) == 1
 
 
 def fingerprint(text: Column, bits: Column) -> Column:

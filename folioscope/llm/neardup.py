@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import Workspace, trim, utf8
+from folioscope.llm.common import Workspace, slices, trim, utf8
 from folioscope.llm.components import components
 from folioscope.llm.words import NOT_SPACE, grams, mix, word_hashes
 
@@ -116,7 +116,7 @@ def band_keys(least: np.ndarray, plan: Plan) -> np.ndarray:
 
 
 def _signed(plan: Plan, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches, 2):
         n, ones, twos, sig, keys = [], [], [], [], []
         for items in sets_of(batch.column(2)):
             n.append(len(items))

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import Workspace, trim, utf8
+from folioscope.llm.common import Workspace, parts, slices, trim, utf8
 from folioscope.llm.words import NOT_SPACE, grams, mix, word_hashes
 
 SAMPLE = 20_000
@@ -55,7 +55,7 @@ def features(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndar
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Counts of buckets over a task's texts: (bucket, of all, of the target's)."""
     total, target = np.zeros(_BUCKETS, np.int64), np.zeros(_BUCKETS, np.int64)
-    for batch in batches:
+    for batch in slices(batches, 0):
         chosen = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
         done = 0
         for words, word_row, shapes, shape_row, n in features(batch.column(0)):
@@ -145,7 +145,7 @@ class Classifier:
         shared = self.shared
 
         def weigh(column: pa.Array) -> pa.Array:
-            w = weights(shared.value, column)
+            w = np.concatenate([weights(shared.value, column.slice(start, n)) for start, n in parts(column)])
             trim()
             return pa.array(w, pa.float64(), mask=np.isnan(w))
 

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscope.llm.bpe import encoder
-from folioscope.llm.common import shared_dir
+from folioscope.llm.common import shared_dir, slices
 
 MASK = 0xA282EAD8
 FRAME = struct.Struct("<QI")
@@ -85,7 +85,7 @@ def _write(folder: str, tokenizer: str, end_id: int, batches: Iterator[pa.Record
     fs.create_dir(root, recursive=True)
     offset, offsets, counts = 0, [], []
     with fs.open_output_stream(f"{root}/{name}", buffer_size=1 << 20) as out:
-        for batch in batches:
+        for batch in slices(batches, 1):
             ids = batch.column(0).to_pylist()
             for first, last, codes, at in own.blocks(batch.column(1).to_pylist()):
                 for i in range(first, last):
