@@ -100,7 +100,7 @@ def pieces(offsets: np.ndarray, data: np.ndarray, member: np.ndarray, size: int
                     cut = at + int(back[-1]) + 1
                 else:
                     while cut < stop:  # a word that is longer than a piece
-                        gap = np.flatnonzero(~member[LOWER[data[cut : cut + size]]])
+                        gap = np.flatnonzero(~member[LOWER[data[cut : min(cut + size, stop)]]])
                         if len(gap):
                             cut += int(gap[0])
                             break
