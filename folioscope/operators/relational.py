@@ -73,7 +73,7 @@ def neighbours(df: DataFrame, by: list[str], order: str, value: str, ties: list[
     return near.select(*df.columns, F.coalesce("_prev", "_before")["v"].alias("prev"), F.coalesce("_next", "_after")["v"].alias("next"))
 
 
-def zip_by_position(left: DataFrame, right: DataFrame, order: str = "ord") -> DataFrame:
+def zip_by_position(left: DataFrame, right: DataFrame, order: str | list[str] = "ord") -> DataFrame:
     """Two lists side by side; the short side is null."""
     return left.join(right, order, "left")
 

@@ -20,6 +20,7 @@ from folioscope.operators import relational as R
 from folioscope.operators import search as S
 from folioscope.operators.intervals import covering
 from folioscope.operators.resolve import resolve
+from folioscope.sources import contents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -367,3 +368,27 @@ def container_search_everywhere(c):
     named = c.placed(c.view["context"].select("file", "hash", "topic_offset"), "ord").join(c.names, "hash").groupBy("file", F.col("topic_ord").alias("ord")).agg(F.array_join(F.collect_list("name"), " ").alias("named"))
     whole = c.topics().join(texts, key, "left").join(words, key, "left").join(named, key, "left")
     return whole.where(S.all_terms(F.concat_ws(" ", "text", "title", "named", "words"), "THE k5")).select("file", "ord", "title")
+
+
+LINES_SQL = "select file, ord, '1 ' || title || '=' || case when doc_id % 5 = 0 then 'also_' else 'doc_' end || doc_id || case when doc_id % 3 = 0 then '>' || (doc_id % 4) else '' end as line from d"
+
+
+def contents_lines(c: Corpus) -> DataFrame:
+    """A contents file made from titles, the first name of each topic and its window."""
+    starts = c.topics().select("file", "ord", F.col("topic_offset").alias("_start"))
+    begun = lambda df: df.join(starts, (df["file"] == starts["file"]) & (df["topic_ord"] == starts["ord"])).select(df["file"], F.col("_start").alias("topic_offset"), *(df[k] for k in df.columns if k not in ("file", "topic_offset", "topic_ord")))
+    names = begun(c.placed(c.view["context"].select("file", "hash", "topic_offset"), "ord").join(c.names, "hash"))
+    windows = begun(c.placed(c.view["window_of"], "ord"))
+    lines = contents.write_lines(c.view["title"], names, windows)
+    return lines.join(starts, (lines["file"] == starts["file"]) & (lines["topic_offset"] == starts["_start"])).select(lines["file"], "ord", "line")
+
+
+@query(LINES_SQL)
+def container_contents_lines(c):
+    return contents_lines(c)
+
+
+@query(f"select file, ord, 'topic' as kind, 0 as level, regexp_extract(line, '^1 (.*)=', 1) as label, regexp_extract(line, '=(.*)$', 1) as reference from ({LINES_SQL})")
+def container_contents_parsed(c):
+    """The lines read again: kind, level, label and reference of each."""
+    return contents.parsed(contents_lines(c))

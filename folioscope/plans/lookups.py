@@ -235,3 +235,19 @@ def paragraph_layout(spark, sf_dir):
     """Twips as columns of 120 and rows of 24."""
     items = read(spark, sf_dir, "lineitem")
     return items.select("l_orderkey", "l_linenumber", F.expr("l_partkey div 120").alias("indent"), F.greatest(F.expr("l_suppkey div 24"), F.lit(1)).alias("rows_above"), F.ceil(F.col("l_extendedprice") / 120).cast("long").alias("width"))
+
+
+@query("""with u as (select conv_id, turn // 2 as ord, length(text) as asked from conversations where turn % 2 = 0), a as (select conv_id, turn // 2 as ord, length(text) as answered from conversations where turn % 2 = 1)
+select conv_id, ord, asked, answered from u left join a using (conv_id, ord)""")
+def zipped_lists(spark, sf_dir):
+    """Two lists side by side by position; where the second is shorter it is null."""
+    turns = read(spark, sf_dir, "conversations").select("conv_id", F.expr("turn div 2").alias("ord"), (F.col("turn") % 2).alias("_side"), F.length("text").cast("long").alias("n"))
+    side = lambda k, name: turns.where(F.col("_side") == k).select("conv_id", "ord", F.col("n").alias(name))
+    return R.zip_by_position(side(0, "asked"), side(1, "answered"), ["conv_id", "ord"])
+
+
+@query("""select p_partkey, to_base64(encode(p_name)) as name64 from part""")
+def base64_fields(spark, sf_dir):
+    """Raw bytes as base64, as the export encodes them."""
+    raw = read(spark, sf_dir, "part").select("p_partkey", F.encode("p_name", "utf-8").alias("name64"))
+    return nested.strip_bytes(raw, encode=True)

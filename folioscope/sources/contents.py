@@ -20,6 +20,11 @@ def scan(spark: SparkSession, path: str, glob: str = "*.{cnt,CNT}") -> DataFrame
     """
     whole = spark.read.option("pathGlobFilter", glob).option("recursiveFileLookup", "true").text(path, wholetext=True)
     lines = whole.select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\r\n|\r|\n")).alias("ord", "line"))
+    return parsed(lines)
+
+
+def parsed(lines: DataFrame) -> DataFrame:
+    """What ``scan`` says of lines (file, ord, line) from anywhere; a null line says nothing."""
     lines = lines.withColumn("line", F.trim("line")).where("line <> '' and not startswith(line, ';')")
     word = F.lower(F.regexp_extract("line", f"(?i){DIRECTIVE}", 1))
     level = F.regexp_extract("line", ENTRY, 1)
