@@ -41,8 +41,16 @@ def test_odd_rows(spark, odd, none, tmp_path):
         assert (now.count() > 0) == (start is odd)
 
 
-def test_run(spark):
-    assert corpus_pipeline.run(spark, SF).count() > 0
+def test_run(spark, docs):
+    """Run gives what the stages give one after the other, and leaves the session as it was."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key, None)
+    got = sorted(map(str, corpus_pipeline.run(spark, SF).collect()))
+    assert spark.conf.get(key, None) == before
+    now = docs
+    for _, stage in corpus_pipeline.STAGES:
+        now = stage(spark, now, SF)
+    assert got == sorted(map(str, now.collect())) and got
 
 
 def test_near_duplicates_from_80(spark):
