@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,7 +12,7 @@ def cover_in_rounds(pairs: DataFrame, cost: DataFrame, step: float = 0.1, seed:
     """(round, key, new): keys of (key, item) that together have all items, near the choice of plain greedy.
 
     A round looks at all keys whose gain (open items for their ``cost``) is within a factor of 1 +
-    ``step`` of the best. Each open item votes for that one of them with the least hash of key, item's
+    ``step`` of the best. Each open item votes for that one of them with the least hash of key,
     round and seed; those that get at least 1 / (1 + step) of their open items are chosen together,
     the one of the least hash always. So each chosen key is nearly as good as the greedy's next one,
     and rounds follow the logarithm of the gains' spread and of the number of keys, not the number
@@ -43,11 +41,6 @@ def cover_in_rounds(pairs: DataFrame, cost: DataFrame, step: float = 0.1, seed:
     return chosen if chosen is not None else open_.select(F.lit(0).alias("round"), "key", F.lit(0).cast("long").alias("new"))
 
 
-def most_rounds(best: float, least: float, keys: int, step: float = 0.1) -> int:
-    """What the rounds of ``cover_in_rounds`` follow: levels of gains, times the logarithm of the keys."""
-    return math.ceil(math.log(max(best / least, 1 + step), 1 + step) * math.log2(max(keys, 2)))
-
-
 def having_all(members: DataFrame, required: DataFrame, group: str, item: str) -> DataFrame:
     """(group, n_had, complete, missing): of each group how many of the required items it has, whether all, and those it lacks, sorted.
 
