@@ -46,16 +46,15 @@ def covering(points: DataFrame, ranges: DataFrame, by: list[str], at: str, low:
     return found.select("_own.*", F.col("_range._carry").alias(carry))
 
 
-def _spread(x: str) -> str:
-    """A number of 31 bits with a zero bit before each of its bits."""
-    for shift, mask in ((16, 0x0000FFFF0000FFFF), (8, 0x00FF00FF00FF00FF), (4, 0x0F0F0F0F0F0F0F0F), (2, 0x3333333333333333), (1, 0x5555555555555555)):
-        x = f"(({x} | shiftleft({x}, {shift})) & {mask}L)" if len(x) < 40 else f"element_at(transform(array({x}), v -> (v | shiftleft(v, {shift})) & {mask}L), 1)"
-    return x
-
+def interleaved(df: DataFrame, x: str, y: str, out: str) -> DataFrame:
+    """``df`` with the Z-order code of two numbers of 31 bits: what lies together has codes that lie together.
 
-def interleaved(x: str, y: str) -> Column:
-    """The Z-order code of two numbers of 31 bits: cells that lie together have codes that lie together."""
-    return F.expr(f"{_spread(x)} | shiftleft({_spread(y)}, 1)")
+    Bits are spread in five steps, each a column of its own, so that none is written out twice.
+    """
+    df = df.withColumns({"_zx": F.col(x).cast("long"), "_zy": F.col(y).cast("long")})
+    for shift, mask in ((16, 0x0000FFFF0000FFFF), (8, 0x00FF00FF00FF00FF), (4, 0x0F0F0F0F0F0F0F0F), (2, 0x3333333333333333), (1, 0x5555555555555555)):
+        df = df.withColumns({c: F.expr(f"({c} | shiftleft({c}, {shift})) & {mask}L") for c in ("_zx", "_zy")})
+    return df.withColumn(out, F.expr("_zx | shiftleft(_zy, 1)")).drop("_zx", "_zy")
 
 
 def in_rectangles(points: DataFrame, boxes: DataFrame, x: str, y: str, left: str, right: str, low: str, high: str) -> DataFrame:
@@ -63,21 +62,31 @@ def in_rectangles(points: DataFrame, boxes: DataFrame, x: str, y: str, left: str
 
     Coordinates are whole numbers from 0 to 2**31 - 1. A box lies on at most nine cells whose sides
     are the powers of two next above half its own sides, each cell by its levels and its Z-order
-    code; a point looks up its cell at each pair of levels that occurs, and the edges decide. So a
-    box costs the same whatever its size, and its cells have at most some nine times its area.
+    code; a point looks up its cell at each pair of levels whose boxes reach around it, and the edges
+    decide. So a box costs the same whatever its size, and its cells have at most some nine times its
+    area; a point beyond all boxes of a pair of levels costs a comparison. A point's code is made
+    once: its cells' codes are those bits of it that the levels leave.
     A null coordinate or edge meets nothing; an empty box (left > right) holds nothing.
     """
     # the least level at which the side spans at most three cells
     level = lambda a, b: f"cast(ceil(log2(greatest(({b}) - ({a}) + 1, 2) / 2.0D)) as int)"
     laid = boxes.where(f"{left} <= {right} and {low} <= {high}").withColumns({"_kx": F.expr(level(left, right)), "_ky": F.expr(level(low, high))})
-    cells = lambda a, b, k: F.explode(F.expr(f"sequence(shiftright(cast({a} as bigint), {k}), shiftright(cast({b} as bigint), {k}))"))
-    laid = laid.withColumn("_cx", cells(left, right, "_kx")).withColumn("_cy", cells(low, high, "_ky"))
-    pairs = _levels(laid, "_kx", "_ky")
-    laid = laid.select(*boxes.columns, "_kx", "_ky", interleaved("_cx", "_cy").alias("_cell"))
+    # at most 32 * 32 rows: pairs of levels, each with the rectangle around its boxes
+    pairs = laid.groupBy("_kx", "_ky").agg(F.min(left).alias("l"), F.max(right).alias("r"), F.min(low).alias("b"), F.max(high).alias("t")).collect()
     if not pairs:
         return points.join(boxes, F.lit(False))
-    asked = points.withColumn("_k", F.explode(F.array(*(F.struct(F.lit(a).alias("_kx"), F.lit(b).alias("_ky")) for a, b in pairs))))
-    asked = asked.select(*points.columns, "_k._kx", "_k._ky", F.expr(f"shiftright(cast({x} as bigint), _k._kx)").alias("_px"), F.expr(f"shiftright(cast({y} as bigint), _k._ky)").alias("_py"))
-    asked = asked.select(*points.columns, "_kx", "_ky", interleaved("_px", "_py").alias("_cell"))
+    cells = lambda a, b, k: F.explode(F.expr(f"sequence(shiftright(cast({a} as bigint), {k}), shiftright(cast({b} as bigint), {k}))"))
+    laid = laid.withColumn("_cx", cells(left, right, "_kx")).withColumn("_cy", cells(low, high, "_ky"))
+    laid = laid.withColumns({"_cx": F.expr("shiftleft(_cx, _kx)"), "_cy": F.expr("shiftleft(_cy, _ky)")})
+    laid = interleaved(laid, "_cx", "_cy", "_cell").select(*boxes.columns, "_kx", "_ky", "_cell")
+
+    def left_bits(kx: int, ky: int) -> int:
+        return sum(1 << 2 * k for k in range(kx, 31)) | sum(2 << 2 * k for k in range(ky, 31))
+
+    around = f"{x} between {min(p['l'] for p in pairs)} and {max(p['r'] for p in pairs)} and {y} between {min(p['b'] for p in pairs)} and {max(p['t'] for p in pairs)}"
+    each = F.array(*(F.struct(*(F.lit(v).cast("long").alias(n) for n, v in (*p.asDict().items(), ("bits", left_bits(p["_kx"], p["_ky"]))))) for p in pairs))
+    asked = interleaved(points.where(around), x, y, "_z").select("*", F.explode(each).alias("_k"))
+    asked = asked.where(f"{x} between _k.l and _k.r and {y} between _k.b and _k.t")
+    asked = asked.select(*points.columns, F.col("_k._kx").cast("int").alias("_kx"), F.col("_k._ky").cast("int").alias("_ky"), F.expr("_z & _k.bits").alias("_cell"))
     inside = f"{x} between {left} and {right} and {y} between {low} and {high}"
     return asked.join(laid, ["_kx", "_ky", "_cell"]).where(inside).select(*points.columns, *boxes.columns)

@@ -207,3 +207,21 @@ def test_written_tables_can_be_deleted(spark, tmp_path):
         one.count()
     scratch.clear(spark)
     assert not scratch._kept
+
+
+def test_z_order_codes(spark):
+    r = random.Random(5)
+    rows = [(r.randrange(2**31), r.randrange(2**31)) for _ in range(50)] + [(0, 0), (2**31 - 1, 0), (0, 2**31 - 1), (2**31 - 1, 2**31 - 1)]
+    got = intervals.interleaved(spark.createDataFrame(rows, "x long, y long"), "x", "y", "z")
+    assert got.columns == ["x", "y", "z"] and "lambda" not in got._jdf.queryExecution().toString()
+    assert [g["z"] for g in got.collect()] == [sum((x >> k & 1) << 2 * k | (y >> k & 1) << 2 * k + 1 for k in range(31)) for x, y in rows]
+
+
+def test_points_beyond_all_boxes_meet_no_levels(spark):
+    boxes = spark.createDataFrame([(k, 100 * k, 100 * k + 2**k, 50, 50 + 2**k) for k in range(9)], "b int, x0 long, x1 long, y0 long, y1 long")
+    points = spark.range(50_000).select((F.col("id") + 10_000).alias("x"), F.col("id").alias("y")).union(spark.createDataFrame([(100, 51)], "x long, y long"))
+    got = intervals.in_rectangles(points, boxes, "x", "y", "x0", "x1", "y0", "y1")
+    assert [r["b"] for r in got.collect()] == [1]
+    # the generator comes after a filter by the rectangle around all boxes
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "x#" in plan.split("Generate explode([[")[-1] and ">= 0" in plan
