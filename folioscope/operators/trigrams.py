@@ -1,14 +1,19 @@
 """Substring search by an index of trigrams.
 
 A text's trigrams are its distinct runs of three characters after case folding; two zero characters
-follow its end, so that short terms are beginnings of trigrams. The index is a table of
-(trigram, id), a row for each distinct trigram of each text, with the number of texts of each
-trigram beside it. A term of three characters or more is sought by its rarest trigrams: the ids that
-have them all are candidates. Only candidates' texts are read and verified.
+follow its end, so that short terms are beginnings of trigrams. A trigram is a number of three times
+21 bits. The index is a table of (trigram, block, ids): for each trigram and each ``BLOCK`` ids the
+texts that have it, with the number of texts of each trigram beside it. A term of three characters
+or more is sought by its rarest trigrams: the ids that lists of all of them share are candidates.
+Each candidate's text is read once, for all terms that it may have, and these are verified.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,57 +22,128 @@ from folioscope.sources.scratch import stash
 
 #: A term is sought by so many of its trigrams, the rarest ones: more of them exclude little.
 RAREST = 3
+#: Lists of ids are cut at multiples of 2**BITS, so that no list is longer.
+BITS = 12
+BLOCK = 1 << BITS
+#: Lists are made for so many characters at a time.
+PIECE = 1 << 21
+
+
+def codes(text: str) -> np.ndarray:
+    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    return c[:-2] << 42 | c[1:-1] << 21 | c[2:]
+
+
+def _lists(ids: list[int], grams: list[np.ndarray]) -> pa.RecordBatch:
+    each, gram = np.repeat(np.array(ids, np.int64), [len(g) for g in grams]), np.concatenate(grams)
+    order = np.lexsort((each, gram, each >> BITS))
+    each, gram = each[order], gram[order]
+    block = each >> BITS
+    starts = np.flatnonzero(np.r_[True, (gram[1:] != gram[:-1]) | (block[1:] != block[:-1])])
+    offsets = pa.array(np.r_[starts, len(each)], pa.int32())
+    listed = pa.ListArray.from_arrays(offsets, pa.array(each & (BLOCK - 1), pa.int32()))
+    return pa.RecordBatch.from_arrays([pa.array(gram[starts]), pa.array(block[starts]), listed], ["trigram", "block", "ids"])
+
 
+def _posted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    ids, grams, held = [], [], 0
+    for batch in batches:
+        for key, text in zip(batch.column(0), batch.column(1), strict=True):
+            text = text.as_py()
+            ids.append(key.as_py())
+            grams.append(np.unique(codes(text + "\0\0")))
+            held += len(text)
+            if held > PIECE:
+                yield _lists(ids, grams)
+                ids, grams, held = [], [], 0
+    if ids:
+        yield _lists(ids, grams)
 
-def trigrams(folded: Column) -> Column:
-    """The distinct trigrams of a folded text with its end marked; an empty text has none."""
-    ended = F.concat(folded, F.lit("\0\0"))
-    # the text cut in threes from its first, second and third character
-    cuts = [F.regexp_extract_all(F.substr(ended, F.lit(k)), F.lit("(?s)..."), F.lit(0)) for k in (1, 2, 3)]
-    return F.when(F.length(folded) > 0, F.array_distinct(F.concat(*cuts)))
+
+def _of_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(term, size, code): a term's distinct trigrams; of a shorter term its one or two characters as a number."""
+    for batch in batches:
+        rows = []
+        for term in batch.column(0).to_pylist():
+            if len(term) < 3:
+                rows.append((term, len(term), sum(ord(c) << 21 * k for k, c in enumerate(reversed(term)))))
+            else:
+                rows += [(term, 3, int(g)) for g in np.unique(codes(term))]
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.int64())], ["term", "size", "code"])
+
+
+def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(term, id) of the candidates whose text has the term."""
+    for batch in batches:
+        found, ids = [], []
+        each, ends = batch.column(1).flatten().to_pylist(), np.cumsum(batch.column(1).value_lengths().to_numpy()).tolist()
+        begin = 0
+        for key, text, end in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), ends, strict=True):
+            own = [t for t in each[begin:end] if t in text]
+            found += own
+            ids += [key] * len(own)
+            begin = end
+        yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), pa.array(ids, pa.int64())], ["term", "id"])
 
 
 class Index:
-    """A written index over (id, text): ``postings`` (trigram, id) in ranges of trigrams, ``counts`` (trigram, n)."""
+    """A written index over (id, text): ``postings`` (trigram, block, ids) by trigram, ``counts`` (trigram, n)."""
 
     def __init__(self, texts: DataFrame, postings: DataFrame, counts: DataFrame, key: str, text: str):
         self.texts, self.postings, self.counts, self.key, self.text = texts, postings, counts, key, text
 
 
 def build(texts: DataFrame, key: str, text: str) -> Index:
-    """Indexes a table of texts. Null and empty texts have no postings; a common trigram's postings are split over tasks as they are read."""
-    each = texts.select(F.col(key).alias("id"), F.explode(trigrams(fold(F.col(text)))).alias("trigram"))
-    postings = stash(each.repartitionByRange("trigram", "id").sortWithinPartitions("trigram", "id"), "trigrams")
-    counts = stash(postings.groupBy("trigram").agg(F.count("*").alias("n")), "trigram-counts")
+    """Indexes a table of texts by a whole number, ``key``. Null and empty texts have no postings; a common trigram's postings are lists for ``BLOCK`` ids each."""
+    own = texts.select(F.col(key).cast("long").alias("id"), fold(F.col(text)).alias("text")).where("id is not null and text <> ''")
+    each = own.mapInArrow(_posted, "trigram long, block long, ids array<int>")
+    merged = each.groupBy("trigram", "block").agg(F.array_distinct(F.flatten(F.collect_list("ids"))).alias("ids"))
+    postings = stash(merged.sortWithinPartitions("trigram", "block"), "trigrams")
+    counts = stash(postings.groupBy("trigram").agg(F.sum(F.size("ids")).alias("n")), "trigram-counts")
     return Index(texts, postings, counts, key, text)
 
 
+def _shared(lists: str) -> Column:
+    return F.aggregate(F.slice(lists, 2, F.greatest(F.size(lists) - 1, F.lit(0))), F.element_at(lists, 1), F.array_intersect)
+
+
 def search(index: Index, queries: DataFrame, query_id: str, query: str) -> DataFrame:
     """(query_id, key) of each text that has all terms of a query (parted by white space) as substrings, whatever the case.
 
-    A query without terms fits every text that isn't null. Queries are few (they are typed), texts
-    many: postings are filtered by the sought trigrams in the scan, and texts are read only for
-    candidates. Queries that are equal each have their rows; a null query fits nothing.
+    A query without terms fits every text that isn't null. A term is sought and verified once,
+    however many queries have it, and queries of the same terms are answered once: their rows are
+    made last, from the ids that the lists of all their terms share. A null query fits nothing.
     """
-    words = F.array_distinct(F.filter(F.split(fold(F.col(query)), r"\s+"), lambda w: w != ""))
-    asked = stash(queries.where(F.col(query).isNotNull()).select(F.col(query_id).alias("query"), words.alias("terms")), "queries")
-    each = asked.select("query", F.explode("terms").alias("term"))
-    grams = F.transform(F.sequence(F.lit(1), F.length("term") - 2), lambda k: F.substr("term", k, F.lit(3)))
-    long = each.where("length(term) >= 3").select("term", F.explode(F.array_distinct(grams)).alias("trigram")).distinct()
+    words = F.array_sort(F.array_distinct(F.filter(F.split(fold(F.col(query)), r"\s+"), lambda w: w != "")))
+    asked = queries.where(F.col(query).isNotNull()).select(F.col(query_id).alias("query"), words.alias("terms"))
+    asked = stash(asked.withColumn("set", F.array_join("terms", " ")), "queries")
+    sets = asked.where("size(terms) > 0").select("set", "terms").distinct()
+    terms = sets.select(F.explode("terms").alias("term")).distinct()
+    coded = stash(terms.mapInArrow(_of_terms, "term string, size int, code long"), "terms")
     # a trigram that no text has leaves its term without candidates
-    ranked = long.join(index.counts, "trigram", "left").groupBy("term").agg(F.slice(F.sort_array(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "trigram"))), 1, RAREST).alias("_best"))
-    sought = stash(ranked.select("term", F.size("_best").alias("needed"), F.explode("_best.trigram").alias("trigram")), "sought")
-    by_term = index.postings.join(sought, "trigram").groupBy("term", "id").agg(F.count("*").alias("_n"), F.first("needed").alias("_needed")).where("_n = _needed").select("term", "id")
+    ranked = coded.where("size = 3").join(index.counts, F.col("code") == F.col("trigram"), "left").groupBy("term").agg(F.slice(F.sort_array(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "code"))), 1, RAREST).alias("_best"))
+    sought = stash(ranked.select("term", F.size("_best").alias("needed"), F.explode("_best.code").alias("trigram")), "sought")
+    # a term of one trigram has that one's lists; the lists of a longer one are of candidates
+    alone = index.postings.join(sought.where("length(term) = 3"), "trigram").select("term", "block", F.col("ids").alias("_ids"))
+    by_block = index.postings.join(sought.where("length(term) > 3"), "trigram").groupBy("term", "block").agg(F.collect_list("ids").alias("_lists"), F.first("needed").alias("_needed"))
+    by_term = by_block.where("size(_lists) = _needed").select("term", "block", F.explode(_shared("_lists")).alias("at"))
     # a term of one or two characters begins some trigram wherever it occurs
-    begins = index.counts.select("trigram", F.explode(F.array(F.left("trigram", F.lit(1)), F.left("trigram", F.lit(2)))).alias("term"))
-    short = stash(begins.join(each.where("length(term) < 3").select("term").distinct(), "term").distinct(), "sought")
-    by_term = by_term.union(index.postings.join(short, "trigram").select("term", "id").distinct())
-    # candidates have every term's trigrams; only their texts are read
-    met = each.join(by_term, "term").groupBy("query", "id").agg(F.count("*").alias("_n"))
-    candidates = met.join(asked, "query").where(F.col("_n") == F.size("terms")).select("query", "id", "terms")
-    own = index.texts.select(F.col(index.key).alias("id"), fold(F.col(index.text)).alias("_text"))
-    verified = candidates.join(own, "id").where(F.forall("terms", lambda t: F.contains(F.col("_text"), t))).select("query", "id")
+    begins = index.counts.select("trigram", F.inline(F.array(*(F.struct(F.lit(k).alias("size"), F.shiftright("trigram", 63 - 21 * k).alias("code")) for k in (1, 2)))))
+    short = stash(begins.join(coded.where("size < 3"), ["size", "code"]).select("trigram", "term"), "sought")
+    begun = index.postings.join(short, "trigram").select("term", "block", F.explode("ids").alias("at")).distinct().groupBy("term", "block").agg(F.collect_list("at").alias("_ids"))
+    # a text is read once, with all terms whose trigrams it has
+    candidates = by_term.groupBy((F.shiftleft("block", BITS) + F.col("at")).alias("id")).agg(F.collect_list("term").alias("_terms"))
+    own = index.texts.select(F.col(index.key).cast("long").alias("id"), fold(F.col(index.text)).alias("_text")).where("_text is not null")
+    had = candidates.join(own, "id").select("id", "_terms", "_text").mapInArrow(_verified, "term string, id long")
+    lists = had.groupBy("term", F.shiftright("id", BITS).alias("block")).agg(F.collect_list(F.col("id").bitwiseAND(F.lit(BLOCK - 1)).cast("int")).alias("_ids"))
+    lists = lists.union(alone).union(begun)
+    # what the lists of all terms of a set share
+    each = sets.select("set", F.size("terms").alias("_needed"), F.explode("terms").alias("term"))
+    met = each.join(lists, "term").groupBy("set", "block").agg(F.collect_list("_ids").alias("_lists"), F.first("_needed").alias("_needed"))
+    met = met.where("size(_lists) = _needed").select("set", "block", _shared("_lists").alias("_ids")).where("size(_ids) > 0")
+    kind = index.texts.schema[index.key].dataType
+    found = asked.join(met, "set").select("query", "block", F.explode("_ids").alias("at")).select("query", (F.shiftleft("block", BITS) + F.col("at")).cast(kind).alias("id"))
     every = [r["query"] for r in asked.where("size(terms) = 0").select("query").collect()]
     if every:
-        verified = verified.union(own.where("_text is not null").select(F.explode(F.array(*map(F.lit, every))).alias("query"), "id"))
-    return verified.select(F.col("query").alias(query_id), F.col("id").alias(index.key))
+        found = found.union(index.texts.where(F.col(index.text).isNotNull()).select(F.explode(F.array(*map(F.lit, every))).alias("query"), F.col(index.key).alias("id")))
+    return found.select(F.col("query").alias(query_id), F.col("id").alias(index.key))

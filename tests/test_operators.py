@@ -225,3 +225,15 @@ def test_points_beyond_all_boxes_meet_no_levels(spark):
     # the generator comes after a filter by the rectangle around all boxes
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert "x#" in plan.split("Generate explode([[")[-1] and ">= 0" in plan
+
+
+def test_trigram_lists_hold_a_block_and_each_set_of_terms_once(spark):
+    r = random.Random(6)
+    words = ["alpha", "Alphabet", "beta", "be", "b", "straße", "gam", "gamma"]
+    texts = [(k, " ".join(r.choices(words, k=r.randrange(9)))) for k in [*range(-30, 300), *range(9_000, 9_030), 2**40, 2**40 + 1]] + [(None, "alpha")]
+    asked = [(k, " ".join(r.choices(words, k=r.randrange(1, 4)))) for k in range(60)] * 2
+    index = trigrams.build(spark.createDataFrame(texts, "id long, text string"), "id", "text")
+    assert index.postings.where("size(ids) > 1").count() > 50
+    assert index.postings.where(f"exists(ids, i -> i < 0 or i >= {trigrams.BLOCK})").count() == 0
+    got = sorted(map(tuple, trigrams.search(index, spark.createDataFrame(asked, "q long, query string"), "q", "query").collect()))
+    assert got == sorted((q, i) for q, own in asked for i, t in texts if i is not None and all(w in t.casefold() for w in own.casefold().split()))
