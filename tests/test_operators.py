@@ -237,3 +237,19 @@ def test_trigram_lists_hold_a_block_and_each_set_of_terms_once(spark):
     assert index.postings.where(f"exists(ids, i -> i < 0 or i >= {trigrams.BLOCK})").count() == 0
     got = sorted(map(tuple, trigrams.search(index, spark.createDataFrame(asked, "q long, query string"), "q", "query").collect()))
     assert got == sorted((q, i) for q, own in asked for i, t in texts if i is not None and all(w in t.casefold() for w in own.casefold().split()))
+
+
+@pytest.mark.parametrize("alone", [0, 50, 1000])
+def test_replay_of_users_with_few_and_many_events(spark, alone):
+    r = random.Random(7)
+    rows = [(k, 1 if k % 2 else r.choice([None, 2, 3]), r.choice(["back", "forward", "visit", "visit", None]), r.choice([0.5, float("nan"), None])) for k in range(160)]
+    plain = lambda p: "nan" if p != p else p
+    want = []
+    for user in {u for _, u, _, _ in rows}:
+        own = [x for x in rows if x[1] == user]
+        want += [(x[0], *h) for x, h in zip(own, history([(m, plain(p)) for _, _, m, p in own]), strict=True)]
+    before = set(scratch._kept)
+    got = navigation.replay(spark.createDataFrame(rows, "id long, u long, m string, p double"), "u", "id", "m", "p", 16, alone)
+    assert sorted((x["id"], plain(x["shown"]), x["depth"]) for x in got.collect()) == sorted(want)
+    rounds = sum("/replay-" in path for path in scratch._kept - before)
+    assert (rounds == 0) == (alone == 1000)
