@@ -188,15 +188,14 @@ def html_tables(spark, sf_dir):
 FILES_SQL = """with f as (select page_id, regexp_extract(url, '^([^?#]*/)', 1) as dir, regexp_extract(url, '^[^?#]*/([^/?#]*)', 1) as name from pages)"""
 
 
-@query(f"""{FILES_SQL}, n as (select dir, name, count(*) as pages, min(page_id) as page_id from f group by all),
-p as (select *, (row_number() over (partition by dir order by page_id) - 1) // 32 as part from n)
-select dir, part, count(*) as files, string_agg(name, ',' order by page_id) as names from p group by dir, part""")
+@query(f"""{FILES_SQL} select page_id, dir, name, count(*) over (partition by dir) - 1 as siblings, (row_number() over (partition by dir order by page_id) - 1) // 32 as part from f""")
 def sibling_files(spark, sf_dir):
-    """The files of each folder in lists of at most 32: what a file finds beside it, without a row for each pair."""
-    files = _files(spark, sf_dir).groupBy("dir", "name").agg(F.min("page_id").alias("page_id"))
-    files = R.running_total(files.withColumn("_one", F.lit(1)), ["dir"], "page_id", "_one", "_place")
-    listed = F.transform(F.sort_array(F.collect_list(F.struct("page_id", "name"))), lambda x: x["name"])
-    return files.groupBy("dir", F.expr("_place div 32").alias("part")).agg(F.count("*").alias("files"), F.array_join(listed, ",").alias("names"))
+    """Each page with the folder that it shares with its siblings, their number and its part there of 32: every link, without a row for each pair."""
+    by = ["_d0", "_d1"]  # pages without an url are siblings too
+    files = _files(spark, sf_dir).withColumns({"_d0": F.col("dir").isNull(), "_d1": F.coalesce("dir", F.lit(""))})
+    placed = R.running_total(files.withColumn("_one", F.lit(1)), by, "page_id", "_one", "_place")
+    sizes = files.groupBy(*by).agg((F.count("*") - 1).alias("siblings"))
+    return placed.join(sizes, by).select("page_id", "dir", "name", "siblings", F.expr("_place div 32").alias("part"))
 
 
 def _files(spark, sf_dir) -> DataFrame:
