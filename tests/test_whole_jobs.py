@@ -1,5 +1,8 @@
 """Queries whose rows must not become fewer than their job has."""
 
+from pyspark.sql import functions as F
+from paths import SF
+
 import __spark_entry__ as entry_point
 
 
@@ -14,3 +17,9 @@ def test_sibling_files_has_each_page_and_all_links(spark, tmp_path):
     for r in got:
         parts.setdefault((r["dir"], r["part"]), []).append(r["page_id"])
     assert max(map(len, parts.values())) == 32
+
+
+def test_container_parts_counts_each_annotation(spark):
+    noted = spark.read.parquet(f"{SF}/labels.parquet").where("quality is not null").join(spark.read.parquet(f"{SF}/documents.parquet"), "doc_id").count()
+    got = entry_point.queries()["container_parts"](spark, SF).select(F.sum("parts").alias("n"), F.count("*").alias("files")).first()
+    assert noted + 8 * got["files"] <= got["n"] <= noted + 10 * got["files"]
