@@ -23,3 +23,8 @@ def test_container_parts_counts_each_annotation(spark):
     noted = spark.read.parquet(f"{SF}/labels.parquet").where("quality is not null").join(spark.read.parquet(f"{SF}/documents.parquet"), "doc_id").count()
     got = entry_point.queries()["container_parts"](spark, SF).select(F.sum("parts").alias("n"), F.count("*").alias("files")).first()
     assert noted + 8 * got["files"] <= got["n"] <= noted + 10 * got["files"]
+
+
+def test_container_topic_by_number_has_whole_texts(spark):
+    got = entry_point.queries()["container_topic_by_number"](spark, SF)
+    assert got.where("length(text) > 44").count() > got.count() // 2
