@@ -146,20 +146,29 @@ def names_without_collisions(spark, sf_dir):
     return N.without_collisions(read(spark, sf_dir, "part").select("p_partkey", name.alias("name")), "name", "p_partkey", "unique_name")
 
 
+def _with_raw(order):
+    """An order with the raw bytes of its status and of its parts' names, made where no shuffle carries them."""
+    raw = lambda c: F.encode(c, "utf-8")
+    part = lambda p: F.struct(p["key"].alias("key"), p["name"].alias("name"), raw(p["name"]).alias("raw"), p["tags"].alias("tags"))
+    item = lambda i: F.struct(i["line"].alias("line"), part(i["part"]).alias("part"), F.array(raw(i["part"]["name"])).alias("raws"))
+    return F.struct(order["order"].alias("order"), raw(order["status"]).alias("raw"), order["status"].alias("status"), F.transform(order["items"], item).alias("items"))
+
+
 @query("""with i as (select l_orderkey, list({'line': l_linenumber, 'part': {'key': l_partkey, 'name': p_name, 'tags': [p_brand, p_type]}} order by l_linenumber, l_partkey) as items from lineitem join part on l_partkey = p_partkey group by l_orderkey),
 o as (select o_custkey, (row_number() over (partition by o_custkey order by o_orderkey) - 1) as place, {'order': o_orderkey, 'status': o_orderstatus, 'items': items} as doc from orders join i on l_orderkey = o_orderkey)
 select o_custkey, place // 4 as part, cast(to_json({'customer': o_custkey, 'part': place // 4, 'orders': list(doc order by place)}) as varchar) as json from o group by o_custkey, place // 4""")
 def nested_export(spark, sf_dir):
     """Customers with their orders, items and parts as nested JSON without raw bytes, four orders a row."""
     part = read(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type")
-    raw = F.encode("p_name", "utf-8")
-    inner = F.struct(F.col("p_partkey").alias("key"), F.col("p_name").alias("name"), raw.alias("raw"), F.array("p_brand", "p_type").alias("tags"))
+    inner = F.struct(F.col("p_partkey").alias("key"), F.col("p_name").alias("name"), F.array("p_brand", "p_type").alias("tags"))
     items = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey").join(part, F.col("l_partkey") == F.col("p_partkey"))
-    items = items.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct(F.col("l_linenumber").alias("line"), inner.alias("part"), F.array(raw).alias("raws")))).alias("items"))
-    orders = read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus").join(items, F.col("o_orderkey") == F.col("l_orderkey"))
+    # places are given before items join, so that these are shuffled to their order and to their row only
+    orders = read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus").join(items.select("l_orderkey").distinct(), F.col("o_orderkey") == F.col("l_orderkey"), "left_semi")
     orders = R.running_total(orders.withColumn("_one", F.lit(1)), ["o_custkey"], "o_orderkey", "_one", "_place")
-    doc = F.struct(F.col("o_orderkey").alias("order"), F.encode("o_orderstatus", "utf-8").alias("raw"), F.col("o_orderstatus").alias("status"), "items")
-    whole = nested.in_parts(orders, ["o_custkey"], "_place", doc, 4, "orders")
+    items = items.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct(F.col("l_linenumber").alias("line"), inner.alias("part")))).alias("items"))
+    orders = orders.join(items, F.col("o_orderkey") == F.col("l_orderkey"))
+    doc = F.struct(F.col("o_orderkey").alias("order"), F.col("o_orderstatus").alias("status"), "items")
+    whole = nested.in_parts(orders, ["o_custkey"], "_place", doc, 4, "orders").withColumn("orders", F.transform("orders", _with_raw))
     bare = nested.strip_bytes(whole)
     return bare.select("o_custkey", "part", nested.to_json(F.struct(F.col("o_custkey").alias("customer"), "part", "orders")).alias("json"))
 

@@ -28,3 +28,9 @@ def test_container_parts_counts_each_annotation(spark):
 def test_container_topic_by_number_has_whole_texts(spark):
     got = entry_point.queries()["container_topic_by_number"](spark, SF)
     assert got.where("length(text) > 44").count() > got.count() // 2
+
+
+def test_nested_export_shuffles_no_raw_bytes(spark):
+    plan = entry_point.queries()["nested_export"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    below = plan[plan.index("\n", plan.index("Aggregate")) :]  # what is shuffled to the last grouping
+    assert "p_name" in below and "encode" not in below
