@@ -188,14 +188,24 @@ def html_tables(spark, sf_dir):
 FILES_SQL = """with f as (select page_id, regexp_extract(url, '^([^?#]*/)', 1) as dir, regexp_extract(url, '^[^?#]*/([^/?#]*)', 1) as name from pages)"""
 
 
-@query(f"""{FILES_SQL} select page_id, dir, name, count(*) over (partition by dir) - 1 as siblings, (row_number() over (partition by dir order by page_id) - 1) // 32 as part from f""")
+#: Pages of a folder are listed, and get their siblings, so many at a time.
+SIDE_BY_SIDE = 4096
+
+
+@query(f"""{FILES_SQL}, s as (select *, list(page_id) over (partition by dir order by page_id rows between unbounded preceding and unbounded following) as all_ids from f)
+select page_id, dir, name, count(*) over (partition by dir) - 1 as siblings, (row_number() over (partition by dir order by page_id) - 1) // 32 as part,
+array_to_string(list_filter(all_ids, lambda x: x <> page_id), ',') as sibling_ids from s""")
 def sibling_files(spark, sf_dir):
-    """Each page with the folder that it shares with its siblings, their number and its part there of 32: every link, without a row for each pair."""
+    """Each page with its folder, the number of its siblings there, its part of 32, and all its siblings by page_id: every pair of pages of a folder."""
     by = ["_d0", "_d1"]  # pages without an url are siblings too
     files = _files(spark, sf_dir).withColumns({"_d0": F.col("dir").isNull(), "_d1": F.coalesce("dir", F.lit(""))})
-    placed = R.running_total(files.withColumn("_one", F.lit(1)), by, "page_id", "_one", "_place")
-    sizes = files.groupBy(*by).agg((F.count("*") - 1).alias("siblings"))
-    return placed.join(sizes, by).select("page_id", "dir", "name", "siblings", F.expr("_place div 32").alias("part"))
+    placed = R.running_total(files.withColumn("_one", F.lit(1)), by, "page_id", "_one", "_place").withColumn("_block", F.expr(f"_place div {SIDE_BY_SIDE}"))
+    listed = placed.groupBy(*by, "_block").agg(F.sort_array(F.collect_list("page_id")).alias("_ids"))
+    whole = listed.groupBy(*by).agg(F.flatten(F.sort_array(F.collect_list(F.struct("_block", "_ids")))["_ids"]).alias("_ids"), F.collect_list("_block").alias("_blocks"))
+    # a folder's list goes to each block of its pages, so that a large folder is no single task
+    each = placed.join(whole.select(*by, "_ids", F.explode("_blocks").alias("_block")), [*by, "_block"])
+    others = F.array_join(F.filter("_ids", lambda x: x != F.col("page_id")).cast("array<string>"), ",")
+    return each.select("page_id", "dir", "name", (F.size("_ids") - 1).cast("long").alias("siblings"), F.expr("_place div 32").alias("part"), others.alias("sibling_ids"))
 
 
 def _files(spark, sf_dir) -> DataFrame:

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from paths import SF
 
 import __spark_entry__ as entry_point
+from folioscope.plans import tables
 
 
 def test_sibling_files_has_each_page_and_all_links(spark, tmp_path):
@@ -19,6 +20,17 @@ def test_sibling_files_has_each_page_and_all_links(spark, tmp_path):
     assert max(map(len, parts.values())) == 32
 
 
+def test_sibling_files_has_each_pair_of_a_folder(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(tables, "SIDE_BY_SIDE", 8)
+    urls = [f"http://a.example/x/{k % 40}.html?q=/{k}/" for k in range(90)] + ["http://a.example/y/1", "http://b.example", "", None, None]
+    spark.createDataFrame([(7 * k - 300, u) for k, u in enumerate(urls)], "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = entry_point.queries()["sibling_files"](spark, str(tmp_path)).collect()
+    folder = {7 * k - 300: u if u is None else u.split("?")[0].rpartition("/")[0] for k, u in enumerate(urls)}
+    pairs = sorted((r["page_id"], int(s)) for r in got for s in r["sibling_ids"].split(",") if s)
+    assert pairs == sorted((a, b) for a in folder for b in folder if a != b and folder[a] == folder[b])
+    assert len(got) == len(urls) and all(r["siblings"] == len([s for s in r["sibling_ids"].split(",") if s]) for r in got)
+
+
 def test_container_parts_counts_each_annotation(spark):
     noted = spark.read.parquet(f"{SF}/labels.parquet").where("quality is not null").join(spark.read.parquet(f"{SF}/documents.parquet"), "doc_id").count()
     got = entry_point.queries()["container_parts"](spark, SF).select(F.sum("parts").alias("n"), F.count("*").alias("files")).first()
