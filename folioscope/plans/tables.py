@@ -189,7 +189,7 @@ FILES_SQL = """with f as (select page_id, regexp_extract(url, '^([^?#]*/)', 1) a
 
 
 #: Pages of a folder are listed, and get their siblings, so many at a time.
-SIDE_BY_SIDE = 4096
+SIDE_BY_SIDE = 1024
 
 
 @query(f"""{FILES_SQL}, s as (select *, list(page_id) over (partition by dir order by page_id rows between unbounded preceding and unbounded following) as all_ids from f)
@@ -202,8 +202,10 @@ def sibling_files(spark, sf_dir):
     placed = R.running_total(files.withColumn("_one", F.lit(1)), by, "page_id", "_one", "_place").withColumn("_block", F.expr(f"_place div {SIDE_BY_SIDE}"))
     listed = placed.groupBy(*by, "_block").agg(F.sort_array(F.collect_list("page_id")).alias("_ids"))
     whole = listed.groupBy(*by).agg(F.flatten(F.sort_array(F.collect_list(F.struct("_block", "_ids")))["_ids"]).alias("_ids"), F.collect_list("_block").alias("_blocks"))
-    # a folder's list goes to each block of its pages, so that a large folder is no single task
-    each = placed.join(whole.select(*by, "_ids", F.explode("_blocks").alias("_block")), [*by, "_block"])
+    # a folder's list goes to each block of its pages, so that a large folder is no single task; what is small here is large once
+    # written, so the number of tasks is given and adaptive execution doesn't join them
+    dealt = int(spark.conf.get("spark.sql.shuffle.partitions")), *by, "_block"
+    each = placed.repartition(*dealt).join(whole.select(*by, "_ids", F.explode("_blocks").alias("_block")).repartition(*dealt), [*by, "_block"])
     others = F.array_join(F.filter("_ids", lambda x: x != F.col("page_id")).cast("array<string>"), ",")
     return each.select("page_id", "dir", "name", (F.size("_ids") - 1).cast("long").alias("siblings"), F.expr("_place div 32").alias("part"), others.alias("sibling_ids"))
 
